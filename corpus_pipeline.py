@@ -1,10 +1,14 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing and packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, source mixing and packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns a DataFrame that is written
+and read again before the next stage; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import mixing, packing, quality_rules
+from marketlens.llm import jaccard_join, line_templates, mixing, packing, quality_rules
 from marketlens.llm.tables import documents, written
 
 
@@ -13,6 +17,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, but for the first of each; so do documents that were nothing else."""
+    return line_templates.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones stays: the one with the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mix_documents(docs)
@@ -23,13 +37,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram jaccard join", near_duplicates), ("source mixing", mix), ("best-fit packing", pack)]
 
-#: Line templates, joins by shingles and packing have no SQL form; the stages are tested against brute force.
+#: Line templates, the similarity join and packing have no SQL form; each stage is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents after all stages."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

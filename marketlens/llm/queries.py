@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import attention_lm, language_id, mixing, packing, quality_rules
+from marketlens.llm import attention_lm, jaccard_join, language_id, line_templates, mixing, packing, quality_rules, substring_dedup, suffix_dedup, vector_search
 from marketlens.llm.tables import documents
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -18,6 +22,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "failed")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines and n_removed (lines with a word) and the remaining text."""
+    return line_templates.drop_lines(documents(spark, sf_dir)).selectExpr("doc_id", "_n_lines AS n_lines", "_n_removed AS n_removed", "text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -26,18 +39,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
 
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vector_search.search(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op10_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_documents(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_source_mix": op2_source_mix,
-        "op3_quality_rules": op3_quality_rules,
-        "op6_best_fit_packing": op6_best_fit_packing,
-        "op7_language_id": op7_language_id,
-        "op10_attention_lm": op10_attention_lm,
-    }
+    found = (op1_suffix_array_dedup, op2_source_mix, op3_quality_rules, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_language_id, op8_vector_search, op9_jaccard_join, op10_attention_lm)
+    return {f.__name__: f for f in found}
 
 
 _OP3_SQL = r"""

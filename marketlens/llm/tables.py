@@ -95,13 +95,14 @@ def in_filter(flags: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS) -> n
     return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def maybe_in(df: DataFrame, col: str, flags, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of df whose key may be among the filter's; run before an exact join, to shuffle fewer rows."""
+def maybe_in(df: DataFrame, col: str, flags, bits: int = FILTER_BITS, keep: bool = True) -> DataFrame:
+    """Rows of df whose key may be among the filter's (``keep``: or the others, which surely are not); run before an
+    exact join, to shuffle fewer rows."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(b.schema.get_field_index(col)).to_numpy(zero_copy_only=False)
             if len(keys):
-                yield b.filter(pa.array(in_filter(flags.value, keys, bits)))
+                yield b.filter(pa.array(in_filter(flags.value, keys, bits) == keep))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(sift, df.schema)
