@@ -7,6 +7,7 @@ and read again before the next stage; all but the last return the columns of doc
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketlens.llm import jaccard_join, line_templates, mixing, packing, quality_rules
 from marketlens.llm.tables import documents, written
@@ -19,7 +20,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, but for the first of each; so do documents that were nothing else."""
-    return line_templates.filter_documents(docs)
+    out = line_templates.filter_documents(docs)
+    if "n_chars" in docs.columns:  # follows the text
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
