@@ -73,8 +73,9 @@ def enrichment(tables: Mapping[str, DataFrame], grid: DataFrame, options: Analyt
     add("orderbook", ("depth_levels",), [mean("imbalance_percent", s).alias("avg_imbalance_percent"), part("bid_depth_usd").alias("total_bid_depth_usd"), part("ask_depth_usd").alias("total_ask_depth_usd")], ["total_bid_depth_usd", "total_ask_depth_usd"])
     if "liquidations" in tables:
         names = ("long", "short", "total")
-        got = window_stats(tables["liquidations"], grid, "bucket_time", {"w": options.liquidation_lookback}, {f"{n}_usd": part(f"{n}_liquidation_usd") for n in names}, closed=True)
-        out = out.join(got.select("symbol_id", "as_of", *[zero(F.col(f"{n}_usd")).alias(f"{n}_liquidation_usd") for n in names]), ["symbol_id", "as_of"], "left").fillna(0.0, [f"{n}_liquidation_usd" for n in names])
+        kept = lambda c: F.when(F.col(c) >= 0, F.col(c)).otherwise(0.0).cast("double" if s is None else f"decimal(28,{s})")
+        got = window_stats(tables["liquidations"], grid, "bucket_time", {"w": options.liquidation_lookback}, {f"{n}_usd": F.sum(F.when(F.col(f"{n}_liquidation_usd").isNotNull(), kept(f"{n}_liquidation_usd"))) for n in names}, closed=True)
+        out = out.join(got.select("symbol_id", "as_of", *[zero(F.col(f"{n}_usd").cast("double")).alias(f"{n}_liquidation_usd") for n in names]), ["symbol_id", "as_of"], "left").fillna(0.0, [f"{n}_liquidation_usd" for n in names])
     return out
 
 

@@ -102,7 +102,7 @@ def market_structure(candles: DataFrame, grid: DataFrame, windows: Mapping[str,
     )
 
 
-def volatility(candles: DataFrame, grid: DataFrame, windows: Mapping[str, int] = WINDOWS) -> DataFrame:
+def volatility(candles: DataFrame, grid: DataFrame, windows: Mapping[str, int] = WINDOWS, scale: int | None = None) -> DataFrame:
     """Average true range, realised volatility and ranges over the candles in ``[as_of - w, as_of]``.
 
     True range and return look at the candle before; a window's first candle has none, so its own part is taken out of
@@ -114,10 +114,12 @@ def volatility(candles: DataFrame, grid: DataFrame, windows: Mapping[str, int] =
     c = c.withColumn("hl", own).withColumn("tr", F.greatest(own, F.abs(F.col("high") - F.col("p")), F.abs(F.col("low") - F.col("p"))))
     c = c.withColumn("r", F.when((F.col("p") > 0) & (F.col("close") > 0), F.ln(F.col("close") / F.col("p")))).drop("p")
     c = c.withColumn("r2", F.col("r") * F.col("r"))
+    if scale is not None:  # exact sums, so that taking a part out again leaves no trace
+        c = c.withColumns({k: F.col(k).cast(f"decimal(28,{scale})") for k in ("hl", "tr")})
     first = F.first(F.when(F.col("close").isNotNull(), F.struct("hl", "tr", "r")), ignorenulls=True)
     stats = {"n": F.count("close"), "high": F.max("high"), "low": F.min("low"), "close": F.last("close", ignorenulls=True), "tr": F.sum("tr"), "rs": F.sum("r"), "r2": F.sum("r2"), "rn": F.count("r"), "first": first}
     s = window_stats(c, grid, "open_time", windows, stats, closed=True)
-    atr = (F.col("tr") - F.col("first.tr") + F.col("first.hl")) / F.nullif(F.col("n"), F.lit(0))
+    atr = (F.col("tr") - F.col("first.tr") + F.col("first.hl")).cast("double") / F.nullif(F.col("n"), F.lit(0))
     lead = F.coalesce("first.r", F.lit(0.0))
     n, rs, r2 = F.col("rn") - F.when(F.col("first.r").isNotNull(), 1).otherwise(0), F.col("rs") - lead, F.col("r2") - lead * lead
     vol = F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), (r2 - rs * rs / n) / (n - 1))) * F.sqrt(n))
