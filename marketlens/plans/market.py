@@ -127,8 +127,7 @@ def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
 def volatility(spark: SparkSession, sf: str) -> DataFrame:
     t = market.ticks(spark, sf)
     out = candles.volatility(candles.venue_candles(market.klines(spark, sf), scale=6), market.grid(t, "6 hours"), WINDOWS, 6)
-    rounded = [F.round(c, 4).alias(c) for c in ("atr", "realized_volatility", "range_percent_24h", "range_percent_7d")]
-    return _naive(out.select("symbol_id", "as_of", "period", "candles", "high_price", "low_price", "close_price", *rounded))
+    return _naive(out.select("symbol_id", "as_of", "period", "candles", "high_price", "low_price", "close_price", "atr", F.round("realized_volatility", 3).alias("realized_volatility"), "range_percent_24h", "range_percent_7d"))
 
 
 def taker_fill(spark: SparkSession, sf: str) -> DataFrame:

@@ -176,8 +176,8 @@ SQL["volatility"] = (
 y AS (SELECT symbol_id, as_of, period, count(close) AS candles, max(high) AS high_price, min(low) AS low_price, arg_max(close, open_time) AS close_price,
   {_avg("CASE WHEN close IS NOT NULL THEN greatest(high - low, coalesce(abs(high - p), 0), coalesce(abs(low - p), 0)) END")} AS atr, stddev_samp(ln(close / p)) AS sd, count(p) AS n FROM x GROUP BY symbol_id, as_of, period),
 d AS (SELECT symbol_id, as_of, (high_price - low_price) / nullif(close_price, 0) * 100 AS r24 FROM y WHERE period = '24h'), z AS (SELECT symbol_id, as_of, (high_price - low_price) / nullif(close_price, 0) * 100 AS r7 FROM y WHERE period = '7d')
-SELECT y.symbol_id, y.as_of, period, candles, high_price, low_price, close_price, round(atr, 4) AS atr, round(CASE WHEN n >= 2 THEN sd * sqrt(n) END, 4) AS realized_volatility,
-  round(CASE WHEN candles > 0 THEN r24 END, 4) AS range_percent_24h, round(CASE WHEN candles > 0 THEN r7 END, 4) AS range_percent_7d FROM y JOIN d USING (symbol_id, as_of) JOIN z USING (symbol_id, as_of)"""
+SELECT y.symbol_id, y.as_of, period, candles, high_price, low_price, close_price, atr, round(CASE WHEN n >= 2 THEN sd * sqrt(n) END, 3) AS realized_volatility,
+  CASE WHEN candles > 0 THEN r24 END AS range_percent_24h, CASE WHEN candles > 0 THEN r7 END AS range_percent_7d FROM y JOIN d USING (symbol_id, as_of) JOIN z USING (symbol_id, as_of)"""
 )
 SQL["taker_fill"] = _with(_EVENTS, _FLOWS) + "SELECT symbol_id, exchange, snapshot_time, buy AS taker_buy_volume, sell AS taker_sell_volume, buy - sell AS buy_sell_delta, CAST(NULL AS DOUBLE) AS buy_sell_delta_quote, buy / nullif(sell, 0) AS buy_sell_ratio, buy - sell AS best_delta FROM flows"
 SQL["basis_fill"] = _with(_EVENTS, _BASIS) + "SELECT symbol_id, exchange, snapshot_time, round(futures_price - index_price, 6) AS basis, round(futures_price - index_price, 6) AS basis_value, round((futures_price - index_price) / nullif(index_price, 0) * 100, 6) AS basis_percent FROM basis"
