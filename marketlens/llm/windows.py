@@ -66,7 +66,7 @@ def phrases(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tup
     new = np.ones(at.size, bool)
     new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], at.size) - 1
+    tail = np.append(head[1:], at.size)[: head.size] - 1
     lo, hi, of, place = start[head], start[tail], doc[head], at[head]
     phrase = tx.mix(prefix.spans(lo, hi + length) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return of, lo - bounds[of], hi - bounds[of], grams[place], phrase
