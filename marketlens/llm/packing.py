@@ -23,19 +23,21 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
 from marketlens.llm.subwords import Encoder
-from marketlens.llm.tables import SLICES, hash_slice, record_batch, running_sums, written
+from marketlens.llm.tables import SLICES, hash_slice, modest_batches, record_batch, running_sums, written
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
-#: Rounds of the multiplicative weights.
-ROUNDS = 300
+#: Rounds and step of the multiplicative weights; shares of the fractional solution that are tried as the part to keep.
+ROUNDS, STEP = 300, 8.0
+KEPT_SHARES = (1.0, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2)
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the documents' ids with the end id, cut where longer than the capacity."""
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(vocabulary)
@@ -116,38 +118,43 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     bound = float(np.dot(need, sizes)) / capacity  # sequences of the fractional optimum, at least
     found: dict[bytes, list] = {}
     if bound > 4:
+        # long pieces are the hard ones: of equally full configurations those with longer pieces weigh more
+        base = np.where(need > 0, sizes / capacity * (1 + 0.2 * sizes / capacity), 0.0)
         covered = np.zeros(capacity + 1)
-        weights = np.where(need > 0, sizes / capacity, 0.0)
-        rounds = int(min(rounds, max(8, bound // 2)))
+        weights = base
+        rounds = int(min(rounds, max(8, bound)))
         for _ in range(rounds):
             config = _best_configuration(weights, need, capacity)
             if not config.any():
                 break
             found.setdefault(config.tobytes(), [config, 0])[1] += 1
-            covered += config * (bound / rounds)
+            covered += np.minimum(config * (bound / rounds), need)
             # a length that is ahead of its share loses weight, one that is behind gains
             ahead = np.divide(covered, need, out=np.zeros_like(covered), where=need > 0)
             mean = float(np.dot(covered, sizes) / max(1, np.dot(need, sizes)))
-            weights = np.where(need > 0, sizes / capacity * np.exp(np.clip(2.0 * (mean - ahead), -20, 20) * 0.5), 0.0)
-        used = sum(k for _, k in found.values())
-        left = need.copy()
+            weights = base * np.exp(np.clip(STEP * (mean - ahead), -20, 20))
+    used = max(1, sum(k for _, k in found.values()))
+    best: list[tuple[np.ndarray, int]] | None = None
+    for share in KEPT_SHARES if found else (1.0,):
+        # the fractional counts rounded down; what is rounded off keeps its mix of lengths
+        plan, left = [], need.copy()
         for config, k in sorted(found.values(), key=lambda x: (-x[1], x[0].tobytes())):
             full = config > 0
-            times = min(int(bound * k / used), int((left[full] // config[full]).min()))
-            if times > 0:
-                out.append((config, times))
-                left -= config * times
-    else:
-        left = need.copy()
-    while left.any():  # the rest, largest first and filled as well as the rest allows
-        start = np.zeros_like(left)
-        start[np.flatnonzero(left)[-1]] = 1
-        config = _fill(start, left, capacity)
-        full = config > 0
-        times = max(1, int((left[full] // config[full]).min()))
-        out.append((config, times))
-        left -= config * times
-    return [({int(x): int(c[x]) for x in np.flatnonzero(c)}, t) for c, t in out]
+            times = min(int(max(1.0, share * bound * k / used)), int((left[full] // config[full]).min()))
+            if times > 0 and np.dot(need - left, sizes) < share * bound * capacity:
+                plan.append((config, times))
+                left = left - config * times
+        while left.any():  # the rest, longest first and filled as well as the rest allows
+            start = np.zeros_like(left)
+            start[np.flatnonzero(left)[-1]] = 1
+            config = _fill(start, left, capacity)
+            full = config > 0
+            times = max(1, int((left[full] // config[full]).min()))
+            plan.append((config, times))
+            left = left - config * times
+        if best is None or sum(t for _, t in plan) < sum(t for _, t in best):
+            best = plan
+    return [({int(x): int(c[x]) for x in np.flatnonzero(c)}, t) for c, t in out + best]
 
 
 def slots(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:

@@ -19,6 +19,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let texts go to Python tasks in batches of fewer rows than Spark's default of 10,000, so that a task holds a few
+    MB; a session that sets a number of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset on a local master, a new temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
