@@ -170,6 +170,9 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
         return pa.table({"dim": [dim], "shard": [table["shard"][0].as_py()], "nodes": [len(first)], "start": [start], "v": [v[first].tobytes()], "graph": [graph.astype("<i4").tobytes()], "node": [of.ravel()[order].astype("<i4").tobytes()], "ids": [ids[order].astype("<i8").tobytes()]}, schema=index_schema)
 
     index_schema = pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("nodes", pa.int32()), ("start", pa.int32()), ("v", pa.binary()), ("graph", pa.binary()), ("node", pa.binary()), ("ids", pa.binary())])
+    # building a shard is much work on few bytes: shards are dealt to tasks by number, which the planner does not merge
+    many = shards.agg(F.coalesce(F.sum("shards"), F.lit(1)).cast("int")).first()[0]
+    dealt = dealt.repartition(max(1, many), "dim", "shard")
     indexed = written(dealt.groupBy("dim", "shard").applyInArrow(index, "dim int, shard int, nodes int, start int, v binary, graph binary, node binary, ids binary"), "graphs")
 
     # blocks of queries, one copy for each shard: the stated query set against all rows
@@ -203,6 +206,6 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
                         out += [(int(q[lo + i]), w, -s) for s, w in sorted(set(mine))[:neighbours]]
                     yield record_batch(schema, *(list(zip(*out, strict=True)) or [[], [], []]))
 
-    found = asked.join(indexed, ["dim", "shard"]).select("dim", "q", "qv", "v", "graph", "node", "ids", "start").mapInArrow(find, "query_id long, vec_id long, score double")
+    found = asked.join(indexed, ["dim", "shard"]).repartition(max(1, many), "dim", "shard", "block").select("dim", "q", "qv", "v", "graph", "node", "ids", "start").mapInArrow(find, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
