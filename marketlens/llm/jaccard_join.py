@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
 from marketlens.llm.graphs import components
-from marketlens.llm.tables import in_filter, key_filter, maybe_in, record_batch, written
+from marketlens.llm.tables import in_filter, key_filter, maybe_in, modest_batches, record_batch, tidy, written
 
 WORDS = 5
 PERCENT = 75
@@ -36,15 +36,17 @@ PERCENT = 75
 SMALLEST, SHARED = 8, 3
 #: Parts of the suffix filter's histogram.
 PARTS = 64
-#: Counters of the table that orders shingles: 8 MB, whatever the corpus.
-COUNTERS = 1 << 20
+#: Counters of the table that orders shingles: 16 MB, whatever the corpus.
+COUNTERS = 1 << 21
+#: Prefixes that hold a shingle from which on it is common.
+COMMON = 16
 #: A shingle whose counter is so far above the mean is dealt out by salt.
 HOT, SALTS = 5000, 64
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS, counts: np.ndarray | None = None, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all documents of a block, and the first of each document (n + 1 values); by hash, or
-    rare first by the counts."""
+    rare first by the counts, those in the filter ``late`` after all others. Each is a fixed order of all shingles."""
     n = len(offsets) - 1
     data = tx.lower(data)
     starts, ends, bounds = tx.word_spans(data, offsets)
@@ -59,7 +61,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS, counts:
     of = np.concatenate([doc[: grams.size][whole], short]).astype(np.uint64)
     key = of << np.uint64(32)
     if counts is not None:
-        key |= np.minimum(counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], 0xFFFFFFFF).astype(np.uint64)
+        key |= np.minimum(counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], 0x7FFFFFFF).astype(np.uint64)
+        if late is not None:
+            key |= in_filter(late, tx.as_long(h)).astype(np.uint64) << np.uint64(31)
     order = np.lexsort((h, key))
     h, of = h[order], of[order]
     new = np.ones(h.size, bool)
@@ -88,11 +92,11 @@ def _signatures(rows: DataFrame, k: int) -> DataFrame:
                 parts = np.minimum(parts, 65535).astype("<u2")
                 yield record_batch(schema, b.column(0).slice(lo, n), b.column(1).slice(lo, n), size.astype(np.int32), tx.as_long(cls), low, pa.array([x.tobytes() for x in parts], pa.binary()))
 
-    return rows.mapInArrow(run, "rid long, doc_id long, n int, cls long, low array<long>, parts binary")
+    return rows.mapInArrow(tidy(run), "rid long, doc_id long, n int, cls long, low array<long>, parts binary")
 
 
 def _counts(rows: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold a shingle of each counter: 2**20 counters, added up in chunks."""
+    """How many documents hold a shingle of each counter: 2**21 counters, added up in chunks."""
     chunk = 1 << 14
     schema = pa.schema([("chunk", pa.int32()), ("counts", pa.list_(pa.int64()))])
 
@@ -110,7 +114,7 @@ def _counts(rows: DataFrame, k: int) -> np.ndarray:
         return pa.table({"chunk": table["chunk"][:1], "counts": pa.array([total], pa.list_(pa.int64()))})
 
     out = np.zeros(COUNTERS, np.int64)
-    parts = rows.select("text").mapInArrow(run, "chunk int, counts array<long>").groupBy("chunk").applyInArrow(add, "chunk int, counts array<long>")
+    parts = rows.select("text").mapInArrow(tidy(run), "chunk int, counts array<long>").groupBy("chunk").applyInArrow(add, "chunk int, counts array<long>")
     for part in parts.toLocalIterator():
         out[part.chunk * chunk : (part.chunk + 1) * chunk] = part.counts
     return out
@@ -120,8 +124,9 @@ def prefix_size(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(rows: DataFrame, k: int, percent: int, counts, only=None) -> DataFrame:
-    """h, rid, salt (, n, pos): the rare-first prefix of every row's set; only: a filter of wanted shingles."""
+def _prefixes(rows: DataFrame, near, k: int, percent: int, counts, late=None, only=None) -> DataFrame:
+    """h, rid, salt (, n, pos): the rare-first prefix of the set of every row whose rid may be in the filter near; late: a filter of shingles that come last in
+    the order; only: a filter of wanted shingles."""
     mean = counts.value.mean()
     full = only is not None
     fields = [("h", pa.int64()), ("rid", pa.int64()), ("salt", pa.int16())]
@@ -129,8 +134,10 @@ def _prefixes(rows: DataFrame, k: int, percent: int, counts, only=None) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if b.num_rows:
+                b = b.filter(pa.array(in_filter(near.value, b.column(0).to_numpy())))
             for lo, hi, data, offsets in tx.blocks(b.column(1)):
-                h, bounds = shingle_sets(data, offsets, k, counts.value)
+                h, bounds = shingle_sets(data, offsets, k, counts.value, None if late is None else late.value)
                 size = np.diff(bounds)
                 take = np.where(size > 0, prefix_size(size, percent), 0)
                 of = np.repeat(np.arange(hi - lo), take)
@@ -144,7 +151,7 @@ def _prefixes(rows: DataFrame, k: int, percent: int, counts, only=None) -> DataF
                 salt = np.where(hot, rid & (SALTS - 1), 0).astype(np.int16)
                 yield record_batch(schema, tx.as_long(h), rid, salt, *([size[of].astype(np.int32), pos.astype(np.int32)] if full else []))
 
-    return rows.select("rid", "text").mapInArrow(run, "h long, rid long, salt short" + ", n int, pos int" * full)
+    return rows.select("rid", "text").mapInArrow(tidy(run), "h long, rid long, salt short" + ", n int, pos int" * full)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -181,7 +188,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                         out_b.append(rid[i])
                 yield record_batch(schema, pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _length_filter(n1: str, n2: str, percent: int):
@@ -206,11 +213,12 @@ def _suffix_filter(pairs: DataFrame, sides: DataFrame, percent: int) -> DataFram
             keep = pa.array(np.abs(p1 - p2).sum(axis=1) <= n - 2 * least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(5).filter(keep)], schema=schema)
 
-    return joined.select("a", "n1", "p1", "n2", "p2", "b").mapInArrow(run, "a long, b long")
+    return joined.select("a", "n1", "p1", "n2", "p2", "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """rid, doc_id, n, cls and component (null for empty sets) of every row of docs."""
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     sig = written(_signatures(rows, k), "signatures")
@@ -228,8 +236,11 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     # step 3: the exact join of what is still apart
     counts = rows.sparkSession.sparkContext.broadcast(_counts(rows, k))
-    only_classes = maybe_in(rows, "rid", key_filter(classes, "rid"))
-    lists = _prefixes(only_classes, k, percent, counts).repartition("h", "salt").groupBy("h", "salt").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("a"), F.max("rid").alias("b"))
+    near = key_filter(classes, "rid")
+    # shingles found in many prefixes are common for certain, which counters that others share can hide: they go last
+    common = _prefixes(rows, near, k, percent, counts).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > COMMON).select("h")
+    late = key_filter(common, "h")
+    lists = _prefixes(rows, near, k, percent, counts, late).repartition("h", "salt").groupBy("h", "salt").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("a"), F.max("rid").alias("b"))
     lists = lists.where("m > 1 or salt > 0").groupBy("h").agg(F.sum("m").alias("m"), F.min("a").alias("a"), F.max("b").alias("b"))
     lists = written(lists.where("m > 1 and a <> b"), "lists")
     group = classes.select("rid").join(first.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("component", "rid").alias("component"))
@@ -237,7 +248,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     g1, g2 = group.select(F.col("rid").alias("a"), F.col("component").alias("c1")), group.select(F.col("rid").alias("b"), F.col("component").alias("c2"))
     twos = lists.where("m = 2").select("a", "b").distinct().join(g1, "a").join(g2, "b").where("c1 <> c2").select("a", "b")
     longer = lists.where("m > 2").select("h")
-    again = _prefixes(only_classes, k, percent, counts, key_filter(longer, "h"))
+    again = _prefixes(rows, near, k, percent, counts, late, key_filter(longer, "h"))
     again = again.join(longer, "h").join(group, "rid").select("h", "rid", "n", "pos", "component")
     spread = again.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("h")
     again = written(again.join(spread, "h"), "apart")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +22,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine: workers live on, and their next task may be small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it keeps
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """A function over batches that releases memory when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Let texts go to Python tasks in batches of fewer rows than Spark's default of 10,000, so that a task holds a few
     MB; a session that sets a number of its own keeps it."""
@@ -113,4 +136,4 @@ def maybe_in(df: DataFrame, col: str, flags, bits: int = FILTER_BITS, keep: bool
             if len(keys):
                 yield b.filter(pa.array(in_filter(flags.value, keys, bits) == keep))
 
-    return df.mapInArrow(sift, df.schema)
+    return df.mapInArrow(tidy(sift), df.schema)
