@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import record_batch
+from marketlens.llm.tables import modest_batches, record_batch, tidy
 
 FIT_DOCUMENTS = 3000
 FIT_WORDS = 1 << 17
@@ -161,6 +161,7 @@ def fit(labelled: DataFrame, max_documents: int = FIT_DOCUMENTS) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score of every row of docs; only the text is looked at."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -170,7 +171,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs, score = shared.value.predict(data, offsets)
                 yield record_batch(schema, b.column(0).slice(lo, hi - lo), langs, score)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 4, fold: int = 2, max_documents: int = FIT_DOCUMENTS) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
 from marketlens.llm.subwords import Encoder
-from marketlens.llm.tables import SLICES, hash_slice, modest_batches, record_batch, running_sums, written
+from marketlens.llm.tables import SLICES, hash_slice, modest_batches, record_batch, running_sums, tidy, written
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.shared(vocabulary)
+        encoder = Encoder.of(vocabulary)
         for b in batches:
             for lo, hi, data, offsets in tx.blocks(b.column(1)):
                 ids, bounds = encoder.ids(data, offsets)
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
                 crc = [zlib.crc32(raw[a:z]) for a, z in zip(first.tolist(), (first + length * 4).tolist(), strict=True)]
                 yield record_batch(_PIECES, b.column(0).slice(lo, n).take(pa.array(doc)), piece, start, length, crc)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _best_configuration(weights: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import record_batch
+from marketlens.llm.tables import modest_batches, record_batch, tidy
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -96,6 +96,7 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def measurements(docs: DataFrame) -> DataFrame:
     """doc_id and the measurements (long); n_lines counts the lines with a word."""
+    modest_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), *((m, pa.int64()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def measurements(docs: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in tx.blocks(b.column(1)):
                 yield record_batch(schema, b.column(0)[lo:hi], *_measure(data, offsets))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def failure_bits(rules=RULES) -> Column:
@@ -150,6 +151,7 @@ def apply_rules(docs: DataFrame, policy: str = POLICY) -> DataFrame:
 def filter_documents(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     """The documents that the policy keeps, with all their columns, in one pass over the rows: measurements are appended
     to each row, so no join by id is needed and repeated rows or clashing column names do no harm."""
+    modest_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index("text")
     plain = docs.toDF(*[f"_c{k}" for k in range(len(names))])
 
@@ -159,4 +161,4 @@ def filter_documents(docs: DataFrame, policy: str = POLICY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, *map(pa.array, _measure(data, offsets))], names=[*b.schema.names, *MEASURES])
 
     schema = T.StructType([*plain.schema.fields, *[T.StructField(m, T.LongType()) for m in MEASURES]])
-    return plain.mapInArrow(run, schema).withColumn("failed", failure_bits()).where(kept(policy)).select(*plain.columns).toDF(*names)
+    return plain.mapInArrow(tidy(run), schema).withColumn("failed", failure_bits()).where(kept(policy)).select(*plain.columns).toDF(*names)

@@ -143,5 +143,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
                 out = [b.column(1).slice(lo, n), np.diff(bounds), tx.sums_by(doc[gone], n), [hashlib.sha256(x).hexdigest() for x in kept]]
                 yield record_batch(schema, *out, *([pa.array(kept, pa.binary())] if with_text else []))
 
-    rows = windows.with_spans(docs, windows.word_symbols, resolve, length, trigger, "u8")
-    return rows.select("rid", "doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text)
+    return windows.apply_spans(docs, windows.word_symbols, resolve, length, trigger, "u8", run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * with_text)

@@ -16,8 +16,8 @@ import regex
 from marketlens.llm import text as tx
 
 #: Words, and parts of words, whose ids a task keeps; beyond it the store starts anew.
-KEPT_WORDS = 1 << 20
-KEPT_PARTS = 1 << 19
+KEPT_WORDS = 1 << 18
+KEPT_PARTS = 1 << 17
 
 #: Characters whose normal form and lower case depend on nothing around them; no white space, no "<" (special tokens).
 _PLAIN = regex.compile(r"[!-;=-~\u00A1-\u012F\u0131-\u024F]+")
@@ -35,14 +35,10 @@ def load(vocabulary: str):
 
 
 class Encoder:
-    _shared: dict[str, Encoder] = {}
-
     @classmethod
-    def shared(cls, vocabulary: str) -> Encoder:
-        """One encoder for each worker process."""
-        if vocabulary not in cls._shared:
-            cls._shared[vocabulary] = cls(load(vocabulary))
-        return cls._shared[vocabulary]
+    def of(cls, vocabulary: str) -> Encoder:
+        """An encoder for one task; what it keeps goes with the task."""
+        return cls(load(vocabulary))
 
     def __init__(self, tokenizer):
         self.tokenizer, self.model = tokenizer, tokenizer.model

@@ -99,5 +99,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
                 out = [b.column(1).slice(lo, n), np.diff(offsets), removed, spans[offsets[1:]] - spans[offsets[:-1]], [hashlib.sha256(x).hexdigest() for x in kept]]
                 yield record_batch(schema, *out, *([pa.array(kept, pa.binary())] if with_text else []))
 
-    rows = windows.with_spans(docs, windows.byte_symbols, resolve, length, trigger, "u1")
-    return rows.select("rid", "doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return windows.apply_spans(docs, windows.byte_symbols, resolve, length, trigger, "u1", run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.tables import record_batch, written
+from marketlens.llm.tables import record_batch, tidy, written
 
 NEIGHBOURS = 5
 #: Vectors of a shard, about.
@@ -206,6 +206,6 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
                         out += [(int(q[lo + i]), w, -s) for s, w in sorted(set(mine))[:neighbours]]
                     yield record_batch(schema, *(list(zip(*out, strict=True)) or [[], [], []]))
 
-    found = asked.join(indexed, ["dim", "shard"]).repartition(max(1, many), "dim", "shard", "block").select("dim", "q", "qv", "v", "graph", "node", "ids", "start").mapInArrow(find, "query_id long, vec_id long, score double")
+    found = asked.join(indexed, ["dim", "shard"]).repartition(max(1, many), "dim", "shard", "block").select("dim", "q", "qv", "v", "graph", "node", "ids", "start").mapInArrow(tidy(find), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import key_filter, maybe_in, record_batch, written
+from marketlens.llm.tables import in_filter, key_filter, maybe_in, modest_batches, record_batch, tidy, written
 
 #: Different phrases of a trigger above which its windows are counted one by one, over all tasks.
 CROWDED = 2000
@@ -81,7 +81,7 @@ def _rows(docs: DataFrame, symbols: Symbols, length: int, k: int) -> DataFrame:
                 of, lo, hi, trigger, phrase = phrases(*symbols(data, offsets), length, k)
                 yield record_batch(schema, b.column(0).slice(first, after - first).take(pa.array(of)), lo.astype(np.int32), hi.astype(np.int32), tx.as_long(trigger), tx.as_long(phrase))
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, lo int, hi int, trigger long, phrase long")
+    return docs.select("rid", "text").mapInArrow(tidy(run), "rid long, lo int, hi int, trigger long, phrase long")
 
 
 def _dictionary(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _dictionary(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: in
                 cut = [bytes(raw[a:z]) for a, z in zip((lo * width).tolist(), (hi * width).tolist(), strict=True)]
                 yield record_batch(schema, flat.field("trigger"), flat.field("phrase"), flat.field("n"), pa.array(cut, pa.binary()))
 
-    return joined.mapInArrow(run, "trigger long, phrase long, n long, symbols binary")
+    return joined.mapInArrow(tidy(run), "trigger long, phrase long, n long, symbols binary")
 
 
 #: (symbols of all phrases one after another, phrase bounds, times each phrase comes, L) to a flag for each symbol that
@@ -161,7 +161,7 @@ def _resolved(dictionary: DataFrame, resolver: Resolver, length: int, dtype: str
             yield settle(pa.Table.from_batches(held))
 
     dealt = dictionary.repartition("trigger").sortWithinPartitions("trigger")
-    return dealt.mapInArrow(run, "trigger long, phrase long, from int, to int")
+    return dealt.mapInArrow(tidy(run), "trigger long, phrase long, from int, to int")
 
 
 def _counted(dictionary: DataFrame, length: int, dtype: str) -> DataFrame:
@@ -175,7 +175,7 @@ def _counted(dictionary: DataFrame, length: int, dtype: str) -> DataFrame:
                 same = lambda c, m=h.size, i=i: np.full(m, b.column(c)[i].as_py())
                 yield record_batch(schema, same(0), same(1), np.arange(h.size, dtype=np.int32), tx.as_long(h), same(2))
 
-    each = dictionary.mapInArrow(run, "trigger long, phrase long, at int, window long, n long")
+    each = dictionary.mapInArrow(tidy(run), "trigger long, phrase long, at int, window long, n long")
     twice = each.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
     return each.join(twice, "window").select("trigger", "phrase", F.col("at").alias("from"), F.col("at").alias("to"))
 
@@ -217,13 +217,22 @@ def covered(spans: pa.Array, bounds: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, symbols: Symbols, resolver: Resolver, length: int, k: int, dtype: str) -> DataFrame:
-    """rid, doc_id, text and spans (null where nothing repeats) of every row of docs (doc_id, text)."""
+def apply_spans(docs: DataFrame, symbols: Symbols, resolver: Resolver, length: int, k: int, dtype: str, run, schema: str) -> DataFrame:
+    """run, a function over Arrow batches of rid, doc_id, text and spans (null where nothing repeats), on every row of
+    docs (doc_id, text)."""
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("rid"), "doc_id", "text")
     spans = written(repeated(rows, symbols, resolver, length, k, dtype), "spans")
     flags = key_filter(spans, "rid")
+    kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                b = b.filter(pa.array(~in_filter(flags.value, b.column(0).to_numpy())))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, kind)], names=["rid", "doc_id", "text", "spans"])
+
     # only rows that may have spans are shuffled to meet them
-    met = maybe_in(rows, "rid", flags).join(spans.hint("shuffle_hash"), "rid", "left")
-    others = maybe_in(rows, "rid", flags, keep=False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    return met.unionByName(others)
+    met = maybe_in(rows, "rid", flags).join(spans.hint("shuffle_hash"), "rid", "left").select("rid", "doc_id", "text", "spans")
+    return met.mapInArrow(tidy(run), schema).unionByName(rows.mapInArrow(tidy(lambda batches: run(others(batches))), schema))
