@@ -36,17 +36,15 @@ PERCENT = 75
 SMALLEST, SHARED = 8, 3
 #: Parts of the suffix filter's histogram.
 PARTS = 64
-#: Counters of the table that orders shingles: 16 MB, whatever the corpus.
-COUNTERS = 1 << 21
-#: Prefixes that hold a shingle from which on it is common.
-COMMON = 16
+#: Counters of the table that orders shingles: 8 MB, whatever the corpus.
+COUNTERS = 1 << 20
 #: A shingle whose counter is so far above the mean is dealt out by salt.
 HOT, SALTS = 5000, 64
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS, counts: np.ndarray | None = None, late: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all documents of a block, and the first of each document (n + 1 values); by hash, or
-    rare first by the counts, those in the filter ``late`` after all others. Each is a fixed order of all shingles."""
+    rare first by the counts."""
     n = len(offsets) - 1
     data = tx.lower(data)
     starts, ends, bounds = tx.word_spans(data, offsets)
@@ -62,8 +60,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS, counts:
     key = of << np.uint64(32)
     if counts is not None:
         key |= np.minimum(counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)], 0x7FFFFFFF).astype(np.uint64)
-        if late is not None:
-            key |= in_filter(late, tx.as_long(h)).astype(np.uint64) << np.uint64(31)
     order = np.lexsort((h, key))
     h, of = h[order], of[order]
     new = np.ones(h.size, bool)
@@ -96,7 +92,7 @@ def _signatures(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _counts(rows: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold a shingle of each counter: 2**21 counters, added up in chunks."""
+    """How many documents hold a shingle of each counter: 2**20 counters, added up in chunks."""
     chunk = 1 << 14
     schema = pa.schema([("chunk", pa.int32()), ("counts", pa.list_(pa.int64()))])
 
@@ -124,9 +120,9 @@ def prefix_size(n, percent: int = PERCENT):
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(rows: DataFrame, near, k: int, percent: int, counts, late=None, only=None) -> DataFrame:
-    """h, rid, salt (, n, pos): the rare-first prefix of the set of every row whose rid may be in the filter near; late: a filter of shingles that come last in
-    the order; only: a filter of wanted shingles."""
+def _prefixes(rows: DataFrame, near, k: int, percent: int, counts, only=None) -> DataFrame:
+    """h, rid, salt (, n, pos): the rare-first prefix of the set of every row whose rid may be in the filter near;
+    only: a filter of wanted shingles."""
     mean = counts.value.mean()
     full = only is not None
     fields = [("h", pa.int64()), ("rid", pa.int64()), ("salt", pa.int16())]
@@ -137,7 +133,7 @@ def _prefixes(rows: DataFrame, near, k: int, percent: int, counts, late=None, on
             if b.num_rows:
                 b = b.filter(pa.array(in_filter(near.value, b.column(0).to_numpy())))
             for lo, hi, data, offsets in tx.blocks(b.column(1)):
-                h, bounds = shingle_sets(data, offsets, k, counts.value, None if late is None else late.value)
+                h, bounds = shingle_sets(data, offsets, k, counts.value)
                 size = np.diff(bounds)
                 take = np.where(size > 0, prefix_size(size, percent), 0)
                 of = np.repeat(np.arange(hi - lo), take)
@@ -237,10 +233,7 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # step 3: the exact join of what is still apart
     counts = rows.sparkSession.sparkContext.broadcast(_counts(rows, k))
     near = key_filter(classes, "rid")
-    # shingles found in many prefixes are common for certain, which counters that others share can hide: they go last
-    common = _prefixes(rows, near, k, percent, counts).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > COMMON).select("h")
-    late = key_filter(common, "h")
-    lists = _prefixes(rows, near, k, percent, counts, late).repartition("h", "salt").groupBy("h", "salt").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("a"), F.max("rid").alias("b"))
+    lists = _prefixes(rows, near, k, percent, counts).repartition("h", "salt").groupBy("h", "salt").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("a"), F.max("rid").alias("b"))
     lists = lists.where("m > 1 or salt > 0").groupBy("h").agg(F.sum("m").alias("m"), F.min("a").alias("a"), F.max("b").alias("b"))
     lists = written(lists.where("m > 1 and a <> b"), "lists")
     group = classes.select("rid").join(first.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("component", "rid").alias("component"))
@@ -248,10 +241,15 @@ def _linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     g1, g2 = group.select(F.col("rid").alias("a"), F.col("component").alias("c1")), group.select(F.col("rid").alias("b"), F.col("component").alias("c2"))
     twos = lists.where("m = 2").select("a", "b").distinct().join(g1, "a").join(g2, "b").where("c1 <> c2").select("a", "b")
     longer = lists.where("m > 2").select("h")
-    again = _prefixes(rows, near, k, percent, counts, late, key_filter(longer, "h"))
+    again = _prefixes(rows, near, k, percent, counts, key_filter(longer, "h"))
     again = again.join(longer, "h").join(group, "rid").select("h", "rid", "n", "pos", "component")
     spread = again.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("h")
     again = written(again.join(spread, "h"), "apart")
+    # copies with few edits share many shingles: lists of the same members are one list, at each member's first place,
+    # which is no later than the first shingle that a pair shares
+    same = again.groupBy("h").agg(F.sum(F.xxhash64("rid").cast("decimal(38,0)")).alias("f"), F.count(F.lit(1)).alias("m"))
+    again = again.join(same, "h").groupBy("f", "m", "rid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"), F.first("component").alias("component"))
+    again = written(again.withColumn("h", F.xxhash64("f", "m")).drop("f", "m"), "lists-apart")
     left = again.select("h", F.col("rid").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("i"), F.col("component").alias("c1"))
     right = again.select("h", F.col("rid").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("j"), F.col("component").alias("c2"))
     need = F.ceil((F.col("n1") + F.col("n2")) * percent / (100 + percent) - 1e-9)
