@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import modest_batches, record_batch, tidy
+from marketlens.llm.tables import first_by_hash, modest_batches, record_batch, tidy
 
-FIT_DOCUMENTS = 3000
+FIT_DOCUMENTS = 1000
 FIT_WORDS = 1 << 17
 FIT_GRAMS = 1 << 15
 GRAMS = (5, 4, 3, 2, 1)
@@ -139,10 +139,10 @@ class Model:
 
 def fit(labelled: DataFrame, max_documents: int = FIT_DOCUMENTS) -> Model:
     """A model from the first ``max_documents`` rows (doc_id, text, lang), in hash order, that have a text and a lang."""
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(max_documents).drop("h").toArrow()
+    rows = first_by_hash(labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang"), max_documents).toArrow().sort_by([("_h", "ascending"), ("lang", "ascending")])
     langs = sorted(set(rows["lang"].to_pylist()))
     number = {x: k for k, x in enumerate(langs)}
-    lang = np.array([number[x] for x in rows["lang"].to_pylist()], dtype=np.int64)
+    lang = np.array([number[x] for x in rows["lang"].to_pylist()], dtype=np.int16)
     words, word_langs, grams = [], [], {n: ([], []) for n in GRAMS}
     for lo, hi, data, offsets in tx.blocks(rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string())):
         data = tx.lower(data)
@@ -156,7 +156,7 @@ def fit(labelled: DataFrame, max_documents: int = FIT_DOCUMENTS) -> Model:
             grams[n][0].append(keys)
             grams[n][1].append(of[word])
     flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return Model(langs, Table.of(flat(words, np.uint64), flat(word_langs, np.int64), len(langs), FIT_WORDS, 2), {n: Table.of(flat(grams[n][0], np.uint64), flat(grams[n][1], np.int64), len(langs), FIT_GRAMS, 2) for n in GRAMS})
+    return Model(langs, Table.of(flat(words, np.uint64), flat(word_langs, np.int16), len(langs), FIT_WORDS, 2), {n: Table.of(flat(grams[n][0], np.uint64), flat(grams[n][1], np.int16), len(langs), FIT_GRAMS, 2) for n in GRAMS})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
