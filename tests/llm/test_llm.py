@@ -378,6 +378,29 @@ def test_attention_lm_learns_and_sums_to_one():
     assert np.allclose(share[np.unique(model.group)], 1) and before < 0 and every.size == attention_lm.IDS - 1
 
 
+def test_attention_lm_counts_every_training_document(spark):
+    words = [f"{a} {b}" for a in ("red", "blue", "green") for b in ("stone", "river", "cloud")]
+    docs = [(i, f"{words[i % 9]} and {words[i % 7]}" + " marmalade" * (i % 100 == 99)) for i in range(2500)]
+    model = attention_lm.fit(_frame(spark, docs).repartition(5).select("doc_id", "text"))
+    data, offsets = tx.column_bytes(pa.array([t for _, t in docs]))
+    counts = np.bincount(subwords.Encoder.of(attention_lm.VOCABULARY).ids(data, offsets)[0], minlength=attention_lm.IDS)
+    counts[attention_lm.END] += len(docs)
+    weight = counts + np.where(model.place == model.place.max(), 1.0, 0.01)
+    assert np.allclose(model.inside, np.log10(weight / np.bincount(model.group, weights=weight)[model.group]))
+
+
+def test_attention_lm_shards_and_rounds_learn(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    docs = [(i, " ".join("ten cats saw nine dogs near two old red barns".split()[(s + k) % 10] for k in range(40))) for i, s in enumerate(rng.integers(0, 10, 400))]
+    frame = _frame(spark, docs).select("doc_id", "text")
+    monkeypatch.setattr(attention_lm, "SHARD_IDS", 4000)
+    model, again = attention_lm.fit(frame.repartition(3)), attention_lm.fit(frame.repartition(7))
+    assert all(np.allclose(model.p[k], again.p[k], atol=1e-3) for k in model.p)  # however the rows lie
+    data, offsets = tx.column_bytes(pa.array([t for _, t in docs[:50]]))
+    ids, bounds = subwords.Encoder.of(attention_lm.VOCABULARY).ids(data, offsets)
+    assert attention_lm.score(model, model.table(), ids, bounds).mean() > 41 * np.log10(1 / 11) * 0.5
+
+
 def test_attention_lm_odd_tables(spark, empty):
     assert attention_lm.score_documents(empty).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
