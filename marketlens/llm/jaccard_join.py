@@ -144,7 +144,8 @@ def _prefixes(rows: DataFrame, near, k: int, percent: int, counts, only=None) ->
                     h, of, pos = h[keep], of[keep], pos[keep]
                 rid = b.column(0).slice(lo, hi - lo).to_numpy()[of]
                 hot = counts.value[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] > mean + HOT
-                salt = np.where(hot, rid & (SALTS - 1), 0).astype(np.int16)
+                # salt 0 means not hot, so that a part of a hot shingle is never taken for the whole of a rare one
+                salt = np.where(hot, (rid & (SALTS - 1)) + 1, 0).astype(np.int16)
                 yield record_batch(schema, tx.as_long(h), rid, salt, *([size[of].astype(np.int32), pos.astype(np.int32)] if full else []))
 
     return rows.select("rid", "text").mapInArrow(tidy(run), "h long, rid long, salt short" + ", n int, pos int" * full)

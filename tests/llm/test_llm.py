@@ -308,6 +308,22 @@ def test_jaccard_join_of_small_sets(spark):
     assert _sorted(jaccard_join.join(_frame(spark, docs)).collect()) == _sorted(brute.jaccard(docs))
 
 
+def test_jaccard_join_of_hot_shingles(spark, monkeypatch):
+    """Every shingle hot, few parts, and no pair linked by smallest hashes: each part of a shingle must count."""
+    monkeypatch.setattr(jaccard_join, "HOT", -(10**9))
+    monkeypatch.setattr(jaccard_join, "SALTS", 2)
+    monkeypatch.setattr(jaccard_join, "SHARED", 99)
+    rng = random.Random(3)
+    docs = []
+    for g in range(40):
+        words = [f"g{g}w{k}" for k in range(60)]
+        docs.append((len(docs), " ".join(words)))
+        for _ in range(1 + g % 2):
+            words[rng.randrange(5, 55)] = "edit"
+            docs.append((len(docs), " ".join(words)))
+    assert _sorted(jaccard_join.join(_frame(spark, docs)).collect()) == _sorted(brute.jaccard(docs))
+
+
 def test_keep_one(frame, corpus):
     kept = jaccard_join.keep_one(frame)
     assert kept.columns == frame.columns
