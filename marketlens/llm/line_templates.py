@@ -5,9 +5,10 @@ variable and count as one wildcard. In a leaf, lines join the template they agre
 they differ become wildcards. Templates found in many documents are boilerplate: all their lines go but the first one
 (by doc_id and line), so that one document keeps it.
 
-Only leaves that hold several different lines are clustered, each as one sequence in the order of the lines' hashes; a
-crowded leaf is split by further words first, and lines that stay crowded are templates of their own. Counting is by
-partial aggregates, so a line found in a third of all documents is no task's burden.
+Only leaves that hold several different lines are clustered, each as one sequence in the order of the lines' hashes,
+whatever their number: a leaf is one task's. In a crowded leaf an index of the templates' words finds those that a line
+may join, with the same result as comparing it with all. Counting is by partial aggregates, so a line found in a third
+of all documents is no task's burden.
 
 Defined cases: a null text stays null and has no lines; lines without a word are never counted nor dropped; repeated
 rows (equal doc_id and text) count as one document; a null doc_id counts and comes first; other columns are untouched.
@@ -26,13 +27,13 @@ from pyspark.sql import types as T
 from marketlens.llm import text as tx
 from marketlens.llm.tables import in_filter, key_filter, maybe_in, modest_batches, record_batch, tidy, written
 
-#: Leading words that the tree looks at, and those by which a crowded leaf is split.
-DEPTH, DEEPER = 3, 8
+#: Leading words that the tree looks at.
+DEPTH = 3
 #: Share of equal places with which a line joins a template.
 ALIKE = 0.8
 #: Documents from which on a template is boilerplate.
 MIN_DOCUMENTS = 10
-#: Different lines of a leaf above which it is split.
+#: Different lines of a leaf above which its templates are indexed; it changes no result.
 CROWDED = 1000
 
 _DIGIT = np.zeros(256, bool)
@@ -53,16 +54,16 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return ld[ok], number[ok], words, first[ok], after[ok]
 
 
-def _keys(words: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf, deeper leaf and whole masked line of each line, as hashes."""
+def _keys(words: np.ndarray, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf and whole masked line of each line, as hashes."""
     prefix = tx.Prefix(words)
     size = (after - first).astype(np.uint64)
     salt = size * np.uint64(0x9E3779B97F4A7C15)
-    return tuple(tx.mix(prefix.raw(first, np.minimum(after, first + d)) + salt) for d in (DEPTH, DEEPER)) + (tx.mix(prefix.raw(first, after) + salt + np.uint64(1)),)
+    return tx.mix(prefix.raw(first, np.minimum(after, first + DEPTH)) + salt), tx.mix(prefix.raw(first, after) + salt + np.uint64(1))
 
 
 def _line_rows(rows: DataFrame) -> DataFrame:
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("deep", pa.int64()), ("full", pa.int64())])
+    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("leaf", pa.int64()), ("full", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,7 +72,7 @@ def _line_rows(rows: DataFrame) -> DataFrame:
                 take = pa.array(doc)
                 yield record_batch(schema, b.column(0).slice(lo, hi - lo).take(take), b.column(1).slice(lo, hi - lo).take(take), number.astype(np.int32), *map(tx.as_long, _keys(words, first, after)))
 
-    return rows.mapInArrow(tidy(run), "rid long, doc_id long, line int, leaf long, deep long, full long")
+    return rows.mapInArrow(tidy(run), "rid long, doc_id long, line int, leaf long, full long")
 
 
 def _line_words(rows: DataFrame, wanted) -> DataFrame:
@@ -82,7 +83,7 @@ def _line_words(rows: DataFrame, wanted) -> DataFrame:
         for b in batches:
             for _, _, data, offsets in tx.blocks(b.column(2)):
                 _, _, words, first, after = _lines(data, offsets)
-                full = tx.as_long(_keys(words, first, after)[2])
+                full = tx.as_long(_keys(words, first, after)[1])
                 _, once = np.unique(full, return_index=True)
                 once = once[in_filter(wanted.value, full[once])]
                 raw = words.tobytes()
@@ -91,28 +92,61 @@ def _line_words(rows: DataFrame, wanted) -> DataFrame:
     return rows.mapInArrow(tidy(run), "full long, words binary")
 
 
-def cluster(lines: np.ndarray, alike: float = ALIKE) -> np.ndarray:
+class _Index:
+    """Templates by the words of their places, to find all that a line may join."""
+
+    def __init__(self, length: int, alike: float):
+        self.at: list[dict[int, list[int]]] = [{} for _ in range(length)]
+        self.spare = (1 - alike) * length + 1e-9
+
+    def add(self, template: int, place: int, word: int) -> None:
+        self.at[place].setdefault(word, []).append(template)
+
+    def found(self, line: list[int]) -> np.ndarray | None:
+        """Numbers of templates among which are all that agree enough, or None for all. Such a template disagrees in no
+        more than ``spare`` places, and half a place for each of the line's own wildcards; so of one place more, it
+        has the line's word or a wildcard in at least one."""
+        few = int(self.spare + 0.5 * line.count(int(_ANY))) + 1
+        if few > len(line):
+            return None
+        lists = [[self.at[p].get(w, ()), self.at[p].get(int(_ANY), ())] for p, w in enumerate(line)]
+        least = sorted(lists, key=lambda x: len(x[0]) + len(x[1]))[:few]
+        return np.array(sorted({t for x in least for y in x for t in y}), np.int64)
+
+
+def cluster(lines: np.ndarray, alike: float = ALIKE, crowded: int | None = None) -> np.ndarray:
     """Number of the template each line (rows of masked word hashes, all of one length) joins, in the given order."""
     templates = np.zeros((0, lines.shape[1]), np.uint64)
     size, out = 0, np.zeros(len(lines), np.int64)
+    index = _Index(lines.shape[1], alike) if len(lines) > (CROWDED if crowded is None else crowded) else None
     for i, line in enumerate(lines):
-        if size:
-            same = (templates[:size] == line).sum(axis=1) + 0.5 * (templates[:size] == _ANY).sum(axis=1)
+        among = index.found(line.tolist()) if index else None
+        known = templates[:size] if among is None else templates[among]
+        if len(known):
+            same = (known == line).sum(axis=1) + 0.5 * (known == _ANY).sum(axis=1)
             best = int(same.argmax())
             if same[best] >= alike * line.size:
-                templates[best][templates[best] != line] = _ANY
+                best = best if among is None else int(among[best])
+                new = np.flatnonzero((templates[best] != line) & (templates[best] != _ANY))
+                templates[best][new] = _ANY
+                if index:
+                    for place in new.tolist():
+                        index.add(best, place, int(_ANY))
                 out[i] = best
                 continue
         if size == len(templates):
             templates = np.concatenate([templates, np.zeros((max(8, size), lines.shape[1]), np.uint64)])
         templates[size] = line
+        if index:
+            for place, word in enumerate(line.tolist()):
+                index.add(size, place, word)
         out[i] = size
         size += 1
     return out
 
 
 def _clustered(words: DataFrame) -> DataFrame:
-    """full, template (the smallest hash of its lines) from rows of leaf, full, words; a leaf is one task's, and small."""
+    """full, template (the smallest hash of its lines) from rows of leaf, full, words; a leaf is one task's."""
     schema = pa.schema([("full", pa.int64()), ("template", pa.int64())])
 
     def settle(full: list[int], words: list[bytes]) -> pa.RecordBatch:
@@ -141,13 +175,9 @@ def _clustered(words: DataFrame) -> DataFrame:
 def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """rid, line of the lines to drop, from rows of rid, doc_id, text."""
     lines = written(_line_rows(rows), "lines")
-    kinds = lines.groupBy("leaf", "deep", "full").agg(F.count(F.lit(1)).alias("n"))
-    kinds = written(kinds, "kinds")
+    kinds = written(lines.groupBy("leaf", "full").agg(F.count(F.lit(1)).alias("n")), "kinds")
     crowd = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = kinds.join(crowd, "leaf")
-    deeper = shared.where(F.col("k") > CROWDED).groupBy("deep").agg(F.count(F.lit(1)).alias("dk")).where(f"dk > 1 and dk <= {CROWDED}")
-    tree = shared.where(F.col("k") <= CROWDED).select("leaf", "full").unionByName(shared.where(F.col("k") > CROWDED).join(deeper, "deep").select(F.col("deep").alias("leaf"), "full"))
-    tree = written(tree, "tree")
+    tree = written(kinds.join(crowd, "leaf").select("leaf", "full"), "tree")
     words = _line_words(rows, key_filter(tree, "full")).groupBy("full").agg(F.first("words").alias("words")).join(tree, "full").select("leaf", "full", "words")
     joined = written(_clustered(words), "templates")
     found = lines.join(joined, "full", "left").select("rid", "doc_id", "line", F.coalesce("template", "full").alias("template"))

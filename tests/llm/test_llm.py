@@ -202,6 +202,24 @@ def test_crowded_leaves(spark, monkeypatch):
     assert 0 <= got <= 11
 
 
+def test_crowded_leaves_are_generalised(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+    docs = [(i, f"Posted by the user {name(i)} on our site") for i in range(1200)]
+    assert line_templates.drop_lines(_frame(spark, docs)).agg(F.sum("_n_removed")).first()[0] == 1199
+
+
+@pytest.mark.parametrize("length", [4, 5, 8, 11, 20])
+def test_indexed_templates_are_the_same(length):
+    rng = np.random.default_rng(length)
+    words = np.append(np.arange(1, 7), line_templates._ANY).astype(np.uint64)
+    base = rng.choice(words, (12, length))
+    lines = base[rng.integers(0, 12, 1500)]
+    edit = rng.random(lines.shape) < 0.2
+    lines[edit] = rng.choice(np.append(np.arange(1, 400), line_templates._ANY).astype(np.uint64), int(edit.sum()))
+    low, high = (line_templates.cluster(lines, crowded=c) for c in (0, 10**9))
+    assert (low == high).all()
+
+
 def test_packing(frame, corpus):
     rows = packing.pack_documents(frame).collect()
     tok = subwords.load(packing.VOCABULARY)
