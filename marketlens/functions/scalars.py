@@ -130,21 +130,32 @@ def worst_health(unhealthy, degraded) -> Column:
 
 
 def request_error(status, message) -> Column:
-    """(type, recoverable, rate_limited) of a logged request, by status code, then by words of the message."""
+    """(type, recoverable, rate_limited) of a logged request: by its status code if it failed with one, else by words of
+    the message; null for a request that went well."""
     status, m = _c(status), F.lower(F.coalesce(_c(message), F.lit("")))
-    has = lambda *words: F.greatest(*[m.contains(w) for w in words], F.lit(False))
-    out = lambda kind, again, limited: F.struct(F.lit(kind).alias("error_type"), F.lit(again).alias("recoverable"), F.lit(limited).alias("rate_limited"))
-    return (
-        F.when(status.isin(418, 429) | has("rate limit", "too many requests"), out("rate_limited", True, True))
-        .when(status.isin(401, 403), out("auth", False, False))
-        .when(status == 404, out("not_found", False, False))
-        .when(has("timeout", "deadline exceeded") | (status == 408), out("timeout", True, False))
-        .when(status >= 500, out("server", True, False))
-        .when(status >= 400, out("client", False, False))
-        .when(has("connection", "network", "eof", "dns"), out("network", True, False))
-        .when(has("invalid character", "unmarshal", "decode", "parse"), out("decode", False, False))
-        .when(m != "", out("unknown", True, False))
+    has = lambda *words: F.coalesce(*[F.when(m.contains(w), F.lit(True)) for w in words], F.lit(False))
+    out = lambda kind, again=False, limited=False: F.struct(F.lit(kind).alias("error_type"), F.lit(again).alias("recoverable"), F.lit(limited).alias("rate_limited"))
+    by_status = (
+        F.when(status == 429, out("rate_limited", True, True))
+        .when(status.isin(401, 403), out("unauthorized"))
+        .when(status == 404, out("not_found"))
+        .when((status == 400) & has("invalid symbol", "unknown symbol", "instrument_id", "symbol invalid"), out("invalid_symbol"))
+        .when(status >= 500, out("server_error", True))
+        .when(status >= 400, out("bad_request"))
     )
+    by_message = (
+        F.when(has("deadline exceeded", "context canceled", "timeout"), out("timeout", True))
+        .when(has("connection re", "no such host", "network is unreachable", "broken pipe"), out("network_error", True))
+        .when(has("rate limit", "too many requests"), out("rate_limited", True, True))
+        .when(has("invalid symbol", "unknown symbol"), out("invalid_symbol"))
+        .when(has("unauthorized", "forbidden"), out("unauthorized"))
+        .when(has("not found"), out("not_found"))
+        .when(has("unresolved request placeholder", "malformed template"), out("bad_request"))
+        .when(has("normalize"), out("normalizer_error"))
+        .when(has("parse", "invalid response"), out("invalid_response"))
+        .when(m != "", out("unknown", True))
+    )
+    return F.when(status >= 400, by_status).otherwise(by_message)
 
 
 # ---- identity strings ----

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import deep_degraded, effective_price, mean, not_negative, positive, shallow_healthy, simple_spread, spread_bps, spread_percent, taker_delta, total
-from marketlens.operators.asof import asof_latest, window_stats
+from marketlens.operators import trailing
+from marketlens.operators.asof import asof_latest
+from marketlens.operators.trailing import window_stats
 from marketlens.options import AnalyticsOptions, FlagThresholds
 
 
@@ -74,7 +76,7 @@ def enrichment(tables: Mapping[str, DataFrame], grid: DataFrame, options: Analyt
     if "liquidations" in tables:
         names = ("long", "short", "total")
         kept = lambda c: F.when(F.col(c) >= 0, F.col(c)).otherwise(0.0).cast("double" if s is None else f"decimal(28,{s})")
-        got = window_stats(tables["liquidations"], grid, "bucket_time", {"w": options.liquidation_lookback}, {f"{n}_usd": F.sum(F.when(F.col(f"{n}_liquidation_usd").isNotNull(), kept(f"{n}_liquidation_usd"))) for n in names}, closed=True)
+        got = window_stats(tables["liquidations"], grid, "bucket_time", {"w": options.liquidation_lookback}, {f"{n}_usd": trailing.total(F.when(F.col(f"{n}_liquidation_usd").isNotNull(), kept(f"{n}_liquidation_usd"))) for n in names}, closed=True)
         out = out.join(got.select("symbol_id", "as_of", *[zero(F.col(f"{n}_usd").cast("double")).alias(f"{n}_liquidation_usd") for n in names]), ["symbol_id", "as_of"], "left").fillna(0.0, [f"{n}_liquidation_usd" for n in names])
     return out
 
@@ -115,25 +117,29 @@ def window_metrics(tables: Mapping[str, DataFrame], grid: DataFrame, options: An
     if "cvd" in tables:
         c = at(cvd_at(tables["cvd"], instants, options), ["cvd"])
         out = out.join(c.select(*on, (F.coalesce("cvd_now", F.lit(0.0)) - F.coalesce("cvd_then", F.lit(0.0))).alias("cvd_change")), on, "left")
+    exact = lambda c: F.col(c) if s is None else F.col(c).cast(f"decimal(28,{s})")
     specs = {
-        "funding": ("snapshot_time", F.col("funding_rate"), {"funding_avg": None, "funding_min": F.min("v"), "funding_max": F.max("v")}),
-        "taker_flow": ("snapshot_time", taker_delta(), {"taker_delta": F.coalesce(total("v", s), F.lit(0.0))}),
-        "liquidations": ("bucket_time", F.when(F.col("total_liquidation_usd") >= 0, F.col("total_liquidation_usd")).otherwise(0.0), {"liquidation_sum_usd": F.coalesce(total("v", s), F.lit(0.0))}),
-        "basis": ("snapshot_time", F.col("basis_percent"), {"basis_avg": None, "basis_min": F.min("v"), "basis_max": F.max("v")}),
+        "funding": ("snapshot_time", F.col("funding_rate")),
+        "basis": ("snapshot_time", F.col("basis_percent")),
+        "taker_delta": ("snapshot_time", taker_delta()),
+        "liquidation_sum_usd": ("bucket_time", F.when(F.col("total_liquidation_usd") >= 0, F.col("total_liquidation_usd")).otherwise(0.0)),
     }
-    for name, (ts, value, stats) in specs.items():
-        if name not in tables:
-            continue
-        facts = tables[name].where(shallow_healthy("raw_data")).select("symbol_id", ts, value.alias("v"))
-        averages = [k for k, a in stats.items() if a is None]
-        plain = {k: a for k, a in stats.items() if a is not None}
-        sums = {f"{k}_n": F.count("v") for k in averages} | {f"{k}_s": total("v", s) if s is None else F.sum(F.col("v").cast(f"decimal(28,{s})")) for k in averages}
-        if s is not None and not averages:
-            plain = {k: F.sum(F.col("v").cast(f"decimal(28,{s})")) for k in plain}
-        got = window_stats(facts, grid, ts, windows, plain | sums)
-        cols = [(F.col(f"{k}_s").cast("double") / F.nullif(F.col(f"{k}_n"), F.lit(0))).alias(k) for k in averages]
-        cols += [(F.coalesce(F.col(k).cast("double"), F.lit(0.0)) if k in ("taker_delta", "liquidation_sum_usd") else F.col(k)).alias(k) for k in plain]
-        out = out.join(got.select(*on, *cols), on, "left")
+    source = {"taker_delta": "taker_flow", "liquidation_sum_usd": "liquidations"}
+    given = {k: (tables[source.get(k, k)], ts, v) for k, (ts, v) in specs.items() if source.get(k, k) in tables}
+    if not given:
+        return out
+    # all facts as one stream with a column each, so that the windows are covered once
+    facts, stats, cols = None, {}, []
+    for k, (table, ts, value) in given.items():
+        own = table.where(shallow_healthy("raw_data")).select("symbol_id", F.col(ts).alias("_ts"), value.alias(k))
+        facts = own if facts is None else facts.unionByName(own, allowMissingColumns=True)
+        stats[f"{k}_s"] = trailing.total(exact(k))
+        if k in source:
+            cols.append(F.coalesce(F.col(f"{k}_s").cast("double"), F.lit(0.0)).alias(k))
+        else:
+            stats |= {f"{k}_n": trailing.count(F.col(k)), f"{k}_min": trailing.lowest(F.col(k)), f"{k}_max": trailing.highest(F.col(k))}
+            cols += [(F.col(f"{k}_s").cast("double") / F.nullif(F.col(f"{k}_n"), F.lit(0))).alias(f"{k}_avg"), f"{k}_min", f"{k}_max"]
+    out = out.join(window_stats(facts, grid, "_ts", windows, stats).select(*on, *cols), on, "left")
     return out
 
 

@@ -1,4 +1,4 @@
-"""Newest row per key, as of instants, and statistics over trailing windows.
+"""Newest row per key, and as of instants.
 
 A range join of facts and instants is quadratic within a key. Here facts and instants are one sorted stream: instants
 are marker rows, and a marker looks back along the order. Keys are cut into spans of time, and the rows that the next
@@ -7,9 +7,7 @@ span may still need are copied into it, so a hot key is many tasks and no result
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import micros
@@ -46,22 +44,3 @@ def asof_latest(facts: DataFrame, grid: DataFrame, ts_col: str, max_age: int, sy
     found = rows.withColumn("_found", F.last(F.when(F.col("_marker") == 0, F.struct("_row", "_us")), ignorenulls=True).over(order))
     found = found.where("_marker = 1").where(F.col("_us") - F.col("_found._us") <= max_age)
     return found.select(symbol, as_of, venue, "_found._row.*")
-
-
-def window_stats(facts: DataFrame, grid: DataFrame, ts_col: str, windows: Mapping[str, int], stats: Mapping[str, Column], keys: tuple[str, ...] = ("symbol_id",), as_of: str = "as_of", closed: bool = False) -> DataFrame:
-    """One row per grid row and window: keys, as_of, window and the stats over the facts in ``(as_of - w, as_of]``, or
-    with ``closed`` in ``[as_of - w, as_of]``.
-
-    stats are aggregates over columns of facts; rows of the grid have nulls there. All windows share one sort.
-    """
-    reach = max(windows.values())
-    span = max(DAY, reach)
-    values = [c for c in facts.columns if c not in (*keys, ts_col)]
-    f = _spanned(facts.where(F.col(ts_col).isNotNull()).select(*keys, *values, micros(ts_col).alias("_us")), "_us", span, reach)
-    g = grid.select(*keys, as_of, micros(as_of).alias("_us")).distinct().withColumn("_span", F.floor(F.col("_us") / span).cast("long"))
-    rows = f.withColumn(as_of, F.lit(None).cast(grid.schema[as_of].dataType)).withColumn("_marker", F.lit(0)).unionByName(g.withColumn("_marker", F.lit(1)), allowMissingColumns=True)
-    for label, w in windows.items():
-        frame = Window.partitionBy(*keys, "_span").orderBy("_us").rangeBetween(-w if closed else -(w - 1), 0)
-        rows = rows.withColumns({f"_{label}_{name}": agg.over(frame) for name, agg in stats.items()})
-    each = [F.struct(F.lit(label).alias("window"), *[F.col(f"_{label}_{name}").alias(name) for name in stats]) for label in windows]
-    return rows.where("_marker = 1").select(*keys, as_of, F.explode(F.array(*each)).alias("_s")).select(*keys, as_of, "_s.*")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import mean, shallow_healthy, time_bucket, total
-from marketlens.operators.asof import window_stats
+from marketlens.operators import trailing
+from marketlens.operators.trailing import window_stats
 from marketlens.options import DAY, WINDOWS
 
 #: Rollup levels: source interval, target interval and the target's seconds.
@@ -67,6 +68,10 @@ def rollup_probe(klines: DataFrame, source: str, cutoff) -> DataFrame:
     return k.agg(F.coalesce(F.min("open_time"), F.lit(cutoff).cast("timestamp")).alias("window_start"), F.count(F.lit(1)).alias("row_count"))
 
 
+#: Lowest and highest prices that a window keeps, of which the levels are chosen.
+_NEAREST = 16
+
+
 def _levels(column: str, highest: bool, limit: int = 3):
     """The first different values in order, skipping those within 1e-9 of the one before."""
     values = F.sort_array(F.col(column), asc=not highest)
@@ -76,14 +81,15 @@ def _levels(column: str, highest: bool, limit: int = 3):
 
 def market_structure(candles: DataFrame, grid: DataFrame, windows: Mapping[str, int] = WINDOWS) -> DataFrame:
     """Trend, state, swing levels, position and support and resistance over the candles in ``[as_of - w, as_of]``."""
+    close, priced = F.col("close"), F.col("close").isNotNull()
     stats = {
-        "candles": F.count("close"),
-        "first_close": F.first("close", ignorenulls=True),
-        "last_close": F.last("close", ignorenulls=True),
-        "high": F.max("high"),
-        "low": F.min("low"),
-        "lows": F.collect_set("low"),
-        "highs": F.collect_set("high"),
+        "candles": trailing.count(close),
+        "first_close": trailing.first(close, priced),
+        "last_close": trailing.last(close, priced),
+        "high": trailing.highest(F.col("high")),
+        "low": trailing.lowest(F.col("low")),
+        "lows": trailing.extremes(F.col("low"), _NEAREST, largest=False),
+        "highs": trailing.extremes(F.col("high"), _NEAREST, largest=True),
     }
     s = window_stats(candles.select("symbol_id", "open_time", "high", "low", "close"), grid, "open_time", windows, stats, closed=True)
     enough = F.col("candles") >= 2
@@ -108,26 +114,37 @@ def volatility(candles: DataFrame, grid: DataFrame, windows: Mapping[str, int] =
     True range and return look at the candle before; a window's first candle has none, so its own part is taken out of
     the window's sums again. With no candle in a window all measures are null.
     """
-    before = F.lag("close").over(Window.partitionBy("symbol_id").orderBy("open_time"))
-    c = candles.select("symbol_id", "open_time", "high", "low", "close", before.alias("p"))
+    c = _with_previous_close(candles.select("symbol_id", "open_time", "high", "low", "close"))
     own = F.col("high") - F.col("low")
     c = c.withColumn("hl", own).withColumn("tr", F.greatest(own, F.abs(F.col("high") - F.col("p")), F.abs(F.col("low") - F.col("p"))))
     c = c.withColumn("r", F.when((F.col("p") > 0) & (F.col("close") > 0), F.ln(F.col("close") / F.col("p")))).drop("p")
-    c = c.withColumn("r2", F.col("r") * F.col("r"))
     if scale is not None:  # exact sums, so that taking a part out again leaves no trace
         c = c.withColumns({k: F.col(k).cast(f"decimal(28,{scale})") for k in ("hl", "tr")})
-    first = F.first(F.when(F.col("close").isNotNull(), F.struct("hl", "tr", "r")), ignorenulls=True)
-    stats = {"n": F.count("close"), "high": F.max("high"), "low": F.min("low"), "close": F.last("close", ignorenulls=True), "tr": F.sum("tr"), "rs": F.sum("r"), "r2": F.sum("r2"), "rn": F.count("r"), "first": first}
-    s = window_stats(c, grid, "open_time", windows, stats, closed=True)
-    atr = (F.col("tr") - F.col("first.tr") + F.col("first.hl")).cast("double") / F.nullif(F.col("n"), F.lit(0))
-    lead = F.coalesce("first.r", F.lit(0.0))
-    n, rs, r2 = F.col("rn") - F.when(F.col("first.r").isNotNull(), 1).otherwise(0), F.col("rs") - lead, F.col("r2") - lead * lead
-    vol = F.when(n >= 2, F.sqrt(F.greatest(F.lit(0.0), (r2 - rs * rs / n) / (n - 1))) * F.sqrt(n))
-    rng = {}
-    wide = window_stats(c.select("symbol_id", "open_time", "high", "low", "close"), grid, "open_time", {"24h": DAY, "7d": 7 * DAY}, {k: stats[k] for k in ("high", "low", "close")}, closed=True)
-    for label in ("24h", "7d"):
-        rng[label] = wide.where(F.col("window") == label).select("symbol_id", "as_of", (F.try_divide(F.col("high") - F.col("low"), F.col("close")) * 100).alias(f"range_percent_{label}"))
-    out = s.select("symbol_id", "as_of", F.col("window").alias("period"), F.col("n").alias("candles"), F.col("high").alias("high_price"), F.col("low").alias("low_price"), F.col("close").alias("close_price"), atr.alias("atr"), (F.try_divide(atr, F.col("close")) * 100).alias("atr_percent"), vol.alias("realized_volatility"), (vol * 100).alias("realized_volatility_percent"))
-    for label in ("24h", "7d"):
-        out = out.join(rng[label], ["symbol_id", "as_of"], "left").withColumn(f"range_percent_{label}", F.when(F.col("candles") > 0, F.col(f"range_percent_{label}")))
-    return out
+    priced = F.col("close").isNotNull()
+    stats = {"n": trailing.count(F.col("close")), "high": trailing.highest(F.col("high")), "low": trailing.lowest(F.col("low")), "close": trailing.last(F.col("close"), priced), "tr": trailing.total(F.col("tr")), "returns": trailing.moments(F.col("r"))}
+    stats |= {f"first_{k}": trailing.first(F.col(k), priced) for k in ("hl", "tr", "r")}
+    ranges = {"24h": DAY, "7d": 7 * DAY}
+    s = window_stats(c, grid, "open_time", {**{f"range_{k}": w for k, w in ranges.items() if windows.get(k) != w}, **windows}, stats, closed=True)
+    atr = (F.col("tr") - F.col("first_tr") + F.col("first_hl")).cast("double") / F.nullif(F.col("n"), F.lit(0))
+    # moments of the returns without the first candle's
+    n, mean, x = F.col("returns.n"), F.col("returns.mean"), F.col("first_r")
+    fewer = n - F.when(x.isNotNull(), 1).otherwise(0)
+    left = F.when(x.isNull(), F.col("returns.m2")).otherwise(F.col("returns.m2") - (x - mean) * (x - F.try_divide(n * mean - x, n - 1)))
+    vol = F.when(fewer >= 2, F.sqrt(F.greatest(F.lit(0.0), left / (fewer - 1))) * F.sqrt(fewer))
+    percent = F.try_divide(F.col("high") - F.col("low"), F.col("close")) * 100
+    rows = s.select("symbol_id", "as_of", F.col("window").alias("period"), F.col("n").alias("candles"), F.col("high").alias("high_price"), F.col("low").alias("low_price"), F.col("close").alias("close_price"), atr.alias("atr"), (F.try_divide(atr, F.col("close")) * 100).alias("atr_percent"), vol.alias("realized_volatility"), (vol * 100).alias("realized_volatility_percent"), percent.alias("_range"))
+    label = {k: k if windows.get(k) == w else f"range_{k}" for k, w in ranges.items()}
+    # an instant's windows side by side: as many as there are labels
+    each = rows.groupBy("symbol_id", "as_of").agg(F.collect_list(F.struct(*rows.columns[2:])).alias("_w"), *[F.max(F.when(F.col("period") == name, F.col("_range"))).alias(f"_{k}") for k, name in label.items()])
+    out = each.select("symbol_id", "as_of", F.explode("_w").alias("_r"), *[f"_{k}" for k in label]).select("symbol_id", "as_of", "_r.*", *[f"_{k}" for k in label]).where(F.col("period").isin(*windows))
+    return out.withColumns({f"range_percent_{k}": F.when(F.col("candles") > 0, F.col(f"_{k}")) for k in label}).drop("_range", *[f"_{k}" for k in label])
+
+
+def _with_previous_close(candles: DataFrame) -> DataFrame:
+    """candles with p, the close of the symbol's candle before; days first, so that a long history is many tasks."""
+    c = candles.withColumn("_day", F.to_date("open_time"))
+    days = c.groupBy("symbol_id", "_day").agg(F.max_by("close", "open_time").alias("_close"))
+    days = days.select("symbol_id", "_day", F.lag("_close").over(Window.partitionBy("symbol_id").orderBy("_day")).alias("_before"))
+    day = Window.partitionBy("symbol_id", "_day").orderBy("open_time")
+    c = c.withColumn("_inside", F.lag("close").over(day)).withColumn("_at", F.row_number().over(day)).join(days, ["symbol_id", "_day"])
+    return c.withColumn("p", F.when(F.col("_at") == 1, F.col("_before")).otherwise(F.col("_inside"))).drop("_day", "_inside", "_at", "_before")

@@ -47,16 +47,21 @@ def rollup_then_expire(klines: DataFrame, source: str, cutoff, max_rows: int | N
     return rolled, kept, expired
 
 
-def expired_partitions(names: DataFrame, cutoff, column: str = "name") -> DataFrame:
-    """Partitions named ``..._YYYY_MM`` or ``..._YYYY_wWW`` (ISO weeks) whose range ends by the cutoff: name, range_start,
-    range_end. Other names are never expired."""
-    year = lambda p: F.try_to_number(F.regexp_extract(column, p, 1), F.lit("9999")).cast("int")
-    part = lambda p: F.try_to_number(F.regexp_extract(column, p, 2), F.lit("99")).cast("int")
-    monthly, weekly = r"_(\d{4})_(\d{2})$", r"_(\d{4})_w(\d{2})$"
-    month = F.when(F.col(column).rlike(monthly) & part(monthly).between(1, 12), F.make_date(year(monthly), part(monthly), F.lit(1)))
-    fourth = F.make_date(year(weekly), F.lit(1), F.lit(4))  # always in week 1
-    week = F.when(F.col(column).rlike(weekly) & part(weekly).between(1, 53), F.date_add(F.date_trunc("week", fourth).cast("date"), (part(weekly) - 1) * 7))
+# How partitions are named after their parent table, by month or by ISO week.
+MONTHLY, WEEKLY = r"(?i)_(\d{4})_(\d{2})$", r"(?i)_(\d{4})_w(\d{2})$"
+
+
+def expired_partitions(names: DataFrame, cutoff, column: str = "name", parent: str | None = None) -> DataFrame:
+    """Partitions ``..._YYYY_MM`` or ``..._YYYY_wWW`` (ISO weeks, either case) whose range ends by the cutoff: name,
+    range_start, range_end. With a parent table, only names that begin with its name. Other names are never expired."""
+    name = F.trim(column)
+    year = lambda p: F.try_to_number(F.regexp_extract(name, p, 1), F.lit("9999")).cast("int")
+    part = lambda p: F.try_to_number(F.regexp_extract(name, p, 2), F.lit("99")).cast("int")
+    month = F.when(name.rlike(MONTHLY) & part(MONTHLY).between(1, 12), F.make_date(year(MONTHLY), part(MONTHLY), F.lit(1)))
+    fourth = F.make_date(year(WEEKLY), F.lit(1), F.lit(4))  # always in week 1
+    week = F.when(name.rlike(WEEKLY) & part(WEEKLY).between(1, 53), F.date_add(F.date_trunc("week", fourth).cast("date"), (part(WEEKLY) - 1) * 7))
     start = F.coalesce(month, week)
     end = F.when(month.isNotNull(), F.add_months(month, 1)).otherwise(F.date_add(week, 7))
-    out = names.withColumn("range_start", start).withColumn("range_end", end)
+    out = names.where(F.lower(name).startswith(parent.lower() + "_")) if parent else names
+    out = out.withColumn("range_start", start).withColumn("range_end", end)
     return out.where(F.col("range_end").cast("timestamp") <= F.lit(cutoff).cast("timestamp")).select(column, "range_start", "range_end")

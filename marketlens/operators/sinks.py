@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,13 +58,35 @@ def upsert_gaps(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def upsert_health(existing: DataFrame, incoming: DataFrame, keys: tuple[str, ...] = ("collector", "exchange")) -> DataFrame:
-    """Last success and last error are only replaced by something known."""
-    return upsert(existing, incoming, list(keys), order="heartbeat_at", newest_known=("last_success_at", "last_error_at", "last_error"))
+    """The times of the last success and the last error are only replaced by something known; a blank error is none."""
+    blank = lambda df: df.withColumn("last_error", F.nullif("last_error", F.lit("")))
+    return upsert(blank(existing), blank(incoming), list(keys), order="heartbeat_at", newest_known=("last_success_at", "last_error_at"))
+
+
+def market_structure_rows(structure: DataFrame) -> DataFrame:
+    """Market structure as its table keeps it: some columns under a second name, too."""
+    mirrored = {"trend": "trend_direction", "support_price": "last_swing_low", "resistance_price": "last_swing_high", "breakout_state": "structure_state"}
+    return structure.withColumns({new: F.col(old) for new, old in mirrored.items()})
+
+
+def divergence_rows(divergence: DataFrame) -> DataFrame:
+    """Divergence as its table keeps it: the metadata also as metrics and as quality metadata."""
+    return divergence.withColumns({"metrics": F.col("metadata"), "quality_metadata": F.col("metadata")})
+
+
+def upsert_market_structure(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    return upsert(market_structure_rows(existing), market_structure_rows(incoming), ["symbol_id", "exchange", "period", "snapshot_time"])
+
+
+def upsert_divergence(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    return upsert(divergence_rows(existing), divergence_rows(incoming), ["symbol_id", "data_type", "reference_exchange", "compared_exchange", "snapshot_time"])
 
 
 def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key is new, the first of each key; existing rows stay."""
-    new = incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """Incoming rows whose key is new, one of each key (the smallest by its other columns); existing rows stay."""
+    rest = [c for c in incoming.columns if c not in keys]
+    one = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*incoming.columns) if rest else incoming.distinct()
+    new = one.join(existing.select(*keys), keys, "left_anti")
     return existing.unionByName(new)
 
 
@@ -71,13 +94,13 @@ def write_partitions(spark, df: DataFrame, path: str, partition: str, upserting,
     """Merge df into the Parquet table at path, partitioned by ``partition``: read the touched partitions, merge, stage,
     and overwrite only them. ``upserting`` is (existing, incoming) to merged."""
     touched = df.select(partition).distinct()
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        existing = spark.read.schema(df.schema).parquet(path).join(touched, partition, "left_semi").select(*df.columns)
-        merged = upserting(existing, df)
-    else:
-        merged = upserting(df.limit(0), df)
+    try:
+        table = spark.read.schema(df.schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        table = df.limit(0)  # the first batch makes the table
+    merged = upserting(table.join(touched, partition, "left_semi").select(*df.columns), df)
     stage = f"{staging.rstrip('/')}/stage-{uuid.uuid4().hex}"
     merged.write.parquet(stage)
     spark.read.schema(merged.schema).parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.scalars import event_key, micros
 from marketlens.options import ValidationOptions
 
-#: A number with a unit, or a venue's word for it.
+# Fixed value: a period is a number with a unit, or a venue's word for it.
 PERIOD = r"^([0-9]+[smhdwM]|Min[0-9]+|Hour[0-9]+|Day[0-9]+|Week[0-9]+|Month[0-9]+)$"
 
 #: (issue type, message, condition of failure); a null condition passes.
@@ -30,7 +30,7 @@ def _time(c: str) -> Rule:
 
 
 def _period(c: str, required: bool = True) -> list[Rule]:
-    bad = ("invalid_period", f"malformed period in {c}", ~_blank(c) & ~F.col(c).rlike(PERIOD))
+    bad = ("invalid_period", f"malformed period in {c}", ~_blank(c) & ~F.trim(c).rlike(PERIOD))
     return [("invalid_period", f"{c} is required", _blank(c)), bad] if required else [bad]
 
 

@@ -127,7 +127,7 @@ def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
 def volatility(spark: SparkSession, sf: str) -> DataFrame:
     t = market.ticks(spark, sf)
     out = candles.volatility(candles.venue_candles(market.klines(spark, sf), scale=6), market.grid(t, "6 hours"), WINDOWS, 6)
-    return _naive(out.select("symbol_id", "as_of", "period", "candles", "high_price", "low_price", "close_price", "atr", F.round("realized_volatility", 3).alias("realized_volatility"), "range_percent_24h", "range_percent_7d"))
+    return _naive(out.select("symbol_id", "as_of", "period", "candles", "high_price", "low_price", "close_price", "atr", F.round("realized_volatility", 6).alias("realized_volatility"), "range_percent_24h", "range_percent_7d"))
 
 
 def taker_fill(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,14 +220,14 @@ def overview_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    return serve.top_symbols(market.symbols(spark, sf), 15).select("symbol_id", "symbol", "rank")
+    return serve.top_symbols(market.part_symbols(spark, sf), 15).select("symbol_id", "symbol", "rank")
 
 
 def symbol_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    """Every customer segment's nation looked up by the first three letters of its name."""
-    n = spark.read.parquet(f"{sf}/nation.parquet")
-    lookups = n.select(F.lower(F.substring("n_name", 1, 3)).alias("lookup")).unionByName(n.select(F.lower("n_name").alias("lookup")))
-    return serve.resolve_symbols(market.symbols(spark, sf), lookups).select("lookup", "symbol_id", "symbol")
+    """Every sold part looked up by its name and by its base asset, which many parts share."""
+    sold = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit(" p"), F.col("l_partkey").cast("string")).alias("lookup"))
+    lookups = sold.unionByName(sold.select(F.concat(F.lit("b"), F.expr("cast(substring(lookup, 3) as long) % 50").cast("string")).alias("lookup")))
+    return serve.resolve_symbols(market.part_symbols(spark, sf), lookups).select("lookup", "symbol_id", "symbol")
 
 
 def watchlist_symbols(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,7 +237,7 @@ def watchlist_symbols(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def symbol_markets(spark: SparkSession, sf: str) -> DataFrame:
-    s = market.symbols(spark, sf)
+    s = market.part_symbols(spark, sf)
     venues = F.create_map(*[F.lit(x) for x in ("click", " Binance", "view", "okx ", "purchase", "bybit", "signup", "gate", "error", "other")])
     named = s.withColumn("markets", F.to_json(F.transform("markets", lambda m: F.struct(F.element_at(venues, m["exchange"]).alias("exchange"), m["market_type"].alias("market_type"), m["source_symbol"].alias("source_symbol"), m["status"].alias("status")))))
     return payloads.symbol_markets(named)
@@ -269,16 +269,20 @@ def rollup_expire(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expired_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Order months and ship weeks as partition names."""
-    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.date_format("o_orderdate", "'orders_'yyyy_MM").alias("name"))
-    return retention.expired_partitions(o.distinct(), "1995-06-15")
+    """Order months and weeks as partition names, some of another table."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    months = o.select(F.date_format("o_orderdate", "'orders_'yyyy_MM").alias("name"))
+    year = F.extract(F.lit("YEAROFWEEK"), F.col("o_orderdate")).cast("string")
+    week = F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0")
+    weeks = o.select(F.concat(F.when(F.col("o_orderkey") % 2 == 0, "Orders_").otherwise("sales_"), year, F.lit("_W"), week).alias("name"))
+    return retention.expired_partitions(months.unionByName(weeks).distinct(), "1995-06-15", parent="orders")
 
 
 def health_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Ticks as heartbeats: a failed k is unhealthy, one in thirteen degraded."""
     t = market.ticks(spark, sf)
     status = F.when(F.col("k") % 17 == 0, "unhealthy").when(F.col("k") % 13 == 0, "degraded").otherwise("healthy")
-    return _naive(ops.exchange_health(t.where("symbol_id < 9").select(F.when(F.col("exchange") != "error", F.col("exchange")).alias("exchange"), F.col("snapshot_time").alias("heartbeat_at"), status.alias("status"))))
+    return _naive(ops.exchange_health(t.select(F.when(F.col("exchange") != "error", F.col("exchange")).alias("exchange"), F.col("snapshot_time").alias("heartbeat_at"), status.alias("status"))))
 
 
 def _request_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -387,8 +391,8 @@ def fresh_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
     e = streams.keyed_events(market.ticks(spark, sf)).where("kind = 'market'")
     batch = streams.latest_values(e.where("snapshot_time < timestamp'2024-01-29'"))
-    live = streams.live_values(streams.latest_values(e), "2024-01-29 12:00:00", 86_400)
-    out = streams.fresh_or_fallback(batch.select("key"), live, batch, "2024-01-29 12:00:00", "last_price", fresh_seconds=-36_000)
+    live = streams.live_values(streams.latest_values(e), "2024-01-30 12:00:00", 86_400)
+    out = streams.fresh_or_fallback(batch.select("key"), live, batch, "2024-01-30 12:00:00", "last_price", fresh_seconds=43_200)
     return _naive(out)
 
 

@@ -176,7 +176,7 @@ SQL["volatility"] = (
 y AS (SELECT symbol_id, as_of, period, count(close) AS candles, max(high) AS high_price, min(low) AS low_price, arg_max(close, open_time) AS close_price,
   {_avg("CASE WHEN close IS NOT NULL THEN greatest(high - low, coalesce(abs(high - p), 0), coalesce(abs(low - p), 0)) END")} AS atr, stddev_samp(ln(close / p)) AS sd, count(p) AS n FROM x GROUP BY symbol_id, as_of, period),
 d AS (SELECT symbol_id, as_of, (high_price - low_price) / nullif(close_price, 0) * 100 AS r24 FROM y WHERE period = '24h'), z AS (SELECT symbol_id, as_of, (high_price - low_price) / nullif(close_price, 0) * 100 AS r7 FROM y WHERE period = '7d')
-SELECT y.symbol_id, y.as_of, period, candles, high_price, low_price, close_price, atr, round(CASE WHEN n >= 2 THEN sd * sqrt(n) END, 3) AS realized_volatility,
+SELECT y.symbol_id, y.as_of, period, candles, high_price, low_price, close_price, atr, round(CASE WHEN n >= 2 THEN sd * sqrt(n) END, 6) AS realized_volatility,
   CASE WHEN candles > 0 THEN r24 END AS range_percent_24h, CASE WHEN candles > 0 THEN r7 END AS range_percent_7d FROM y JOIN d USING (symbol_id, as_of) JOIN z USING (symbol_id, as_of)"""
 )
 SQL["taker_fill"] = _with(_EVENTS, _FLOWS) + "SELECT symbol_id, exchange, snapshot_time, buy AS taker_buy_volume, sell AS taker_sell_volume, buy - sell AS buy_sell_delta, CAST(NULL AS DOUBLE) AS buy_sell_delta_quote, buy / nullif(sell, 0) AS buy_sell_ratio, buy - sell AS best_delta FROM flows"
@@ -232,15 +232,18 @@ SQL["overview_page"] = (
   FROM symbols s LEFT JOIN (SELECT * FROM agg QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY as_of DESC) = 1) a USING (symbol_id) WHERE s.is_active AND s.n_markets >= 2 AND s.rank >= 1)
 SELECT *, (SELECT count(*) FROM o) AS total_count FROM o ORDER BY total_volume_24h DESC NULLS LAST, symbol LIMIT 12"""
 )
-SQL["top_symbols"] = _with(_SYMBOLS) + "SELECT symbol_id, symbol, rank FROM symbols WHERE is_active ORDER BY rank ASC NULLS LAST, symbol LIMIT 15"
+_PARTS = """symbols AS (SELECT CAST(p_partkey AS BIGINT) AS symbol_id, 'P' || p_partkey AS symbol, 'B' || (p_partkey % 50) AS base_asset, CASE WHEN p_partkey % 13 <> 0 THEN CAST(p_partkey % 1000 AS INTEGER) END AS rank,
+  p_partkey % 7 <> 0 AS is_active, p_partkey % 5 + 1 AS n_markets FROM part)"""
+SQL["top_symbols"] = _with(_PARTS) + "SELECT symbol_id, symbol, rank FROM symbols WHERE is_active ORDER BY rank ASC NULLS LAST, symbol LIMIT 15"
 SQL["symbol_resolve"] = (
-    _with(_SYMBOLS)
-    + """, l AS (SELECT lower(substr(n_name, 1, 3)) AS lookup FROM nation UNION SELECT lower(n_name) FROM nation)
-SELECT lookup, symbol_id, symbol FROM (SELECT l.lookup, s.*, row_number() OVER (PARTITION BY lookup ORDER BY is_active DESC, rank ASC NULLS LAST, symbol) AS rn FROM l JOIN symbols s ON upper(l.lookup) IN (upper(s.symbol), upper(s.base_asset))) WHERE rn = 1"""
+    _with(_PARTS)
+    + """, l AS (SELECT ' p' || l_partkey AS lookup FROM lineitem UNION SELECT 'b' || (l_partkey % 50) FROM lineitem),
+names AS (SELECT upper(symbol) AS alias, * FROM symbols UNION SELECT upper(base_asset), * FROM symbols)
+SELECT lookup, symbol_id, symbol FROM (SELECT l.lookup, s.*, row_number() OVER (PARTITION BY lookup ORDER BY is_active DESC, rank ASC NULLS LAST, symbol) AS rn FROM l JOIN names s ON upper(trim(l.lookup)) = s.alias) WHERE rn = 1"""
 )
 SQL["watchlist_symbols"] = _with(_SYMBOLS) + "SELECT symbol_id, symbol FROM symbols WHERE symbol_id IN (SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0)"
 SQL["symbol_markets"] = (
-    _with(_SYMBOLS)
+    _with(_PARTS)
     + """SELECT symbol_id, symbol, v AS exchange, 'perp' AS market_type, 'S' || symbol_id AS source_symbol FROM (SELECT *, unnest(range(1, n_markets + 1)) AS i, ['binance', 'okx', 'bybit', 'gate', 'other'][i] AS v FROM symbols) WHERE v <> 'other'"""
 )
 SQL["series_page"] = (
@@ -252,11 +255,12 @@ SQL["kline_page"] = _with(_EVENTS, _KLINES) + "SELECT symbol_id, exchange, open_
 SQL["expire_rows"] = _with(_TICKS) + "SELECT event_id, symbol_id, snapshot_time FROM ticks WHERE snapshot_time < TIMESTAMP '2024-01-15' ORDER BY snapshot_time, event_id LIMIT 2500"
 SQL["eligible_count"] = _with(_EVENTS, _KLINES) + "SELECT count(*) AS eligible_rows FROM klines WHERE open_time < TIMESTAMP '2024-01-15'"
 SQL["rollup_expire"] = _with(_EVENTS, _KLINES) + "SELECT symbol_id, exchange, open_time, close_price FROM klines WHERE open_time >= TIMESTAMP '2024-01-15'"
-SQL["expired_partitions"] = """SELECT name, CAST(m AS DATE) AS range_start, CAST(m + INTERVAL 1 MONTH AS DATE) AS range_end FROM (SELECT DISTINCT strftime(o_orderdate, 'orders_%Y_%m') AS name, date_trunc('month', o_orderdate) AS m FROM orders)
-WHERE m + INTERVAL 1 MONTH <= TIMESTAMP '1995-06-15'"""
+SQL["expired_partitions"] = """WITH w AS (SELECT o_orderkey, o_orderdate, date_trunc('month', o_orderdate) AS m, date_trunc('week', o_orderdate) AS d, strftime(o_orderdate, '%G_W%V') AS iso FROM orders)
+SELECT DISTINCT strftime(o_orderdate, 'orders_%Y_%m') AS name, CAST(m AS DATE) AS range_start, CAST(m + INTERVAL 1 MONTH AS DATE) AS range_end FROM w WHERE m + INTERVAL 1 MONTH <= TIMESTAMP '1995-06-15'
+UNION SELECT DISTINCT 'Orders_' || iso, CAST(d AS DATE), CAST(d + INTERVAL 7 DAY AS DATE) FROM w WHERE o_orderkey % 2 = 0 AND d + INTERVAL 7 DAY <= TIMESTAMP '1995-06-15'"""
 SQL["health_summary"] = (
     _with(_TICKS)
-    + """, h AS (SELECT CASE WHEN exchange = 'error' THEN 'unknown' ELSE exchange END AS exchange, snapshot_time, CASE WHEN k % 17 = 0 THEN 'unhealthy' WHEN k % 13 = 0 THEN 'degraded' ELSE 'healthy' END AS s FROM ticks WHERE symbol_id < 9)
+    + """, h AS (SELECT CASE WHEN exchange = 'error' THEN 'unknown' ELSE exchange END AS exchange, snapshot_time, CASE WHEN k % 17 = 0 THEN 'unhealthy' WHEN k % 13 = 0 THEN 'degraded' ELSE 'healthy' END AS s FROM ticks)
 SELECT exchange, max(snapshot_time) AS last_heartbeat_at, count(*) AS collectors, count(*) FILTER (WHERE s = 'healthy') AS healthy, count(*) FILTER (WHERE s = 'degraded') AS degraded, count(*) FILTER (WHERE s = 'unhealthy') AS unhealthy,
   CASE WHEN bool_or(s = 'unhealthy') THEN 'unhealthy' WHEN bool_or(s = 'degraded') THEN 'degraded' ELSE 'healthy' END AS status FROM h GROUP BY exchange"""
 )
@@ -267,8 +271,8 @@ SQL["request_metrics"] = (
 )
 SQL["request_errors"] = (
     _with(_TICKS)
-    + """SELECT exchange, x.t AS error_type, x.r AS recoverable, x.l AS rate_limited, count(*) AS requests FROM (SELECT exchange, CASE WHEN k % 10 = 0 THEN {'t': 'rate_limited', 'r': true, 'l': true} WHEN k % 10 = 1 THEN {'t': 'server', 'r': true, 'l': false}
-  WHEN k % 20 = 2 THEN {'t': 'timeout', 'r': true, 'l': false} WHEN k % 10 = 2 THEN {'t': 'network', 'r': true, 'l': false} END AS x FROM ticks) GROUP BY ALL"""
+    + """SELECT exchange, x.t AS error_type, x.r AS recoverable, x.l AS rate_limited, count(*) AS requests FROM (SELECT exchange, CASE WHEN k % 10 = 0 THEN {'t': 'rate_limited', 'r': true, 'l': true} WHEN k % 10 = 1 THEN {'t': 'server_error', 'r': true, 'l': false}
+  WHEN k % 20 = 2 THEN {'t': 'timeout', 'r': true, 'l': false} WHEN k % 10 = 2 THEN {'t': 'network_error', 'r': true, 'l': false} END AS x FROM ticks) GROUP BY ALL"""
 )
 SQL["status_counts"] = "SELECT o_orderstatus AS status, count(*) AS jobs FROM orders GROUP BY ALL"
 SQL["open_counts"] = "SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS open_issues, count(*) FILTER (WHERE o_orderstatus = 'P') AS open_gaps, (SELECT CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) FROM lineitem) AS rows_deleted FROM orders"
@@ -310,7 +314,7 @@ SELECT exchange, max(t) AS last_event_at, max(r) AS last_received_at, greatest(0
 SQL["fresh_or_fallback"] = (
     _with(_TICKS, _KEYED)
     + """, m AS (SELECT * FROM kinds WHERE kind = 'market'), b AS (SELECT key, arg_max(last_price, snapshot_time) AS p, max(snapshot_time) AS t FROM m WHERE snapshot_time < TIMESTAMP '2024-01-29' GROUP BY key),
-l AS (SELECT key, arg_max(last_price, snapshot_time) AS p, max(snapshot_time) AS t FROM m GROUP BY key HAVING max(snapshot_time) > TIMESTAMP '2024-01-28 12:00:00'),
-j AS (SELECT b.key, b.p AS bp, b.t AS bt, l.p AS lp, l.t AS lt, coalesce(TIMESTAMP '2024-01-29 12:00:00' - l.t <= INTERVAL (-10) HOUR, false) AS fresh FROM b LEFT JOIN l USING (key))
+l AS (SELECT key, arg_max(last_price, snapshot_time) AS p, max(snapshot_time) AS t FROM m GROUP BY key HAVING max(snapshot_time) > TIMESTAMP '2024-01-29 12:00:00'),
+j AS (SELECT b.key, b.p AS bp, b.t AS bt, l.p AS lp, l.t AS lt, coalesce(TIMESTAMP '2024-01-30 12:00:00' - l.t <= INTERVAL 12 HOUR, false) AS fresh FROM b LEFT JOIN l USING (key))
 SELECT key, CASE WHEN fresh THEN lp ELSE bp END AS last_price, CASE WHEN fresh THEN lt ELSE bt END AS snapshot_time, CASE WHEN fresh THEN 'realtime' ELSE 'database' END AS source FROM j"""
 )

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.plans import market, oracle
+from marketlens.plans import market, oracle, records, records_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in market.QUERIES}
+    return {q.__name__: q for q in (*market.QUERIES, *records.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return oracle.SQL | records_sql.SQL

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return _facts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def _facts(e: DataFrame) -> DataFrame:
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("symbol_id"), F.col("event_type").alias("exchange"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where it is unset on a local master, a new temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+    return found.rstrip("/")
+
+
 def _source_symbol():
     return F.concat(F.lit("S"), F.col("symbol_id").cast("string")).alias("source_symbol")
 
@@ -27,9 +42,14 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def taker_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and signups buy, the rest sells."""
+    return taker_flows_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def taker_flows_of(events: DataFrame) -> DataFrame:
+    """The same of a table or a stream of events."""
     buys = F.col("exchange").isin("purchase", "signup")
     none = F.lit(None).cast("double")
-    e = _events(spark, sf_dir)
+    e = _facts(events)
     return e.select("symbol_id", "exchange", _source_symbol(), F.lit("1h").alias("period"), F.col("ts").alias("snapshot_time"), F.when(buys, F.col("value")).otherwise(0.0).alias("taker_buy_volume"), F.when(buys, 0.0).otherwise(F.col("value")).alias("taker_sell_volume"), none.alias("taker_buy_quote_volume"), none.alias("taker_sell_quote_volume"), none.alias("buy_sell_delta"), none.alias("buy_sell_delta_quote"), none.alias("buy_sell_ratio"), _raw())
 
 
@@ -69,6 +89,15 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("n_nationkey").cast("long").alias("symbol_id"), F.col("n_name").alias("symbol"), F.substring("n_name", 1, 3).alias("base_asset"), F.col("r_name").alias("quote_asset"), F.when(F.col("n_nationkey") != 13, F.col("n_nationkey").cast("int")).alias("rank"), (F.col("n_nationkey") % 7 != 0).alias("is_active"), F.slice(F.array(*[market(v) for v in venues]), 1, (F.col("n_nationkey") % 5 + 1).cast("int")).alias("markets"))
 
 
+def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols, a dimension that grows with the data: rank by key, some without, every seventh inactive."""
+    key = F.col("p_partkey")
+    venues = ("click", "view", "purchase", "signup", "error")
+    market = lambda v: F.struct(F.lit(v).alias("exchange"), F.lit("perp").alias("market_type"), F.concat(F.lit("S"), key.cast("string")).alias("source_symbol"), F.lit("active").alias("status"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return p.select(key.cast("long").alias("symbol_id"), F.concat(F.lit("P"), key.cast("string")).alias("symbol"), F.concat(F.lit("B"), (key % 50).cast("string")).alias("base_asset"), F.when(key % 13 != 0, (key % 1000).cast("int")).alias("rank"), (key % 7 != 0).alias("is_active"), F.slice(F.array(*[market(v) for v in venues]), 1, (key % 5 + 1).cast("int")).alias("markets"))
+
+
 def grid(ticks: DataFrame, step: str = "1 hour") -> DataFrame:
     """Instants of each symbol: every step from the second day of its ticks to its last tick."""
     b = ticks.groupBy("symbol_id").agg(F.min("snapshot_time").alias("lo"), F.max("snapshot_time").alias("hi"))
@@ -110,3 +139,46 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(t).alias("data_type"), b.alias("body")) for t, b in (("ticker", ticker), ("orderbook", book), ("kline", candles))])
     e = e.select(F.col("venue").alias("exchange"), "symbol_id", F.lit("S").alias("source_symbol"), F.lit("5m").alias("period"), F.col("ts").alias("captured_at"), F.explode(kinds).alias("x"))
     return e.select("exchange", "x.data_type", "symbol_id", "source_symbol", "period", "captured_at", "x.body")
+
+
+def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads of the remaining record types in the formats of the venues that offer them, made from the events; a
+    venue's name comes in capitals now and then."""
+    e = _events(spark, sf_dir).withColumn("venue", F.element_at(F.array(*[F.lit(v) for v in ("binance", "okx", "bybit", "bitget", "gate", "mexc")]), (F.col("event_id") % 6 + 1).cast("int")))
+    v, k, ms = F.col("value").cast("string"), F.col("k").cast("string"), F.unix_millis("ts").cast("string")
+    sec = F.floor(F.unix_millis("ts") / 1000).cast("string")
+    odd = lambda a, b: F.when(F.col("k") % 2 == 1, a).otherwise(b)
+
+    def body(**venues):
+        out = None
+        for venue, text in venues.items():
+            given = {"v": v, "k": k, "ms": ms, "sec": sec, "sell": odd("SELL", "BUY"), "pos": odd("long", "short"), "sign": odd("", "-")}
+            parts = [given.get(p, F.lit(p)) for p in text.split("%")]
+            out = (F if out is None else out).when(F.col("venue") == venue, F.concat(*parts))
+        return out
+
+    kinds = {
+        "open_interest": body(binance='{"openInterest":"%k%","time":%ms%}', okx='{"code":"0","data":[{"oi":"%k%","ts":"%ms%"}]}', bybit='{"retCode":0,"result":{"list":[{"openInterest":"%k%","timestamp":"%ms%"}]}}', bitget='{"code":"00000","data":[{"openInterest":"%k%","ts":"%ms%"}]}', gate='[[%sec%,"%k%"],[%sec%,null]]', mexc='{"success":true,"data":{"holdVol":%k%,"timestamp":%ms%}}'),
+        "long_short_ratio": body(binance='[{"timestamp":%ms%,"longAccount":"%v%","shortAccount":"%k%","longShortRatio":"1.5"}]', okx='{"code":"0","data":[["%ms%","%v%","%k%"]]}', bybit='{"retCode":0,"result":{"list":[{"timestamp":"%ms%","buyRatio":"%v%","sellRatio":"%k%"}]}}', bitget='{"code":"00000","data":[{"ts":"%ms%","longRatio":"%v%","shortRatio":"%k%"}]}', gate='[[%sec%,"0","0","%v%","%k%"]]'),
+        "taker_flow": body(binance='[{"timestamp":%ms%,"buyVol":"%v%","sellVol":"%k%"}]', okx='{"code":"0","data":[["%ms%","%k%","%v%"]]}', gate='[[%sec%,"0","0","0","0","%v%","%k%"]]'),
+        "basis": body(binance='[{"timestamp":%ms%,"futuresPrice":"%v%","indexPrice":"%k%","basis":"2.5","basisRate":"0.25"}]', gate='[[%sec%,"0","%k%"]]'),
+        "liquidation": body(binance='[{"time":%ms%,"price":"%v%","origQty":"%k%","side":"%sell%"}]', okx='{"code":"0","data":[{"ts":"%ms%","bkPx":"%v%","sz":"%k%","posSide":"%pos%"}]}', bybit='{"retCode":0,"result":{"list":[{"timestamp":"%ms%","price":"%v%","size":"%k%","side":"%sell%"}]}}', gate='[{"time":%sec%,"price":"%v%","size":%sign%%k%}]', mexc='{"success":true,"data":{"items":[{"time":%sec%,"price":"%v%","qty":%k%,"side":"%pos%"}]}}'),
+    }
+    each = F.array(*[F.struct(F.lit(t).alias("data_type"), b.alias("body")) for t, b in kinds.items()])
+    name = F.when(F.col("k") % 10 == 0, F.upper("venue")).otherwise(F.col("venue"))
+    e = e.select(name.alias("exchange"), "symbol_id", F.lit("S").alias("source_symbol"), F.lit("5m").alias("period"), F.col("ts").alias("captured_at"), F.explode(each).alias("x")).where("x.body is not null")
+    return e.select("exchange", "x.data_type", "symbol_id", "source_symbol", "period", "captured_at", "x.body")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row an event with the columns of all record types and faults by k: no venue (3), in the future (5), no time
+    (6), a negative number (9), a wrong unit (11), no period (12), a blank label (15), a wild rate (17)."""
+    k = F.col("k")
+    e = _events(spark, sf_dir)
+    x = F.when(k == 9, -F.col("value")).otherwise(F.col("value"))
+    at = F.when(k == 5, F.col("ts") + F.expr("interval 400 days")).when(k != 6, F.col("ts"))
+    period = F.when(k == 11, "5 minutes").when(k != 12, " 5m ")
+    label = F.when(k != 15, F.lit("sell"))
+    numbers = ("open_price", "high_price", "low_price", "close_price", "volume", "quote_volume", "open_interest", "open_interest_value", "mark_price", "index_price", "futures_price", "taker_buy_volume", "taker_sell_volume", "taker_buy_quote_volume", "taker_sell_quote_volume", "price", "quantity", "notional", "usd_value", "mid_price", "spread_bps", "bid_notional", "ask_notional", "bid_depth_usd", "ask_depth_usd", *[f"{s}_liquidation_{u}" for s in ("long", "short", "total") for u in ("usd", "notional")], "largest_liquidation_usd")
+    times = ("snapshot_time", "open_time", "funding_time", "event_time", "bucket_time")
+    return e.select("event_id", "symbol_id", F.when(k == 3, " ").otherwise(F.col("exchange")).alias("exchange"), _source_symbol(), *[at.alias(c) for c in times], F.col("ts").alias("close_time"), period.alias("period"), F.trim(period).alias("interval"), label.alias("side"), label.alias("kind"), F.when(k == 17, -0.25).otherwise((k - 50) / F.lit(10000.0)).alias("funding_rate"), F.when(k == 9, 0).otherwise(10).alias("depth_levels"), *[x.alias(c) for c in numbers])

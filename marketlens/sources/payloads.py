@@ -101,13 +101,18 @@ def venue_error() -> Column:
     )
 
 
+def _named(raw: DataFrame) -> DataFrame:
+    """Venue names trimmed and in lower case, before anything is compared with them."""
+    return raw.withColumn("exchange", F.lower(F.trim("exchange")))
+
+
 def rejected(raw: DataFrame) -> DataFrame:
     """Payloads that a venue marked as an error, with the error."""
-    return raw.withColumn("error", venue_error()).where(F.col("error").isNotNull())
+    return _named(raw).withColumn("error", venue_error()).where(F.col("error").isNotNull())
 
 
 def _accepted(raw: DataFrame, *types: str) -> DataFrame:
-    return raw.where(F.col("data_type").isin(*types) & venue_error().isNull()).withColumn("exchange", F.lower(F.trim("exchange")))
+    return _named(raw).where(F.col("data_type").isin(*types) & venue_error().isNull())
 
 
 def _one(raw: DataFrame, rows: dict, *types: str) -> DataFrame:

@@ -64,6 +64,10 @@ def liquidation_buckets(events: DataFrame, bucket: str = "5 minutes", late: str
     return g.select("symbol_id", "exchange", F.col("w.start").alias("bucket_time"), *g.columns[3:])
 
 
+#: What running_delta gives.
+RUNNING_DELTA = "symbol_id long, exchange string, period string, snapshot_time timestamp, cvd_value double, cvd_change double, cvd_change_percent double"
+
+
 def running_delta(flows: DataFrame, period_col: str = "period") -> DataFrame:
     """Cumulative taker delta per (symbol, venue, period): the state is one number a key. Rows of a batch are taken in
     order of time; a row that comes in a later batch adds to the total as it stands then."""
@@ -78,8 +82,7 @@ def running_delta(flows: DataFrame, period_col: str = "period") -> DataFrame:
         percent = (rows["change"] / before.where(before != 0) * 100).fillna(0.0)
         yield pd.DataFrame({"symbol_id": key[0], "exchange": key[1], "period": key[2], "snapshot_time": rows["snapshot_time"], "cvd_value": after, "cvd_change": rows["change"], "cvd_change_percent": percent})
 
-    schema = "symbol_id long, exchange string, period string, snapshot_time timestamp, cvd_value double, cvd_change double, cvd_change_percent double"
-    return f.groupBy("symbol_id", "exchange", "period").applyInPandasWithState(step, schema, "total double", "append", GroupStateTimeout.NoTimeout)
+    return f.groupBy("symbol_id", "exchange", "period").applyInPandasWithState(step, RUNNING_DELTA, "total double", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_lag(events: DataFrame, ts_col: str, received_col: str, now, stale_seconds: int = 30) -> DataFrame:

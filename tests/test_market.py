@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalars as fn
-from marketlens.operators import aggregates, asof, candles, derive, gaps, ops, retention, serve, sinks, validate
+from marketlens.operators import aggregates, asof, candles, derive, gaps, ops, retention, serve, sinks, trailing, validate
 from marketlens.options import DAY, HOUR, MINUTE, AnalyticsOptions, ListOptions
 from marketlens.sources import payloads
 
@@ -45,9 +45,9 @@ def test_asof_across_spans(spark):
 
 def test_window_stats_leave_out_the_start(spark, grid):
     facts = spark.createDataFrame([(1, at(-60), 1.0), (1, at(-60) + dt.timedelta(microseconds=1), 2.0), (1, T, 4.0), (1, T + dt.timedelta(microseconds=1), 8.0)], "symbol_id long, ts timestamp, v double")
-    got = rows(asof.window_stats(facts, grid, "ts", {"1h": HOUR}, {"s": F.sum("v")}))
+    got = rows(trailing.window_stats(facts, grid, "ts", {"1h": HOUR}, {"s": trailing.total(F.col("v"))}))
     assert got[0]["s"] == 6.0
-    got = rows(asof.window_stats(facts, grid, "ts", {"1h": HOUR}, {"s": F.sum("v")}, closed=True))
+    got = rows(trailing.window_stats(facts, grid, "ts", {"1h": HOUR}, {"s": trailing.total(F.col("v"))}, closed=True))
     assert got[0]["s"] == 7.0
 
 
@@ -298,4 +298,4 @@ def test_health_and_errors(spark):
     h = spark.createDataFrame([("a", T, "healthy"), ("a", at(1), "degraded"), (None, T, "healthy")], "exchange string, heartbeat_at timestamp, status string")
     assert {r["exchange"]: r["status"] for r in rows(ops.exchange_health(h))} == {"a": "degraded", "unknown": "healthy"}
     log = spark.createDataFrame([(429, None), (503, None), (None, "i/o timeout"), (200, None)], "status_code int, error_message string")
-    assert [r["error_type"] for r in rows(ops.classify_requests(log))] == ["rate_limited", "server", "timeout", None]
+    assert [r["error_type"] for r in rows(ops.classify_requests(log))] == ["rate_limited", "server_error", "timeout", None]
