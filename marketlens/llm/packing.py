@@ -178,7 +178,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut is read twice and must give the same rows both times; pass a written table.
     """
     spark = cut.sparkSession
-    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most ``capacity`` rows
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     rows = slots(configurations(histogram, capacity))
     table = spark.createDataFrame(rows, "of long, first long, ranks long, sequence long, each long, place long") if rows else spark.createDataFrame([], "of long, first long, ranks long, sequence long, each long, place long")
     hashed = cut.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")).withColumn("_one", F.lit(1).cast("long"))

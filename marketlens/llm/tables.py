@@ -126,11 +126,21 @@ def key_filter(keys: DataFrame, col: str, bits: int = FILTER_BITS):
     place = F.col(col).bitwiseAND(F.lit(mask))
     found = keys.select(F.shiftright(place, 16).alias("chunk"), place.bitwiseAND(F.lit(chunk - 1)).cast("int").alias("at")).distinct().groupBy("chunk").applyInArrow(pack, "chunk long, flags binary")
     whole = np.zeros((mask + 1) // 8, dtype=np.uint8)
-    for row in found.toLocalIterator():
-        whole[row.chunk * (chunk // 8) : (row.chunk + 1) * (chunk // 8)] = np.frombuffer(row.flags, np.uint8)
+    for row in found.toArrow().to_pylist():  # as large as the filter, in one job
+        whole[row["chunk"] * (chunk // 8) : (row["chunk"] + 1) * (chunk // 8)] = np.frombuffer(row["flags"], np.uint8)
     return spark.sparkContext.broadcast(whole)
 
 
+@contextlib.contextmanager
+def freed(broadcast):
+    """A broadcast for the length of a ``with`` block, in which what needs it is written; after it, it is gone from the
+    driver and the executors."""
+    try:
+        yield broadcast
+    finally:
+        broadcast.destroy()
+
+
 def in_filter(flags: np.ndarray, keys: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
     at = keys.astype(np.int64) & ((1 << bits) - 1)
     return (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
