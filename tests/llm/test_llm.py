@@ -326,19 +326,28 @@ def test_jaccard_join_of_small_sets(spark):
     assert _sorted(jaccard_join.join(_frame(spark, docs)).collect()) == _sorted(brute.jaccard(docs))
 
 
-def test_jaccard_join_of_hot_shingles(spark, monkeypatch):
-    """Every shingle hot, few parts, and no pair linked by smallest hashes: each part of a shingle must count."""
-    monkeypatch.setattr(jaccard_join, "HOT", -(10**9))
-    monkeypatch.setattr(jaccard_join, "SALTS", 2)
-    monkeypatch.setattr(jaccard_join, "SHARED", 99)
-    rng = random.Random(3)
+def _families(seed=3):
+    """Groups of copies of a text with edits of very different numbers, some around a passage that all share."""
+    rng = random.Random(seed)
     docs = []
-    for g in range(40):
-        words = [f"g{g}w{k}" for k in range(60)]
-        docs.append((len(docs), " ".join(words)))
-        for _ in range(1 + g % 2):
-            words[rng.randrange(5, 55)] = "edit"
-            docs.append((len(docs), " ".join(words)))
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in range(60)] + [f"all{k}" for k in range(12)] * (g % 3 == 0)
+        for c in range(14):
+            edited = list(words)
+            for k in rng.sample(range(60), rng.choice([0, 1, 1, 2, 3, 4, 6])):
+                edited[k] = f"e{g}x{c}x{k}"
+            docs.append((len(docs), " ".join(edited[: rng.choice([60, 72, 50])])))
+    return docs
+
+
+@pytest.mark.parametrize("block", [1, 3, 256])
+@pytest.mark.parametrize("pivots", [True, False])
+def test_jaccard_join_loses_no_link(spark, monkeypatch, block, pivots):
+    """With and without pivots, and with lists cut into many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    if not pivots:
+        monkeypatch.setattr(jaccard_join, "_pivots", lambda lists, percent, f=jaccard_join._pivots: f(lists, percent).where("false"))
+    docs = _families()
     assert _sorted(jaccard_join.join(_frame(spark, docs)).collect()) == _sorted(brute.jaccard(docs))
 
 
