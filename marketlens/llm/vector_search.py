@@ -6,8 +6,9 @@ closer to it by a factor (so long edges in new directions survive); back edges a
 Queries go to every shard in blocks and are answered by beam search; each shard returns its nearest, and the nearest of
 all shards win. All rows are indexed and nothing is sampled.
 
-The final scores are cosines in double precision of the original vectors. Vectors that are equal in a shard are one
-node with several ids, so any number of copies costs the graph nothing and ties go to the smaller id.
+The final scores are cosines in double precision of the original vectors, each scaled by its largest component first,
+for all nodes of a beam. Vectors of a shard that are equal (or of the same direction to the last bit) are one node with
+several ids, so any number of copies costs the graph nothing and ties go to the smaller id.
 
 Defined cases: null or empty vectors, zero vectors and those with a null or non-finite component take no part, neither
 as queries nor as candidates; vectors of different dimension never meet; repeated rows with the same id are candidates
@@ -163,7 +164,8 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
         ids = table["vec_id"].to_numpy()
         by = np.argsort(ids, kind="stable")
         v, ids = v[by], ids[by]
-        _, first, of = np.unique(v, axis=0, return_index=True, return_inverse=True)
+        # equal vectors, and those of one direction to the last bit, are one node
+        _, first, of = np.unique(_unit(v), axis=0, return_index=True, return_inverse=True)
         graph, start = build(_unit(v[first]).astype(np.float32))
         # the smallest ids of each node, enough for any query
         order = np.lexsort((ids, of.ravel()))
@@ -182,30 +184,38 @@ def search(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
     asked = asked.groupBy("dim", "block", "shards").agg(F.collect_list("vec_id").alias("q"), F.flatten(F.collect_list("v")).alias("qv"))
     asked = asked.select("dim", "block", "q", "qv", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    # a shard goes to its task once and comes before the blocks that it answers
+    no = lambda t: F.lit(None).cast(t)
+    packed = indexed.select("dim", "shard", F.lit(-1).alias("block"), no("array<long>").alias("q"), no("array<double>").alias("qv"), "start", "v", "graph", "node", "ids")
+    packed = packed.unionByName(asked.select("dim", "shard", "block", "q", "qv", no("int").alias("start"), *[no("binary").alias(c) for c in ("v", "graph", "node", "ids")]))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, unit, x, graph, ids, bounds = 0, None, None, None, None, None
         for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                q, qv = np.array(r["q"]), np.array(r["qv"]).reshape(-1, dim)
-                v = np.frombuffer(r["v"]).reshape(-1, dim)
-                graph = np.frombuffer(r["graph"], "<i4").reshape(len(v), -1)
-                node, ids = np.frombuffer(r["node"], "<i4"), np.frombuffer(r["ids"], "<i8")
-                bounds = np.searchsorted(node, np.arange(len(v) + 1))
-                x = _unit(v).astype(np.float32)
-                norm, q_norm = np.linalg.norm(v, axis=1), np.linalg.norm(qv, axis=1)
+            for k in range(b.num_rows):
+                r = {c: b.column(c)[k].as_py() for c in ("dim", "block", "start", "v", "graph", "node", "ids")}
+                if r["block"] < 0:
+                    unit = _unit(np.frombuffer(r["v"]).reshape(-1, r["dim"]))  # in double precision; lengths far from 1 neither overflow nor vanish
+                    x, start = unit.astype(np.float32), r["start"]
+                    graph = np.frombuffer(r["graph"], "<i4").reshape(len(unit), -1)
+                    node, ids = np.frombuffer(r["node"], "<i4"), np.frombuffer(r["ids"], "<i8")
+                    bounds = np.searchsorted(node, np.arange(len(unit) + 1))
+                    continue
+                q, qv = b.column("q")[k].values.to_numpy(), b.column("qv")[k].values.to_numpy().reshape(-1, r["dim"])
                 for lo in range(0, len(q), BATCH):
-                    part = qv[lo : lo + BATCH]
-                    near, _ = beam_search(x, graph, r["start"], _unit(part).astype(np.float32), search_beam)
-                    near = near[:, : 4 * neighbours + 4]
-                    score = np.einsum("ij,ikj->ik", part, v[np.maximum(near, 0)]) / (q_norm[lo : lo + BATCH, None] * norm[np.maximum(near, 0)])
+                    part = _unit(qv[lo : lo + BATCH])
+                    near, _ = beam_search(x, graph, start, part.astype(np.float32), search_beam)
+                    # the whole beam is scored in double precision before it is cut
+                    score = np.where(near >= 0, np.einsum("ij,ikj->ik", part, unit[np.maximum(near, 0)]), -np.inf)
+                    best = np.argpartition(-score, neighbours, axis=1)[:, : neighbours + 1] if score.shape[1] > neighbours + 1 else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+                    edge = np.take_along_axis(score, best, 1).min(axis=1)  # nodes as near as the last one stay in
                     out = []
                     for i in range(len(part)):
-                        mine = [(-float(s), int(w)) for s, k in zip(score[i], near[i], strict=True) if k >= 0 for w in ids[bounds[k] : min(bounds[k + 1], bounds[k] + neighbours + 1)] if w != q[lo + i]]
+                        mine = [(-float(score[i, j]), int(w)) for j in np.flatnonzero((score[i] >= edge[i]) & (near[i] >= 0)) for w in ids[bounds[near[i, j]] : min(bounds[near[i, j] + 1], bounds[near[i, j]] + neighbours + 1)] if w != q[lo + i]]
                         out += [(int(q[lo + i]), w, -s) for s, w in sorted(set(mine))[:neighbours]]
                     yield record_batch(schema, *(list(zip(*out, strict=True)) or [[], [], []]))
 
-    found = asked.join(indexed, ["dim", "shard"]).repartition(max(1, many), "dim", "shard", "block").select("dim", "q", "qv", "v", "graph", "node", "ids", "start").mapInArrow(tidy(find), "query_id long, vec_id long, score double")
+    found = packed.repartition(max(1, many), "dim", "shard").sortWithinPartitions("dim", "shard", "block").mapInArrow(tidy(find), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
