@@ -5,11 +5,15 @@ are known: 5-grams if any of the word's is known, else 4-grams, down to single c
 frequencies counts as the word. A text's languages are compared by the sum over its words, and the score is the
 winner's share of the likelihood.
 
-The model is fitted on a bounded sample (``FIT_DOCUMENTS`` labelled documents in hash order, ``FIT_WORDS`` words and
-``FIT_GRAMS`` n-grams of each length), so it has a bounded size and is broadcast.
+The model is fitted on a bounded sample of labelled documents: at most ``FIT_DOCUMENTS`` of each language, in hash
+order, so that a rare language is not crowded out by a common one, and of each language's words and n-grams the most
+frequent ``FIT_WORDS`` and ``FIT_GRAMS`` in all. Tasks count the sample's words and n-grams and Spark adds the counts
+up; no text comes to the driver, and the model has a bounded size and is broadcast.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when there is nothing
-to learn from. A null doc_id is held out. Equal scores go to the language that sorts first.
+to learn from, and an empty table gives no rows. A null doc_id is held out. Equal scores go to the language that sorts
+first. Repeated rows are predicted each time, and learned from each time unless they are equal in doc_id, text and lang;
+copies that differ in lang count for each. A very long text is a block of its own and is read whole.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import first_by_hash, modest_batches, record_batch, tidy
+from marketlens.llm.tables import modest_batches, record_batch, tidy, written
 
-FIT_DOCUMENTS = 1000
+FIT_DOCUMENTS = 3000
 FIT_WORDS = 1 << 17
 FIT_GRAMS = 1 << 15
 GRAMS = (5, 4, 3, 2, 1)
@@ -75,17 +80,12 @@ class Table:
     logs: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, langs: np.ndarray, n_langs: int, most: int, least: int) -> Table:
+    def of(cls, keys: np.ndarray, langs: np.ndarray, times: np.ndarray, whole: np.ndarray, kinds: int) -> Table:
+        """From counts of (key, language), the languages' totals and how many different keys there were."""
         seen, back = np.unique(keys, return_inverse=True)
-        counts = np.zeros((seen.size, n_langs))
-        np.add.at(counts, (back, langs), 1)
-        whole = counts.sum(axis=0)
-        total = counts.sum(axis=1)
-        top = np.flatnonzero(total >= least)
-        if top.size > most:
-            top = np.sort(top[np.lexsort((seen[top], -total[top]))[:most]])
-        logs = np.log((counts[top] + _SMOOTH) / (whole + _SMOOTH * (seen.size + 1)))
-        return cls(seen[top], logs.astype(np.float32))
+        counts = np.zeros((seen.size, whole.size))
+        np.add.at(counts, (back, langs), times)
+        return cls(seen, np.log((counts + _SMOOTH) / (whole + _SMOOTH * (kinds + 1))).astype(np.float32))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, -1 if there is none."""
@@ -137,26 +137,69 @@ class Model:
         return [self.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, share, 0.0)
 
 
+def _sample(labelled: DataFrame, most: int) -> DataFrame:
+    """At most so many different rows (doc_id, text, lang) of each language, the smallest by hash. Only hashes are ranked,
+    after every task has kept the smallest of its own."""
+    h = F.xxhash64("doc_id", "text")
+    schema = pa.schema([("lang", pa.string()), ("h", pa.int64())])
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            of, hashes = b.column(0), b.column(1).to_numpy()
+            for lang in of.unique().to_pylist():
+                own = hashes[pc.equal(of, lang).to_numpy(zero_copy_only=False)]
+                held[lang] = np.unique(np.concatenate([held.get(lang, own[:0]), own]))[:most]
+        for lang, kept in held.items():
+            yield record_batch(schema, [lang] * kept.size, kept)
+
+    rows = labelled.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("h", h)
+    near = rows.select("lang", "h").mapInArrow(tidy(smallest), "lang string, h long").distinct()
+    last = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most).groupBy("lang").agg(F.max("h").alias("last"))
+    return rows.join(F.broadcast(last), "lang").where("h <= last").dropDuplicates(["doc_id", "text", "lang"])  # one row a language
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """length (0 for words), lang, key and n of the sample's words and n-grams, added up by each task first."""
+    schema = pa.schema([("length", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang in b.column(1).unique().to_pylist():
+                own = b.column(0).filter(pc.equal(b.column(1), lang))
+                for _, _, data, offsets in tx.blocks(own):
+                    data = tx.lower(data)
+                    starts, ends, _ = tx.word_spans(data, offsets)
+                    joined = _joined(data, starts, ends)
+                    for length in (0, *GRAMS):
+                        keys = _grams(joined, length)[0] if length else tx.byte_prefix(data).spans(starts, ends)
+                        seen, times = np.unique(keys, return_counts=True)
+                        yield record_batch(schema, np.full(seen.size, length, np.int32), [lang] * seen.size, tx.as_long(seen), times)
+
+    each = rows.select("text", "lang").mapInArrow(tidy(run), "length int, lang string, key long, n long")
+    return each.groupBy("length", "lang", "key").agg(F.sum("n").alias("n"))
+
+
 def fit(labelled: DataFrame, max_documents: int = FIT_DOCUMENTS) -> Model:
-    """A model from the first ``max_documents`` rows (doc_id, text, lang), in hash order, that have a text and a lang."""
-    rows = first_by_hash(labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang"), max_documents).toArrow().sort_by([("_h", "ascending"), ("lang", "ascending")])
-    langs = sorted(set(rows["lang"].to_pylist()))
+    """A model from at most ``max_documents`` rows (doc_id, text, lang) of each language that have a text and a lang."""
+    counts = written(_counts(_sample(labelled, max_documents)), "language-counts")
+    keys = counts.groupBy("length", "key").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("length", "lang").agg(F.sum("n").alias("n")).toArrow().to_pylist()  # a few rows a language
+    kinds = {r["length"]: r["kinds"] for r in keys.groupBy("length").agg(F.count(F.lit(1)).alias("kinds")).collect()}
+    langs = sorted({r["lang"] for r in totals})
     number = {x: k for k, x in enumerate(langs)}
-    lang = np.array([number[x] for x in rows["lang"].to_pylist()], dtype=np.int16)
-    words, word_langs, grams = [], [], {n: ([], []) for n in GRAMS}
-    for lo, hi, data, offsets in tx.blocks(rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string())):
-        data = tx.lower(data)
-        starts, ends, bounds = tx.word_spans(data, offsets)
-        of = lang[lo:hi][tx.per_document(bounds)]
-        words.append(tx.byte_prefix(data).spans(starts, ends))
-        word_langs.append(of)
-        joined = _joined(data, starts, ends)
-        for n in GRAMS:
-            keys, word = _grams(joined, n)
-            grams[n][0].append(keys)
-            grams[n][1].append(of[word])
-    flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return Model(langs, Table.of(flat(words, np.uint64), flat(word_langs, np.int16), len(langs), FIT_WORDS, 2), {n: Table.of(flat(grams[n][0], np.uint64), flat(grams[n][1], np.int16), len(langs), FIT_GRAMS, 2) for n in GRAMS})
+
+    def table(length: int) -> Table:
+        whole = np.zeros(len(langs))
+        for r in totals:
+            if r["length"] == length:
+                whole[number[r["lang"]]] = r["n"]
+        top = keys.where((F.col("length") == length) & (F.col("total") >= 2)).orderBy(F.desc("total"), "key").limit(FIT_GRAMS if length else FIT_WORDS)
+        found = counts.where(F.col("length") == length).join(top.select("key"), "key").select("key", "lang", "n").toArrow()  # at most the bound, times the languages
+        at = np.array([number[x] for x in found["lang"].to_pylist()], np.int64)
+        return Table.of(found["key"].to_numpy().view(np.uint64), at, found["n"].to_numpy(), whole, kinds.get(length, 0))
+
+    return Model(langs, table(0), {n: table(n) for n in GRAMS})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -70,16 +70,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def first_by_hash(df: DataFrame, n: int) -> DataFrame:
-    """The n rows of df (doc_id, text and others) whose hash is smallest. Only hashes are ranked, so no more than the
-    rows asked for ever come together."""
-    hashed = df.withColumn("_h", F.xxhash64("doc_id", "text"))
-    last = hashed.select("_h").orderBy("_h").limit(n).agg(F.max("_h")).first()[0]
-    if last is None:
-        return hashed.limit(0)
-    return hashed.where(F.col("_h") < last).unionByName(hashed.where(F.col("_h") == last).limit(1))
-
-
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
