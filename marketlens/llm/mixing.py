@@ -10,7 +10,9 @@ order into slices of virtual time.
 
 Defined cases: null text has size 0 and takes 0; a null source is a source of its own, sorted last; a source or table
 without words takes 0 with target 0; rows with equal doc_id and text are told apart by nothing and get equal hashes, so
-their order among each other is arbitrary, yet they are equal rows.
+their order among each other is arbitrary, yet they are equal rows; an empty table gives no rows; a very long text
+counts whole, and where the mix takes whole documents, it is taken or not as a whole; other columns, of any name, are
+carried along.
 """
 
 from __future__ import annotations
@@ -85,8 +87,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix repeats them: each as often as it is taken in whole; one that the cut takes in part is
     kept when at least half of it is taken."""
     names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64("doc_id", "text", "source").alias("_id"))
-    counts = mix(docs.select(F.xxhash64("doc_id", "text", "source").alias("doc_id"), "source", "text"), **options)
-    counts = counts.groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    times = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size")).cast("int")).otherwise(0)
-    return row.join(counts, "_id").withColumn("_times", times).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_k")).select("_row.*")
+    identity = F.xxhash64("doc_id", "text", "source")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), identity.alias("_id"))
+    counts = mix(docs.select(identity.alias("doc_id"), "source", "text"), **options)
+    # rows of one identity share what is taken of all of them: each as often as goes into all, the rest to the first ones
+    whole = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.max("size")).cast("long")).otherwise(0)
+    counts = counts.groupBy(F.col("doc_id").alias("_id")).agg(whole.alias("_whole"), F.count(F.lit(1)).alias("_copies"))
+    row = row.join(counts.where("_whole > 0"), "_id")
+    alone = row.where("_copies = 1").select("_row", F.col("_whole").alias("_times"))
+    many = row.where("_copies > 1").groupBy("_id", F.xxhash64("_row").alias("_at")).agg(F.first("_row").alias("_row"), F.first("_whole").alias("_whole"), F.first("_copies").alias("_copies"), F.count(F.lit(1)).alias("_equal"))
+    many = running_sums(many, ["_id"], ["_at"], "_equal", "_before", hash_slice("_at"))
+    rest = F.least(F.greatest(F.col("_whole") % F.col("_copies") - F.col("_before"), F.lit(0)), F.col("_equal"))
+    many = many.select("_row", (F.floor(F.col("_whole") / F.col("_copies")) * F.col("_equal") + rest).alias("_times"))
+    both = alone.unionByName(many).where("_times > 0")
+    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_k")).select("_row.*")
