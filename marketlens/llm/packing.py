@@ -117,7 +117,7 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     sizes = np.arange(capacity + 1)
     bound = float(np.dot(need, sizes)) / capacity  # sequences of the fractional optimum, at least
     found: dict[bytes, list] = {}
-    if bound > 4:
+    if bound:
         # long pieces are the hard ones: of equally full configurations those with longer pieces weigh more
         base = np.where(need > 0, sizes / capacity * (1 + 0.2 * sizes / capacity), 0.0)
         covered = np.zeros(capacity + 1)
