@@ -149,6 +149,33 @@ def test_mixed_documents_keep_columns(frame):
     assert out.columns == frame.columns and out.groupBy("doc_id", "text").count().where("count > 4").count() == 0
 
 
+def test_mixing_by_document(spark):
+    """taken of every document, by a model that sends queues and stops at the budget."""
+    rng = random.Random(6)
+    docs = [(i, " ".join(["w"] * rng.randint(1, 40)), "abc"[rng.randrange(3)]) for i in range(150)]
+    rows = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    order = {r.doc_id: r.h for r in spark.createDataFrame(docs, "doc_id long, text string, source string").select("doc_id", F.xxhash64(F.lit(mixing._VERSION), "doc_id", "text").alias("h")).collect()}
+    for source in "abc":
+        own = sorted((order[i], i, len(t.split())) for i, t, s in docs if s == source)
+        left, want = round(rows[own[0][1]].target), collections.Counter()
+        for _, i, size in own * 2:
+            want[i] += min(size, left)
+            left -= min(size, left)
+        assert all(abs(rows[i].taken - want[i]) <= 1 for _, i, _ in own)
+
+
+def test_mixed_copies_share_what_is_taken(spark):
+    docs = [(1, "a b c", "x", 7)] * 5 + [(1, "a b c", "x", 8)] * 2 + [(i, "q r s", "xy"[i % 2], 0) for i in range(2, 60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, mix long")
+    identity = F.xxhash64("doc_id", "text", "source")
+    counts = mixing.mix(df.select(identity.alias("doc_id"), "text", "source"))
+    out = mixing.mix_documents(df)
+    assert out.columns == df.columns
+    taken = {r.doc_id: r.t for r in counts.groupBy("doc_id").agg(F.sum("taken").alias("t")).collect()}
+    got = {r.i: r["count"] for r in out.groupBy(identity.alias("i")).count().collect()}
+    assert all(got.get(i, 0) == round(t / 3) for i, t in taken.items())
+
+
 def test_mixing_odd_tables(spark, empty):
     assert mixing.mix(empty).count() == 0
     none = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
@@ -311,6 +338,26 @@ def test_vector_search(spark):
     assert [v for _, v, _ in sorted(got[50])] == [1400, 1401, 1402, 1403, 1404]
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200])
+def test_vector_search_of_any_length(spark, scale):
+    """Cosines do not depend on lengths, near the ends of the doubles either; near copies are told apart."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8))
+    x[60:] = x[0] + rng.normal(scale=1e-6, size=(60, 8))
+    rows = [(i, (v * (scale if i % 2 else 1.0)).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = collections.defaultdict(list)
+    for r in vector_search.search(df, df.where("vec_id % 50 = 0")).collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert set(found) == {0, 50, 100}
+    for q, got in found.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        assert [v for _, v, _ in sorted(got)][:3] == np.argsort(-s, kind="stable")[:3].tolist() or np.isclose(np.sort(s)[-5:][::-1], [c for _, _, c in sorted(got)], atol=1e-15).all()
+        assert all(abs(c - s[v]) < 1e-12 for _, v, c in got)
+
+
 def test_vector_search_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_search.search(df, df).count() == 0
