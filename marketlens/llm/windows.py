@@ -8,8 +8,11 @@ overlap by L - 1 symbols, so every window lies whole in exactly one phrase.
 * Phrases are counted by (trigger hash, phrase hash). A phrase seen twice repeats all its windows; a trigger seen once
   repeats none. Only triggers with several different phrases need their symbols, once for each different phrase: this
   is the dictionary.
-* The dictionary is dealt out by trigger, and a resolver finds the repeated windows of each phrase. A trigger with very
-  many phrases is resolved by counting its windows' hashes instead, spread over all tasks.
+* The dictionary is dealt out by trigger, and a resolver finds the repeated windows of each phrase.
+* A trigger with very many phrases is split by the text around it: of each phrase, the windows that start far before
+  the trigger and those that start near it become two pieces. All windows of a piece share what lies between the latest
+  start and the earliest end, and equal windows share it, too; so pieces are dealt out by that core, which is longer than
+  the trigger. Equal pieces are one from here on, and pieces are split again until every core has few.
 
 Hashes have 64 bits.
 """
@@ -24,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import in_filter, key_filter, maybe_in, modest_batches, record_batch, tidy, written
+from marketlens.llm.tables import freed, in_filter, key_filter, maybe_in, modest_batches, record_batch, tidy, written
 
-#: Different phrases of a trigger above which its windows are counted one by one, over all tasks.
+#: Different phrases of a trigger (pieces of a core) above which they are split; it changes no result.
 CROWDED = 2000
 #: Symbols of the dictionary that a resolver gets at a time (whole triggers).
 RESOLVED = {"u1": 1 << 19, "u8": 1 << 15}
@@ -49,11 +52,12 @@ def prefix_of(symbols: np.ndarray) -> tx.Prefix:
 
 
 def phrases(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Document, first and last window start (within the document), trigger hash and phrase hash of each phrase."""
+    """Document, first and last window start (within the document), trigger hash, phrase hash and place of the trigger
+    (within the phrase) of each phrase."""
     n = symbols.size - length + 1
     if n <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z.view(np.uint64)
+        return z, z, z, z.view(np.uint64), z.view(np.uint64), z
     prefix = prefix_of(symbols)
     grams = prefix.runs(k)
     packed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams.size, dtype=np.uint64)
@@ -69,27 +73,25 @@ def phrases(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tup
     tail = np.append(head[1:], at.size)[: head.size] - 1
     lo, hi, of, place = start[head], start[tail], doc[head], at[head]
     phrase = tx.mix(prefix.spans(lo, hi + length) + (place - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return of, lo - bounds[of], hi - bounds[of], grams[place], phrase
+    return of, lo - bounds[of], hi - bounds[of], grams[place], phrase, place - lo
 
 
 def _rows(docs: DataFrame, symbols: Symbols, length: int, k: int) -> DataFrame:
-    schema = pa.schema([("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("trigger", pa.int64()), ("phrase", pa.int64())])
+    schema = pa.schema([("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("trigger", pa.int64()), ("phrase", pa.int64()), ("place", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, after, data, offsets in tx.blocks(b.column(1)):
-                of, lo, hi, trigger, phrase = phrases(*symbols(data, offsets), length, k)
-                yield record_batch(schema, b.column(0).slice(first, after - first).take(pa.array(of)), lo.astype(np.int32), hi.astype(np.int32), tx.as_long(trigger), tx.as_long(phrase))
+                of, lo, hi, trigger, phrase, place = phrases(*symbols(data, offsets), length, k)
+                yield record_batch(schema, b.column(0).slice(first, after - first).take(pa.array(of)), lo.astype(np.int32), hi.astype(np.int32), tx.as_long(trigger), tx.as_long(phrase), place.astype(np.int32))
 
-    return docs.select("rid", "text").mapInArrow(tidy(run), "rid long, lo int, hi int, trigger long, phrase long")
+    return docs.select("rid", "text").mapInArrow(tidy(run), "rid long, lo int, hi int, trigger long, phrase long, place int")
 
 
 def _dictionary(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: int) -> DataFrame:
-    """trigger, phrase, n and the symbols of the wanted phrases (rid, lo, hi, trigger, phrase, n)."""
-    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "trigger", "phrase", "n")).alias("p"))  # at most a document's phrases
-    near = maybe_in(docs.select("rid", "text"), "rid", key_filter(wanted, "rid"))
-    joined = near.dropDuplicates(["rid"]).join(places.hint("shuffle_hash"), "rid").select("text", "p")
-    schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("n", pa.int64()), ("symbols", pa.binary())])
+    """trigger, phrase, n, place and the symbols of the wanted phrases (rid, lo, hi, trigger, phrase, n, place), written."""
+    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "trigger", "phrase", "n", "place")).alias("p"))  # at most a document's phrases
+    schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("n", pa.int64()), ("place", pa.int32()), ("symbols", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,9 +104,11 @@ def _dictionary(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: in
                 lo = flat.field("lo").to_numpy() + bounds[of]
                 hi = flat.field("hi").to_numpy() + bounds[of] + length
                 cut = [bytes(raw[a:z]) for a, z in zip((lo * width).tolist(), (hi * width).tolist(), strict=True)]
-                yield record_batch(schema, flat.field("trigger"), flat.field("phrase"), flat.field("n"), pa.array(cut, pa.binary()))
+                yield record_batch(schema, flat.field("trigger"), flat.field("phrase"), flat.field("n"), flat.field("place"), pa.array(cut, pa.binary()))
 
-    return joined.mapInArrow(tidy(run), "trigger long, phrase long, n long, symbols binary")
+    with freed(key_filter(wanted, "rid")) as near:
+        joined = maybe_in(docs.select("rid", "text"), "rid", near).dropDuplicates(["rid"]).join(places.hint("shuffle_hash"), "rid").select("text", "p")
+        return written(joined.mapInArrow(tidy(run), "trigger long, phrase long, n long, place int, symbols binary"), "dictionary")
 
 
 #: (symbols of all phrases one after another, phrase bounds, times each phrase comes, L) to a flag for each symbol that
@@ -160,24 +164,60 @@ def _resolved(dictionary: DataFrame, resolver: Resolver, length: int, dtype: str
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    dealt = dictionary.repartition("trigger").sortWithinPartitions("trigger")
+    # much work on few bytes: as many tasks as there are shuffle partitions, which the planner does not merge
+    tasks = int(dictionary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dictionary.repartition(tasks, "trigger").sortWithinPartitions("trigger")
     return dealt.mapInArrow(tidy(run), "trigger long, phrase long, from int, to int")
 
 
-def _counted(dictionary: DataFrame, length: int, dtype: str) -> DataFrame:
-    """The same for crowded triggers: each window is a row with its hash, and hashes are counted over all tasks."""
-    schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("at", pa.int32()), ("window", pa.int64()), ("n", pa.int64())])
+def _pieces(dictionary: DataFrame, length: int, dtype: str) -> DataFrame:
+    """Rows of trigger, phrase, n, place, a, b and symbols, of which the windows start a to b - 1 symbols before the
+    trigger, as two pieces each: trigger, phrase, at (where the piece starts), core, piece, and its own n, place, a, b and
+    symbols. A piece without windows is left out."""
+    width = np.dtype(dtype).itemsize
+    schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("at", pa.int32()), ("core", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("place", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("symbols", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                h = prefix_of(np.frombuffer(b.column(3)[i].as_py(), dtype)).runs(length)
-                same = lambda c, m=h.size, i=i: np.full(m, b.column(c)[i].as_py())
-                yield record_batch(schema, same(0), same(1), np.arange(h.size, dtype=np.int32), tx.as_long(h), same(2))
-
-    each = dictionary.mapInArrow(tidy(run), "trigger long, phrase long, at int, window long, n long")
-    twice = each.groupBy("window").agg(F.sum("n").alias("times")).where("times > 1").select("window")
-    return each.join(twice, "window").select("trigger", "phrase", F.col("at").alias("from"), F.col("at").alias("to"))
+        for batch in batches:
+            out: list[list] = [[] for _ in schema]
+            for r in batch.to_pylist():
+                values = np.frombuffer(r["symbols"], dtype)
+                prefix, place, last = prefix_of(values), r["place"], values.size - length
+                middle = (r["a"] + r["b"]) // 2
+                for a, b in ((r["a"], middle), (middle, r["b"])):
+                    first, after = max(0, place - b + 1), min(last, place - a) + 1  # starts of the piece's windows
+                    if first >= after:
+                        continue
+                    place_in = np.uint64((place - first) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+                    core = prefix.spans(np.array([place - a]), np.array([place - b + 1 + length]))
+                    core = tx.mix(core ^ np.array([r["trigger"]], np.int64).view(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(a * 65537 + b))
+                    whole = tx.mix(prefix.spans(np.array([first]), np.array([after - 1 + length])) + place_in)
+                    row = (r["trigger"], r["phrase"], first, int(core.view(np.int64)[0]), int(whole.view(np.int64)[0]), r["n"], place - first, a, b, r["symbols"][first * width : (after - 1 + length) * width])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            yield record_batch(schema, *out)
+
+    return dictionary.select("trigger", "phrase", "n", "place", "a", "b", "symbols").mapInArrow(tidy(run), "trigger long, phrase long, at int, core long, piece long, n long, place int, a int, b int, symbols binary")
+
+
+def _settled(dictionary: DataFrame, resolver: Resolver, length: int, dtype: str, crowded: int) -> DataFrame:
+    """trigger, phrase, from, to: runs of repeated windows, of rows of trigger, phrase, n, place, a, b, symbols and kinds
+    (the trigger's different phrases), each (trigger, phrase) once."""
+    small = _resolved(dictionary.where(F.col("kinds") <= crowded).select("trigger", "phrase", "n", "symbols"), resolver, length, dtype)
+    large = dictionary.where(F.col("kinds") > crowded)
+    if large.isEmpty():
+        return small
+    pieces = written(_pieces(large, length, dtype), "pieces")
+    counted = pieces.groupBy("core", "piece").agg(F.sum("n").alias("n"), F.first("place").alias("place"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("symbols").alias("symbols"))
+    kinds = pieces.select("core", "piece").distinct().groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    counted = written(counted.withColumnsRenamed({"core": "trigger", "piece": "phrase"}), "counted-pieces")
+    deeper = written(counted.join(kinds.withColumnRenamed("core", "trigger"), "trigger"), "deeper")
+    # a piece that comes twice repeats whole; the parts of the others are found a level below
+    twice = counted.where("n > 1").select("trigger", "phrase", F.lit(0).alias("from"), (F.octet_length("symbols") / np.dtype(dtype).itemsize - length).cast("int").alias("to"))
+    found = twice.unionByName(_settled(deeper, resolver, length, dtype, crowded).join(twice.select("trigger", "phrase"), ["trigger", "phrase"], "left_anti"))
+    found = found.withColumnsRenamed({"trigger": "core", "phrase": "piece"})
+    up = pieces.select("trigger", "phrase", "at", "core", "piece").join(found, ["core", "piece"])
+    return small.unionByName(up.select("trigger", "phrase", (F.col("at") + F.col("from")).cast("int").alias("from"), (F.col("at") + F.col("to")).cast("int").alias("to")))
 
 
 def repeated(docs: DataFrame, symbols: Symbols, resolver: Resolver, length: int, k: int, dtype: str) -> DataFrame:
@@ -186,13 +226,12 @@ def repeated(docs: DataFrame, symbols: Symbols, resolver: Resolver, length: int,
     docs has rid (a hash of the row's identity) and text; rows with the same rid must be equal.
     """
     found = written(_rows(docs, symbols, length, k), "phrases")
-    counted = found.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("p"))
+    counted = found.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi", "place")).alias("p"))
     counted = written(counted.select("trigger", "phrase", "n", "p.*"), "counted")
     kinds = counted.groupBy("trigger").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    dictionary = written(_dictionary(docs, counted.join(kinds, "trigger").select("rid", "lo", "hi", "trigger", "phrase", "n"), symbols, length).join(kinds, "trigger"), "dictionary")
-    columns = ["trigger", "phrase", "n", "symbols"]
-    parts = _resolved(dictionary.where(F.col("kinds") <= CROWDED).select(*columns), resolver, length, dtype)
-    parts = parts.unionByName(_counted(dictionary.where(F.col("kinds") > CROWDED).select(*columns), length, dtype))
+    dictionary = _dictionary(docs, counted.join(kinds, "trigger").select("rid", "lo", "hi", "trigger", "phrase", "n", "place"), symbols, length)
+    dictionary = dictionary.join(kinds, "trigger").withColumns({"a": F.lit(0), "b": F.lit(length - k + 1)})
+    parts = _settled(dictionary, resolver, length, dtype, CROWDED)
     # a phrase that comes twice repeats whole; the parts of the others are what the resolver found
     parts = parts.groupBy("trigger", "phrase").agg(F.collect_list(F.struct("from", "to")).alias("parts"))
     whole = counted.where("n > 1").select("trigger", "phrase", F.lit(None).cast("array<struct<from:int,to:int>>").alias("parts"))
