@@ -80,11 +80,21 @@ def test_substring_dedup(frame, corpus):
 
 
 @pytest.mark.parametrize("length", [12, 35])
-def test_crowded_triggers_are_counted_exactly(frame, corpus, length, monkeypatch):
+def test_crowded_triggers_are_split(frame, corpus, length, monkeypatch):
     monkeypatch.setattr(windows, "CROWDED", 2)
     assert _sorted(substring_dedup.remove_repeats(frame, length, 5).collect()) == _sorted(brute.words_dedup(corpus, length))
 
 
+def test_crowded_triggers_of_bytes_are_split(spark, monkeypatch):
+    """One passage in many contexts: every window about its triggers is crowded."""
+    monkeypatch.setattr(windows, "CROWDED", 3)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(12))
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 20))) + " " + passage[rng.randint(0, 9) :] + " " + " ".join(word() for _ in range(rng.randint(0, 20)))) for i in range(60)]
+    assert _sorted(suffix_dedup.remove_repeats(_frame(spark, docs), 48, 12).collect()) == _sorted(brute.bytes_dedup(docs, 48))
+
+
 def test_small_resolver_parts(frame, corpus, monkeypatch):
     monkeypatch.setattr(windows, "RESOLVED", {"u1": 1000, "u8": 100})
     assert _sorted(suffix_dedup.remove_repeats(frame).collect()) == _sorted(brute.bytes_dedup(corpus))
@@ -107,7 +117,7 @@ def test_resolvers_agree_with_brute_force(runs, length):
 @given(st.lists(st.text("ab \n", max_size=60), min_size=1, max_size=5))
 def test_phrases_cover_each_window_once(texts):
     data, offsets = tx.column_bytes(pa.array(texts))
-    of, lo, hi, _, _ = windows.phrases(data, offsets, 8, 3)
+    of, lo, hi, *_ = windows.phrases(data, offsets, 8, 3)
     got = sorted((d, x) for d, a, b in zip(of, lo, hi, strict=True) for x in range(a, b + 1))
     assert got == [(d, x) for d, t in enumerate(texts) for x in range(len(t) - 7)]
 
