@@ -469,13 +469,87 @@ def test_attention_lm_learns_and_sums_to_one():
     alone = [attention_lm.score(model, table, s, np.array([0, len(s)]))[0] for s in seqs[160:]]
     assert np.allclose(whole, alone, atol=1e-3)
     assert whole.mean() > 61 * np.log10(1 / 51) * 0.75  # better than knowing the 51 ids alone
-    # the next id's probabilities after a prefix sum to one
-    prefix = seqs[0][:20]
-    before = attention_lm.score(model, table, prefix, np.array([0, 20]))[0]
-    every = np.arange(attention_lm.IDS - 1)
-    # P(prefix, x, end) summed over x, against P(prefix, end): only the classes' and ids' shares are summed
-    share = np.bincount(model.group, weights=10.0**model.inside, minlength=attention_lm.CLASSES)
-    assert np.allclose(share[np.unique(model.group)], 1) and before < 0 and every.size == attention_lm.IDS - 1
+
+
+def _reference_scores(model, ids):
+    """log10 of the attention model's probability of each id and the end, one position at a time."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    seen = [attention_lm.END, *ids.tolist()]
+    out = []
+    for t, want in enumerate([*ids.tolist(), attention_lm.END]):
+        first = t // attention_lm.SCORED * attention_lm.SCORED
+        at = [j for j in range(max(0, first - attention_lm.CONTEXT), t + 1)]
+        e = p["e"][model.place[[seen[j] for j in at]]]
+        x = e[-1]
+        a = (e @ p["k"]) @ (x @ p["q"]) / np.sqrt(attention_lm.WIDTH) + p["d"][[t - j for j in at]]
+        a = np.exp(a - a.max())
+        o = (a / a.sum()) @ (e @ p["v"])
+        y = np.maximum(x @ p["hx"] + o @ p["ho"] + p["hb"], 0) @ p["w"] + p["b"]
+        y = np.exp(y - y.max())
+        out.append(np.log10(y[model.group[want]] / y.sum()) + model.inside[want])
+    return out
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(30)]
+    docs = [(i, " ".join(rng.choices(vocab, weights=range(1, 31), k=rng.randint(1, 60)))) for i in range(80)]
+    return attention_lm.fit(_frame(spark, docs).select("doc_id", "text")), docs
+
+
+def test_attention_lm_forward_pass(fitted):
+    import dataclasses
+
+    model, docs = fitted
+    alone = dataclasses.replace(model, memories=())
+    data, offsets = tx.column_bytes(pa.array([t for _, t in docs[:6]]))
+    ids, bounds = subwords.Encoder.of(attention_lm.VOCABULARY).ids(data, offsets)
+    got = attention_lm.score(alone, alone.table(), ids, bounds)
+    want = [sum(_reference_scores(alone, ids[a:z])) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_attention_lm_sums_to_one(fitted):
+    """The probabilities of all ids after a prefix, memories and all: P(prefix, x) for every x, from P(prefix, x, end)
+    less the end's part."""
+    model, docs = fitted
+    data, offsets = tx.column_bytes(pa.array([docs[0][1]]))
+    prefix = subwords.Encoder.of(attention_lm.VOCABULARY).ids(data, offsets)[0][:7].astype(np.int64)
+    p = _reference_scores(model, prefix)  # the last is the end's, after the prefix
+    classes = np.zeros(attention_lm.CLASSES)
+    every = np.arange(attention_lm.IDS)
+    end = 10 ** (p[-1] - model.inside[attention_lm.END])
+    assert 0 < end <= 1
+    # the classes' probabilities: one id of each class, scored as the next one
+    for c in np.unique(model.group):
+        x = int(np.flatnonzero(model.group == c)[0])
+        classes[c] = 10 ** (_reference_scores(model, np.array([*prefix, x]))[len(prefix)] - model.inside[x])
+    share = classes[model.group] * 10.0**model.inside
+    assert abs(share.sum() - 1) < 1e-6
+    one, two = np.full(every.size, prefix[-1]), np.full(every.size, prefix[-2] * attention_lm.IDS + prefix[-1])
+    for memory, context in zip(model.memories, (one, two), strict=True):
+        own, rest = memory.find(context, every)
+        share = own + rest * share
+    assert abs(share.sum() - 1) < 1e-6 and (share > 0).all()
+
+
+def test_attention_lm_beats_its_parts(spark, sf):
+    """On held-out documents pairs and triples help the attention, and the attention is better than the ids' shares."""
+    import dataclasses
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    held = attention_lm.in_fold("doc_id", 5, 1)
+    model = attention_lm.fit(docs.where(~held).select("doc_id", "text"))
+    data, offsets = tx.column_bytes(pa.array([r.text for r in docs.where(held).select("text").collect()]))
+    ids, bounds = subwords.Encoder.of(attention_lm.VOCABULARY).ids(data, offsets)
+    whole = attention_lm.score(model, model.table(), ids, bounds).sum()
+    alone = dataclasses.replace(model, memories=())
+    attention = attention_lm.score(alone, alone.table(), ids, bounds).sum()
+    # the ids alone: a class's share is its bias
+    bias = model.p["b"] - np.log(np.exp(model.p["b"]).sum())
+    shares = (bias[model.group] / np.log(10) + model.inside)[np.concatenate([ids, np.full(len(bounds) - 1, attention_lm.END)])].sum()
+    assert whole > attention > shares
 
 
 def test_attention_lm_counts_every_training_document(spark):
