@@ -1,17 +1,18 @@
 """Line dedup with a log-template tree.
 
 A line goes down a tree of fixed depth: by its number of words, then by its leading words; words with a digit are
-variable and count as one wildcard. In a leaf, lines join the template they agree with in most places, and places where
-they differ become wildcards. Templates found in many documents are boilerplate: all their lines go but the first one
-(by doc_id and line), so that one document keeps it.
+variable and count as one wildcard. In a leaf, a word that few lines have at its place is a variable field and becomes a
+wildcard, too; a line whose other words make up most of it belongs to the template of these words, and any other line is
+a template of its own. Templates found in many documents are boilerplate: all their lines go but the first one (by
+doc_id and line), so that one document keeps it.
 
-Only leaves that hold several different lines are clustered, each as one sequence in the order of the lines' hashes,
-whatever their number: a leaf is one task's. In a crowded leaf an index of the templates' words finds those that a line
-may join, with the same result as comparing it with all. Counting is by partial aggregates, so a line found in a third
-of all documents is no task's burden.
+Words are counted by leaf and place, lines by template, all by partial aggregates over all tasks: neither a leaf with
+very many lines nor a line found in a third of all documents is one task's burden, and no result depends on an order.
 
 Defined cases: a null text stays null and has no lines; lines without a word are never counted nor dropped; repeated
-rows (equal doc_id and text) count as one document; a null doc_id counts and comes first; other columns are untouched.
+rows (equal doc_id and text) count as one document; a null doc_id counts and comes first; a very long text is a block of
+its own, and a very long line has as many places as it has words; an empty table gives no rows; other columns, of any
+name, are untouched.
 """
 
 from __future__ import annotations
@@ -25,16 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import in_filter, key_filter, maybe_in, modest_batches, record_batch, tidy, written
+from marketlens.llm.tables import freed, in_filter, key_filter, maybe_in, modest_batches, record_batch, tidy, written
 
 #: Leading words that the tree looks at.
 DEPTH = 3
-#: Share of equal places with which a line joins a template.
+#: Share of a line's places that must not be variable for it to belong to a template.
 ALIKE = 0.8
-#: Documents from which on a template is boilerplate.
+#: Documents from which on a template is boilerplate; a word that fewer lines have at its place is a variable field.
 MIN_DOCUMENTS = 10
-#: Different lines of a leaf above which its templates are indexed; it changes no result.
-CROWDED = 1000
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -92,94 +91,45 @@ def _line_words(rows: DataFrame, wanted) -> DataFrame:
     return rows.mapInArrow(tidy(run), "full long, words binary")
 
 
-class _Index:
-    """Templates by the words of their places, to find all that a line may join."""
-
-    def __init__(self, length: int, alike: float):
-        self.at: list[dict[int, list[int]]] = [{} for _ in range(length)]
-        self.spare = (1 - alike) * length + 1e-9
-
-    def add(self, template: int, place: int, word: int) -> None:
-        self.at[place].setdefault(word, []).append(template)
-
-    def found(self, line: list[int]) -> np.ndarray | None:
-        """Numbers of templates among which are all that agree enough, or None for all. Such a template disagrees in no
-        more than ``spare`` places, and half a place for each of the line's own wildcards; so of one place more, it
-        has the line's word or a wildcard in at least one."""
-        few = int(self.spare + 0.5 * line.count(int(_ANY))) + 1
-        if few > len(line):
-            return None
-        lists = [[self.at[p].get(w, ()), self.at[p].get(int(_ANY), ())] for p, w in enumerate(line)]
-        least = sorted(lists, key=lambda x: len(x[0]) + len(x[1]))[:few]
-        return np.array(sorted({t for x in least for y in x for t in y}), np.int64)
-
-
-def cluster(lines: np.ndarray, alike: float = ALIKE, crowded: int | None = None) -> np.ndarray:
-    """Number of the template each line (rows of masked word hashes, all of one length) joins, in the given order."""
-    templates = np.zeros((0, lines.shape[1]), np.uint64)
-    size, out = 0, np.zeros(len(lines), np.int64)
-    index = _Index(lines.shape[1], alike) if len(lines) > (CROWDED if crowded is None else crowded) else None
-    for i, line in enumerate(lines):
-        among = index.found(line.tolist()) if index else None
-        known = templates[:size] if among is None else templates[among]
-        if len(known):
-            same = (known == line).sum(axis=1) + 0.5 * (known == _ANY).sum(axis=1)
-            best = int(same.argmax())
-            if same[best] >= alike * line.size:
-                best = best if among is None else int(among[best])
-                new = np.flatnonzero((templates[best] != line) & (templates[best] != _ANY))
-                templates[best][new] = _ANY
-                if index:
-                    for place in new.tolist():
-                        index.add(best, place, int(_ANY))
-                out[i] = best
-                continue
-        if size == len(templates):
-            templates = np.concatenate([templates, np.zeros((max(8, size), lines.shape[1]), np.uint64)])
-        templates[size] = line
-        if index:
-            for place, word in enumerate(line.tolist()):
-                index.add(size, place, word)
-        out[i] = size
-        size += 1
-    return out
-
-
-def _clustered(words: DataFrame) -> DataFrame:
-    """full, template (the smallest hash of its lines) from rows of leaf, full, words; a leaf is one task's."""
-    schema = pa.schema([("full", pa.int64()), ("template", pa.int64())])
-
-    def settle(full: list[int], words: list[bytes]) -> pa.RecordBatch:
-        of = cluster(np.frombuffer(b"".join(words), np.uint64).reshape(len(words), -1))
-        least: dict[int, int] = {}
-        for f, t in zip(full, of.tolist(), strict=True):
-            least.setdefault(t, f)  # lines come by hash, so the first is the smallest
-        return record_batch(schema, full, [least[t] for t in of.tolist()])
+def _places(words: DataFrame) -> DataFrame:
+    """leaf, full, size, place and word of each word of each line, from rows of leaf, full, n and words."""
+    schema = pa.schema([("leaf", pa.int64()), ("full", pa.int64()), ("n", pa.int64()), ("size", pa.int32()), ("place", pa.int32()), ("word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, full, words = None, [], []
         for b in batches:
-            for lf, f, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if lf != leaf or (words and len(w) != len(words[0])):
-                    if len(full) > 1:
-                        yield settle(full, words)
-                    leaf, full, words = lf, [], []
-                full.append(f)
-                words.append(w)
-        if len(full) > 1:
-            yield settle(full, words)
+            if not b.num_rows:
+                continue
+            data, offsets = tx.column_bytes(b.column(3))
+            size = np.diff(offsets) // 8
+            of = np.repeat(np.arange(size.size), size)
+            place = np.arange(of.size) - np.repeat(np.cumsum(size) - size, size)
+            word = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.int64)
+            at = pa.array(of)
+            yield record_batch(schema, *(b.column(c).take(at) for c in range(3)), size[of].astype(np.int32), place.astype(np.int32), word)
+
+    return words.select("leaf", "full", "n", "words").mapInArrow(tidy(run), "leaf long, full long, n long, size int, place int, word long")
+
 
-    return words.repartition("leaf").sortWithinPartitions("leaf", "full").mapInArrow(tidy(run), "full long, template long")
+def _templates(words: DataFrame, min_documents: int, alike: float = ALIKE) -> DataFrame:
+    """full, template of the lines that belong to a template with a variable field, from rows of leaf, full, n and words."""
+    places = _places(words)
+    fixed = written(places.groupBy("leaf", "place", "word").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_documents).select("leaf", "place", "word"), "fixed-words")
+    # a line's fixed words, as a sum of their hashes; the words with a digit are wildcards and fixed as such
+    held = places.join(fixed, ["leaf", "place", "word"]).groupBy("leaf", "full", "size").agg(F.count(F.lit(1)).alias("fixed"), F.sum(F.xxhash64("place", "word").cast("decimal(38,0)")).alias("sum"))
+    held = held.where((F.col("fixed") < F.col("size")) & (F.col("fixed") >= alike * F.col("size")))
+    return held.select("full", F.xxhash64("leaf", "fixed", "sum").alias("template"))
 
 
 def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """rid, line of the lines to drop, from rows of rid, doc_id, text."""
     lines = written(_line_rows(rows), "lines")
     kinds = written(lines.groupBy("leaf", "full").agg(F.count(F.lit(1)).alias("n")), "kinds")
-    crowd = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    tree = written(kinds.join(crowd, "leaf").select("leaf", "full"), "tree")
-    words = _line_words(rows, key_filter(tree, "full")).groupBy("full").agg(F.first("words").alias("words")).join(tree, "full").select("leaf", "full", "words")
-    joined = written(_clustered(words), "templates")
+    # only leaves with several different lines, and with enough of them to be boilerplate together
+    crowd = kinds.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")).where((F.col("k") > 1) & (F.col("m") >= min_documents))
+    tree = written(kinds.join(crowd, "leaf").select("leaf", "full", "n"), "tree")
+    with freed(key_filter(tree, "full")) as wanted:
+        words = written(_line_words(rows, wanted).groupBy("full").agg(F.first("words").alias("words")).join(tree, "full").select("leaf", "full", "n", "words"), "tree-words")
+    joined = written(_templates(words, min_documents), "templates")
     found = lines.join(joined, "full", "left").select("rid", "doc_id", "line", F.coalesce("template", "full").alias("template"))
     found = written(found, "line-templates")
     common = found.groupBy("template", "rid").agg(F.min(F.struct("doc_id", "rid", "line")).alias("first")).groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first")).where(F.col("documents") >= min_documents)
