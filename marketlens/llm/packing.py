@@ -8,7 +8,9 @@ weights, then by best fit over the histogram. The plan is a table of slots by le
 within their length in slices, and looked up.
 
 Defined cases: a null or empty text is one id (the end id 0) and so one piece; repeated rows are packed as often as
-they come; an empty table gives no rows; other columns are ignored.
+they come, and so are rows with a null doc_id; a very long text is cut into as many full pieces as it has, and a rest;
+pieces of one length are told apart by hash, doc_id and piece, and equal ones may change places; an empty table gives no
+rows; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ rule r fails. A policy is a versioned mask: a document is kept when ``failed & m
 ablation of any rule, are bitwise arithmetic over the ledger and never touch the texts again.
 
 Defined cases: a null or empty text has no words and fails the word-count rule; null doc_id and repeated rows are
-passed through row by row; an empty table gives no rows; other columns are ignored.
+passed through row by row; an empty table gives no rows; a very long text is measured whole, as a block of its own;
+each row is judged alone, so there are no ties; other columns are ignored by the ledger and kept by the filter.
 """
 
 from __future__ import annotations

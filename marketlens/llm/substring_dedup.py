@@ -6,8 +6,10 @@ and streams the phrases through it: the matching statistic at each word is the l
 that occurs twice, and where it reaches 35 a window is repeated. A shard is sent to the one task that streams the
 phrases sharing its triggers, not to every task, so nothing that grows with the corpus is broadcast.
 
-Defined cases: null text has no words: 0 removed, the hash of nothing. Repeated rows repeat each other's text. Words
-are compared unchanged, by 64-bit hash.
+Defined cases: null text has no words: 0 removed, the hash of nothing. Repeated rows repeat each other's text. A null
+doc_id is one like any other. A very long text is a block of its own, and its repeats within itself count. Of equal runs
+none is kept: ties need no rule. An empty table gives no rows; other columns, of any name, are ignored. Words are
+compared unchanged, by 64-bit hash.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ The suffix array is built by prefix doubling on exact bytes, in parts dealt out
 trigger, so each part of the order is complete.
 
 Defined cases: null text is empty: 0 bytes, nothing removed, the hash of nothing. Repeated rows repeat each other's
-text, so all of a repeated row of 400 bytes or more goes. A null doc_id is one like any other.
+text, so all of a repeated row of 400 bytes or more goes. A null doc_id is one like any other. A very long text is a
+block of its own, and its repeats within itself count. Of equal stretches none is kept: ties need no rule. An empty
+table gives no rows; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations

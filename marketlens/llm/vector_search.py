@@ -12,7 +12,9 @@ several ids, so any number of copies costs the graph nothing and ties go to the
 
 Defined cases: null or empty vectors, zero vectors and those with a null or non-finite component take no part, neither
 as queries nor as candidates; vectors of different dimension never meet; repeated rows with the same id are candidates
-of each other's queries no more than the row itself.
+of each other's queries no more than the row itself; equal scores go to the smaller id; a vector of very many
+components is one like any other; an empty table, or one without queries, gives no rows; other columns, of any name, are
+ignored.
 """
 
 from __future__ import annotations

@@ -602,14 +602,52 @@ def test_empty_tables(empty, name):
     assert run(empty).count() == 0
 
 
-def test_very_long_text(spark):
+@pytest.fixture(scope="module")
+def long_docs():
     rng = random.Random(1)
     long_ = " ".join(str(rng.randrange(10**6)) for _ in range(300_000))
-    docs = [(1, long_), (2, "short text"), (3, long_[1000:200_000])]
-    r = {x.doc_id: x for x in suffix_dedup.remove_repeats(_frame(spark, docs)).collect()}
+    return [(1, long_), (2, "short text"), (3, long_[1000:200_000])]
+
+
+def test_very_long_text(spark, long_docs):
+    r = {x.doc_id: x for x in suffix_dedup.remove_repeats(_frame(spark, long_docs)).collect()}
     assert r[1].n_removed == r[3].n_removed == 199_000 and r[2].n_removed == 0
 
 
+def test_very_long_text_of_the_other_operators(spark, long_docs):
+    df = _frame(spark, long_docs)
+    counts = {i: len(t.split()) for i, t in long_docs}
+    assert {r.doc_id: r.n_words for r in substring_dedup.remove_repeats(df).collect()} == counts
+    assert {r.doc_id: r["size"] for r in mixing.mix(df).collect()} == counts
+    assert {r.doc_id: r.n_words for r in quality_rules.apply_rules(df).collect()} == counts
+    assert [r.text for r in line_templates.drop_lines(df).orderBy("doc_id").collect()] == [t for _, t in long_docs]
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == {1: 1, 2: 2, 3: 3}
+    assert {r.doc_id for r in language_id.identify(df).collect()} == {1, 2, 3}
+    packed = packing.pack_documents(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
+    assert all(r.pieces == -(-r.n // 2048) for r in packed)
+    scored = {r.doc_id: r.n_tokens for r in attention_lm.score_documents(df).collect()}
+    assert scored == {i: n + 1 for i, n in counts.items()}
+
+
+def test_clashing_columns(spark, corpus):
+    """Columns named like those that operators and stages make for themselves are carried along, or ignored."""
+    import corpus_pipeline
+
+    names = ["rid", "h", "n", "trigger", "size", "taken", "_row", "_id", "_doc", "_rid", "_k", "_times", "component", "m", "cls"]
+    df = _frame(spark, corpus).drop("trigger", "h").withColumns({c: F.lit(f"own {c}") for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns, name
+        rows = out.limit(50).collect()
+        assert rows or name == "quality rules"
+        assert all(r[c] == f"own {c}" for r in rows for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, df, "").count() >= len(corpus)
+    for run in (suffix_dedup.remove_repeats, substring_dedup.remove_repeats, mixing.mix, jaccard_join.join, language_id.identify):
+        assert run(df).count() == len(corpus)
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], "x", "y") for i in range(60)], "vec_id long, embedding array<double>, shard string, dim string")
+    assert vector_search.search(vectors, vectors.where("vec_id % 50 = 0")).count() == 10
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
 
