@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of its predecessor and returns a DataFrame that is written
 and read again before the next stage; all but the last return the columns of documents.
+
+Defined cases, for every stage: a null or empty text has no words, lines or shingles (the first stage drops it, the
+others pass it on, but for the mix, which takes nothing of it); a null doc_id or source is a value like any other;
+repeated rows are judged each, are one document to the similarity join and share what the mix takes; ties go to the
+smallest doc_id, then hash; a very long text is read whole; an empty table gives no rows; other columns, of any name,
+are carried along by all stages but the last.
 """
 
 from __future__ import annotations
@@ -27,12 +33,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones stays: the one with the smallest doc_id."""
+    """One document of each group of linked ones stays: the one with the smallest doc_id (nulls last), then hash."""
     return jaccard_join.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; a null or empty text is taken never."""
     return mixing.mix_documents(docs)
 
 
