@@ -41,6 +41,32 @@ def live_values(latest: DataFrame, now, ttl_seconds: int = 600, ts_col: str = "s
     return latest.where(micros(ts_col) > micros(F.lit(now).cast("timestamp")) - ttl_seconds * SECOND)
 
 
+#: What expiring_latest gives.
+CHANGES = "key string, at timestamp, payload string, action string"
+
+
+def expiring_latest(events: DataFrame, ttl_seconds: int = 600, ts_col: str = "snapshot_time", late: str = "10 minutes") -> DataFrame:
+    """Changes of the newest event of each key (its other columns as JSON): set when a newer one comes, expire when the
+    watermark has passed its time by so long. The state is one event a key, and goes with it."""
+    rest = [c for c in events.columns if c not in ("key", ts_col)]
+    e = events.withWatermark(ts_col, late).select("key", F.col(ts_col).alias("at"), F.to_json(F.struct(*rest)).alias("payload"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        change = lambda us, payload, action: pd.DataFrame({"key": [key[0]], "at": [pd.Timestamp(us, unit="us")], "payload": [payload], "action": [action]})
+        if state.hasTimedOut:
+            us, payload = state.get
+            state.remove()
+            yield change(us, payload, "expire")
+            return
+        newest = max((int(t.value // 1000), p) for f in frames for t, p in zip(f["at"], f["payload"], strict=True))
+        if not state.exists or tuple(state.get) < newest:
+            state.update(newest)
+            yield change(*newest, "set")
+        state.setTimeoutTimestamp(max(state.get[0] // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return e.groupBy("key").applyInPandasWithState(step, CHANGES, "us long, payload string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def bucket_last(events: DataFrame, ts_col: str = "snapshot_time", bucket: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Newest event of each key and tumbling bucket, stamped with the bucket's start (output mode append)."""
     rest = [c for c in events.columns if c != "key"]

@@ -1,5 +1,7 @@
 """Streams over files give what the same operator gives on all rows at once."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from marketlens.operators import derive
@@ -70,3 +72,15 @@ def test_lag(spark):
     df = df.select("exchange", F.col("e").cast("timestamp").alias("e"), F.col("r").cast("timestamp").alias("r"))
     got = {r["exchange"]: (r["lag_seconds"], r["is_stale"]) for r in streams.stream_lag(df, "e", "r", "2024-01-01 00:00:36").collect()}
     assert got == {"a": (5.0, True), "b": (0.0, False)}
+
+
+def test_expiring_latest_drops_its_state(spark, tmp_path):
+    at = lambda minutes: dt.datetime(2024, 3, 1, 12, 0) + dt.timedelta(minutes=minutes)
+    path = str(tmp_path / "files")
+    schema = "key string, snapshot_time timestamp, price double"
+    for k, rows in enumerate([[("a", at(0), 1.0), ("a", at(1), 2.0), ("b", at(0), 5.0)], [("b", at(120), 6.0)], [("b", at(121), 7.0)], [("c", at(122), 8.0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/{k}")
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    got = [(r["key"], r["action"], r["payload"]) for r in _run(streams.expiring_latest(live), tmp_path, "append", "expiring").collect()]
+    assert ("a", "set", '{"price":2.0}') in got and ("a", "expire", '{"price":2.0}') in got
+    assert [p for k, a, p in got if k == "b" and a == "set"][-1] == '{"price":7.0}' and ("c", "set", '{"price":8.0}') in got
