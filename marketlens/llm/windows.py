@@ -31,6 +31,8 @@ from marketlens.llm.tables import freed, in_filter, key_filter, maybe_in, modest
 
 #: Different phrases of a trigger (pieces of a core) above which they are split; it changes no result.
 CROWDED = 2000
+#: Unit of the number of windows in a phrase's shape; places lie below it.
+SHAPE = 1 << 16
 #: Symbols of the dictionary that a resolver gets at a time (whole triggers).
 RESOLVED = {"u1": 1 << 19, "u8": 1 << 15}
 
@@ -77,20 +79,21 @@ def phrases(symbols: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tup
 
 
 def _rows(docs: DataFrame, symbols: Symbols, length: int, k: int) -> DataFrame:
-    schema = pa.schema([("rid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("trigger", pa.int64()), ("phrase", pa.int64()), ("place", pa.int32())])
+    """rid, lo, shape (windows less one times SHAPE, plus the trigger's place), trigger and phrase of every phrase."""
+    schema = pa.schema([("rid", pa.int64()), ("lo", pa.int32()), ("shape", pa.int32()), ("trigger", pa.int64()), ("phrase", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, after, data, offsets in tx.blocks(b.column(1)):
                 of, lo, hi, trigger, phrase, place = phrases(*symbols(data, offsets), length, k)
-                yield record_batch(schema, b.column(0).slice(first, after - first).take(pa.array(of)), lo.astype(np.int32), hi.astype(np.int32), tx.as_long(trigger), tx.as_long(phrase), place.astype(np.int32))
+                yield record_batch(schema, b.column(0).slice(first, after - first).take(pa.array(of)), lo.astype(np.int32), ((hi - lo) * SHAPE + place).astype(np.int32), tx.as_long(trigger), tx.as_long(phrase))
 
-    return docs.select("rid", "text").mapInArrow(tidy(run), "rid long, lo int, hi int, trigger long, phrase long, place int")
+    return docs.select("rid", "text").mapInArrow(tidy(run), "rid long, lo int, shape int, trigger long, phrase long")
 
 
 def _dictionary(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: int) -> DataFrame:
-    """trigger, phrase, n, place and the symbols of the wanted phrases (rid, lo, hi, trigger, phrase, n, place), written."""
-    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "trigger", "phrase", "n", "place")).alias("p"))  # at most a document's phrases
+    """trigger, phrase, n, place and the symbols of the wanted phrases (rid, lo, shape, trigger, phrase, n), written."""
+    places = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "shape", "trigger", "phrase", "n")).alias("p"))  # at most a document's phrases
     schema = pa.schema([("trigger", pa.int64()), ("phrase", pa.int64()), ("n", pa.int64()), ("place", pa.int32()), ("symbols", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +105,10 @@ def _dictionary(docs: DataFrame, wanted: DataFrame, symbols: Symbols, length: in
                 values, bounds = symbols(data, offsets)
                 raw, width = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize
                 lo = flat.field("lo").to_numpy() + bounds[of]
-                hi = flat.field("hi").to_numpy() + bounds[of] + length
+                shape = flat.field("shape").to_numpy()
+                hi = lo + shape // SHAPE + length
                 cut = [bytes(raw[a:z]) for a, z in zip((lo * width).tolist(), (hi * width).tolist(), strict=True)]
-                yield record_batch(schema, flat.field("trigger"), flat.field("phrase"), flat.field("n"), flat.field("place"), pa.array(cut, pa.binary()))
+                yield record_batch(schema, flat.field("trigger"), flat.field("phrase"), flat.field("n"), shape % SHAPE, pa.array(cut, pa.binary()))
 
     with freed(key_filter(wanted, "rid")) as near:
         joined = maybe_in(docs.select("rid", "text"), "rid", near).dropDuplicates(["rid"]).join(places.hint("shuffle_hash"), "rid").select("text", "p")
@@ -223,13 +227,13 @@ def _settled(dictionary: DataFrame, resolver: Resolver, length: int, dtype: str,
 def repeated(docs: DataFrame, symbols: Symbols, resolver: Resolver, length: int, k: int, dtype: str) -> DataFrame:
     """rid and spans (array of first and last start) of the windows of ``length`` symbols that start twice or more.
 
-    docs has rid (a hash of the row's identity) and text; rows with the same rid must be equal.
+    docs has rid (a hash of the row's identity) and text; rows with the same rid must be equal. length is below 32,768.
     """
     found = written(_rows(docs, symbols, length, k), "phrases")
-    counted = found.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "hi", "place")).alias("p"))
+    counted = found.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "lo", "shape")).alias("p"))
     counted = written(counted.select("trigger", "phrase", "n", "p.*"), "counted")
     kinds = counted.groupBy("trigger").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    dictionary = _dictionary(docs, counted.join(kinds, "trigger").select("rid", "lo", "hi", "trigger", "phrase", "n", "place"), symbols, length)
+    dictionary = _dictionary(docs, counted.join(kinds, "trigger").select("rid", "lo", "shape", "trigger", "phrase", "n"), symbols, length)
     dictionary = dictionary.join(kinds, "trigger").withColumns({"a": F.lit(0), "b": F.lit(length - k + 1)})
     parts = _settled(dictionary, resolver, length, dtype, CROWDED)
     # a phrase that comes twice repeats whole; the parts of the others are what the resolver found
@@ -237,7 +241,7 @@ def repeated(docs: DataFrame, symbols: Symbols, resolver: Resolver, length: int,
     whole = counted.where("n > 1").select("trigger", "phrase", F.lit(None).cast("array<struct<from:int,to:int>>").alias("parts"))
     some = parts.join(counted.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_anti")
     hits = found.join(whole.unionByName(some), ["trigger", "phrase"])
-    spans = F.when(F.col("parts").isNull(), F.array(F.struct(F.col("lo").alias("from"), F.col("hi").alias("to")))).otherwise(F.transform("parts", lambda x: F.struct((F.col("lo") + x["from"]).alias("from"), (F.col("lo") + x["to"]).alias("to"))))
+    spans = F.when(F.col("parts").isNull(), F.array(F.struct(F.col("lo").alias("from"), (F.col("lo") + F.shiftright("shape", 16)).alias("to")))).otherwise(F.transform("parts", lambda x: F.struct((F.col("lo") + x["from"]).alias("from"), (F.col("lo") + x["to"]).alias("to"))))
     return hits.select("rid", spans.alias("s")).groupBy("rid").agg(F.flatten(F.collect_list("s")).alias("spans"))  # at most a document's windows
 
 
