@@ -70,6 +70,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(counts: DataFrame, n: str, key: str, most: int) -> DataFrame:
+    """At most so many rows of counts, the largest by n; of those that tie for the last places, the slices of hashed keys
+    that fit. Only the numbers of rows of each n, and of each slice, come to the driver, so no task holds all candidates."""
+    room = most
+    for value, rows in sorted(((r[0], r[1]) for r in counts.groupBy(n).agg(F.count(F.lit(1))).collect()), reverse=True):
+        if rows > room:
+            break
+        room -= rows
+    else:
+        return counts
+    piece = F.pmod(F.xxhash64(key), F.lit(4 * SLICES))
+    ties = counts.where(F.col(n) == value)
+    end = 0
+    for k, rows in sorted((r[0], r[1]) for r in ties.groupBy(piece).agg(F.count(F.lit(1))).collect()):
+        if rows > room:
+            break
+        room, end = room - rows, k + 1
+    return counts.where((F.col(n) > value) | ((F.col(n) == value) & (piece < end)))
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
