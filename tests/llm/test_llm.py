@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marketlens.llm import attention_lm, graphs, jaccard_join, language_id, line_templates, mixing, packing, quality_rules, queries, substring_dedup, subwords, suffix_dedup, vector_search, windows
+from marketlens.llm import attention_lm, graphs, jaccard_join, language_id, line_templates, mixing, packing, quality_rules, queries, substring_dedup, subwords, suffix_dedup, tables, vector_search, windows
 from marketlens.llm import text as tx
 
 from . import brute
@@ -485,6 +485,17 @@ def test_attention_lm_learns_and_sums_to_one():
     assert whole.mean() > 61 * np.log10(1 / 51) * 0.75  # better than knowing the 51 ids alone
 
 
+@pytest.mark.parametrize("most", [0, 1, 7, 40, 100, 10_000])
+def test_most_frequent(spark, most):
+    rng = random.Random(most)
+    rows = [(k, rng.choice([1, 1, 1, 2, 2, 3, 9])) for k in range(300)]
+    got = tables.most_frequent(spark.createDataFrame(rows, "key long, n long"), "n", "key", most).collect()
+    ranked = sorted((n for _, n in rows), reverse=True)
+    last = ranked[min(most, len(rows)) - 1] if most else 99
+    assert len(got) <= most and {r.key for r in got} >= {k for k, n in rows if n > last and sum(m >= n for _, m in rows) <= most}
+    assert most < len(rows) or len(got) == len(rows)
+
+
 def _reference_scores(model, ids):
     """log10 of the attention model's probability of each id and the end, one position at a time."""
     p = {k: v.astype(float) for k, v in model.p.items()}
