@@ -110,16 +110,22 @@ def blocks(col: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, n
         lo = hi
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Flags of ASCII white space."""
+    return _SPACE[data]
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z to a-z, other bytes unchanged."""
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, per document, the index of its first word (n + 1 values)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or of other bytes than those flagged in ``between``) and, per
+    document, the index of its first word (n + 1 values)."""
     if not data.size:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     full = offsets[1:] > offsets[:-1]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
