@@ -1,13 +1,17 @@
 """Line dedup with a log-template tree.
 
 A line goes down a tree of fixed depth: by its number of words, then by its leading words; words with a digit are
-variable and count as one wildcard. In a leaf, a word that few lines have at its place is a variable field and becomes a
-wildcard, too; a line whose other words make up most of it belongs to the template of these words, and any other line is
-a template of its own. Templates found in many documents are boilerplate: all their lines go but the first one (by
-doc_id and line), so that one document keeps it.
-
-Words are counted by leaf and place, lines by template, all by partial aggregates over all tasks: neither a leaf with
-very many lines nor a line found in a third of all documents is one task's burden, and no result depends on an order.
+variable and count as one wildcard. In a leaf, each word has so many lines that have it at its place. A line's middle word
+(by that number, after the leading words) tells how many lines its template has; a word of much fewer lines is a
+variable field and becomes a wildcard, too. A line whose other words make up most of it belongs to the template of these
+words, and any other line is a template of its own. The rule compares a line's words with one another, so it holds for
+frequent values of a field as for rare ones, at any size of the corpus, and where a leaf holds several templates.
+Templates found in many documents are boilerplate: all their lines go but the first one (by doc_id and line), so that
+one document keeps it.
+
+Words are counted by leaf and place, lines by template, all by partial aggregates over all tasks, and lines meet their
+templates in salted joins: neither a leaf with very many lines nor a line found in a third of all documents is one
+task's burden, and no result depends on an order.
 
 Defined cases: a null text stays null and has no lines; lines without a word are never counted nor dropped; repeated
 rows (equal doc_id and text) count as one document; a null doc_id counts and comes first; a very long text is a block of
@@ -32,8 +36,12 @@ from marketlens.llm.tables import freed, in_filter, key_filter, maybe_in, modest
 DEPTH = 3
 #: Share of a line's places that must not be variable for it to belong to a template.
 ALIKE = 0.8
-#: Documents from which on a template is boilerplate; a word that fewer lines have at its place is a variable field.
+#: A word is a variable field when its lines are less than this share of those of the line's middle word.
+VARIABLE = 0.5
+#: Documents from which on a template is boilerplate. A word of fewer lines can't be a fixed word of one.
 MIN_DOCUMENTS = 10
+#: Parts of a template's or a line's rows that meet it in different tasks.
+SALTS = 16
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -113,11 +121,24 @@ def _places(words: DataFrame) -> DataFrame:
 def _templates(words: DataFrame, min_documents: int, alike: float = ALIKE) -> DataFrame:
     """full, template of the lines that belong to a template with a variable field, from rows of leaf, full, n and words."""
     places = _places(words)
-    fixed = written(places.groupBy("leaf", "place", "word").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_documents).select("leaf", "place", "word"), "fixed-words")
-    # a line's fixed words, as a sum of their hashes; the words with a digit are wildcards and fixed as such
-    held = places.join(fixed, ["leaf", "place", "word"]).groupBy("leaf", "full", "size").agg(F.count(F.lit(1)).alias("fixed"), F.sum(F.xxhash64("place", "word").cast("decimal(38,0)")).alias("sum"))
-    held = held.where((F.col("fixed") < F.col("size")) & (F.col("fixed") >= alike * F.col("size")))
-    return held.select("full", F.xxhash64("leaf", "fixed", "sum").alias("template"))
+    common = written(places.groupBy("leaf", "place", "word").agg(F.sum("n").alias("lines")).where(F.col("lines") >= min_documents), "common-words")
+    # a line's common words, at most its length; words with a digit are wildcards and common as such
+    held = places.join(common, ["leaf", "place", "word"]).groupBy("leaf", "full", "size").agg(F.collect_list(F.struct("place", "word", "lines")).alias("words"))
+    held = held.where(F.size("words") >= alike * F.col("size"))
+    after = F.array_sort(F.transform(F.filter("words", lambda w: w["place"] >= DEPTH), lambda w: w["lines"]))
+    # the middle of all places after the leading ones; those that are not common count as 0
+    rest = F.col("size") - DEPTH
+    middle = F.floor(rest / 2) - (rest - F.size("after"))
+    held = held.withColumn("after", after).withColumn("middle", F.when(middle >= 0, F.try_element_at("after", (middle + 1).cast("int"))).otherwise(0))
+    fixed = F.filter("words", lambda w: (w["place"] < DEPTH) | (w["lines"] >= VARIABLE * F.col("middle")))
+    held = held.withColumn("fixed", fixed).where((F.size("fixed") < F.col("size")) & (F.size("fixed") >= alike * F.col("size")))
+    return held.select("full", F.xxhash64("leaf", F.array_sort(F.transform("fixed", lambda w: F.struct(w["place"].alias("place"), w["word"].alias("word"))))).alias("template"))
+
+
+def _salted(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with the table's one row of their key, a key's rows in ``SALTS`` parts."""
+    parted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("rid", "line"), F.lit(SALTS)).cast("int")).join(parted, [key, "_salt"], how).drop("_salt")
 
 
 def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -130,11 +151,16 @@ def boilerplate(rows: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFram
     with freed(key_filter(tree, "full")) as wanted:
         words = written(_line_words(rows, wanted).groupBy("full").agg(F.first("words").alias("words")).join(tree, "full").select("leaf", "full", "n", "words"), "tree-words")
     joined = written(_templates(words, min_documents), "templates")
-    found = lines.join(joined, "full", "left").select("rid", "doc_id", "line", F.coalesce("template", "full").alias("template"))
-    found = written(found, "line-templates")
+    with freed(key_filter(joined, "full")) as generalised:
+        own = maybe_in(lines, "full", generalised, keep=False).withColumn("template", F.col("full"))
+        met = _salted(maybe_in(lines, "full", generalised), joined, "full", "left").withColumn("template", F.coalesce("template", "full"))
+        names = ["rid", "doc_id", "line", "template"]
+        found = written(own.select(*names).unionByName(met.select(*names)), "line-templates")
     common = found.groupBy("template", "rid").agg(F.min(F.struct("doc_id", "rid", "line")).alias("first")).groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first")).where(F.col("documents") >= min_documents)
-    hit = found.join(common.select("template", F.col("first.rid").alias("r"), F.col("first.line").alias("l")), "template")
-    return hit.where("not (rid = r and line = l)").select("rid", "line").distinct()
+    common = written(common.select("template", F.col("first.rid").alias("r"), F.col("first.line").alias("l")), "common-templates")
+    with freed(key_filter(common, "template")) as repeated:
+        hit = _salted(maybe_in(found, "template", repeated), common, "template")
+        return written(hit.where("not (rid = r and line = l)").select("rid", "line").distinct(), "boilerplate")
 
 
 def drop_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -144,7 +170,7 @@ def drop_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame
     plain = docs.toDF(*[f"_c{k}" for k in range(len(names))])
     text, doc_id = F.col(f"_c{at}").cast("string"), F.col(f"_c{names.index('doc_id')}").cast("long")
     plain = plain.withColumn("rid", F.xxhash64(doc_id, text))
-    gone = written(boilerplate(plain.select("rid", doc_id.alias("doc_id"), text.alias("text")), min_documents), "boilerplate")
+    gone = boilerplate(plain.select("rid", doc_id.alias("doc_id"), text.alias("text")), min_documents)
     flags = key_filter(gone, "rid")
     lists = gone.groupBy("rid").agg(F.collect_list("line").alias("_gone"))  # at most a document's lines
     met = maybe_in(plain, "rid", flags).join(lists.hint("shuffle_hash"), "rid", "left").select(*plain.columns, "_gone")

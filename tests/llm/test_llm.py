@@ -233,15 +233,23 @@ def test_line_templates(spark):
 
 
 def _plain_templates(docs, min_documents):
-    """(row, line) of the lines to drop, by the tree's definition; rows that are equal count once."""
+    """(row, line) of the lines to drop, by a plain tree: leaves as lists of lines, each line compared with the others."""
     rows = {d: [x for x in enumerate((d[1] or "").split("\n")) if brute.words(x[1])] for d in docs}
-    mask = lambda t: tuple("*" if any(c in "0123456789" for c in w) else w for w in brute.words(t))
-    lines = [(d, n, mask(t)) for d, own in rows.items() for n, t in own]
-    support = collections.Counter((len(m), m[:3], p, w) for _, _, m in lines for p, w in enumerate(m))
+    leaves = collections.defaultdict(list)
+    for d, own in rows.items():
+        for n, t in own:
+            m = tuple("*" if any(c in "0123456789" for c in w) else w for w in brute.words(t))
+            leaves[len(m), m[:3]].append((d, n, m))
     found = collections.defaultdict(list)
-    for d, n, m in lines:
-        fixed = tuple((p, w) for p, w in enumerate(m) if support[len(m), m[:3], p, w] >= min_documents)
-        found[(m[:3], len(m), fixed) if 0.8 * len(m) <= len(fixed) < len(m) else m].append((d, n))
+    for leaf, own in leaves.items():
+        for d, n, m in own:
+            alike = [sum(x[2][p] == w for x in own) for p, w in enumerate(m)]
+            alike = [a if a >= min_documents else 0 for a in alike]
+            rest = sorted(alike[3:])
+            middle = rest[len(rest) // 2] if rest else 0
+            kept = tuple(w if a and (p < 3 or 2 * a >= middle) else None for p, (w, a) in enumerate(zip(m, alike, strict=True)))
+            wild = kept.count(None)
+            found[(leaf, kept) if wild and 10 * (len(m) - wild) >= 8 * len(m) else (leaf, m, "own")].append((d, n))
     gone = set()
     for own in found.values():
         if len({d for d, _ in own}) >= min_documents:
@@ -250,6 +258,28 @@ def _plain_templates(docs, min_documents):
     return gone
 
 
+@pytest.mark.parametrize("v", [3, 5, 9, 10, 12, 30])
+def test_line_templates_do_not_hang_on_size(spark, v):
+    """Two fields of v values each, every pair once: one template, however often a value comes."""
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:02d}")
+    docs = [(v * a + b, f"{word(a)} {word(b)} alone\nthis notice was posted by {word(a)} in the section {word(b)} of our public site") for a in range(v) for b in range(v)]
+    docs += [(10_000 + k, f"this notice was quite another line with {word(k)} as its one and last word") for k in range(15)]
+    out = line_templates.drop_lines(_frame(spark, docs), 9).collect()
+    posted = [r.doc_id for r in out if "posted by" in r.text]
+    assert posted == [0] and sum("another line" in r.text for r in out) == 1
+    assert all("alone" in r.text for r in out if r.doc_id < 10_000)
+
+
+def test_templates_of_one_leaf_are_told_apart(spark):
+    """A rare template with a field beside a frequent one with other words, in one leaf."""
+    word = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:03d}")
+    docs = [(i, f"we are now selling item {word(i % 40)} at the best price you will find") for i in range(400)]
+    docs += [(1000 + i, f"we are now closing shop number {word(i)} because of low demand since spring") for i in range(20)]
+    docs += [(2000 + i, " ".join(["we are now", *(word(100 + 10 * i + k) for k in range(10))])) for i in range(30)]
+    left = [r.doc_id for r in line_templates.drop_lines(_frame(spark, docs)).where("text <> ''").collect()]
+    assert sorted(left) == [0, 1000, *range(2000, 2030)]
+
+
 @pytest.mark.parametrize("min_documents", [2, 4])
 def test_line_templates_against_a_plain_tree(spark, min_documents):
     rng = random.Random(min_documents)
