@@ -68,17 +68,6 @@ def rollup_probe(klines: DataFrame, source: str, cutoff) -> DataFrame:
     return k.agg(F.coalesce(F.min("open_time"), F.lit(cutoff).cast("timestamp")).alias("window_start"), F.count(F.lit(1)).alias("row_count"))
 
 
-#: Lowest and highest prices that a window keeps, of which the levels are chosen.
-_NEAREST = 16
-
-
-def _levels(column: str, highest: bool, limit: int = 3):
-    """The first different values in order, skipping those within 1e-9 of the one before."""
-    values = F.sort_array(F.col(column), asc=not highest)
-    kept = F.aggregate(values, F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.abs(F.element_at(acc, -1) - x) < 1e-9), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.slice(kept, 1, limit)
-
-
 def market_structure(candles: DataFrame, grid: DataFrame, windows: Mapping[str, int] = WINDOWS) -> DataFrame:
     """Trend, state, swing levels, position and support and resistance over the candles in ``[as_of - w, as_of]``."""
     close, priced = F.col("close"), F.col("close").isNotNull()
@@ -88,8 +77,8 @@ def market_structure(candles: DataFrame, grid: DataFrame, windows: Mapping[str,
         "last_close": trailing.last(close, priced),
         "high": trailing.highest(F.col("high")),
         "low": trailing.lowest(F.col("low")),
-        "lows": trailing.extremes(F.col("low"), _NEAREST, largest=False),
-        "highs": trailing.extremes(F.col("high"), _NEAREST, largest=True),
+        "lows": trailing.levels(F.col("low"), largest=False),
+        "highs": trailing.levels(F.col("high"), largest=True),
     }
     s = window_stats(candles.select("symbol_id", "open_time", "high", "low", "close"), grid, "open_time", windows, stats, closed=True)
     enough = F.col("candles") >= 2
@@ -103,7 +92,7 @@ def market_structure(candles: DataFrame, grid: DataFrame, windows: Mapping[str,
         "symbol_id", "as_of", F.col("window").alias("period"), "candles", trend.alias("trend_direction"), state.alias("structure_state"),
         F.when(enough, F.col("high")).alias("last_swing_high"), F.when(enough, F.col("low")).alias("last_swing_low"),
         F.when(enough & (F.col("high") > F.col("low")), (F.col("last_close") - F.col("low")) / (F.col("high") - F.col("low")) * 100).alias("price_position"),
-        F.when(enough, _levels("lows", False)).otherwise(none).alias("support_levels"), F.when(enough, _levels("highs", True)).otherwise(none).alias("resistance_levels"),
+        F.when(enough, F.col("lows")).otherwise(none).alias("support_levels"), F.when(enough, F.col("highs")).otherwise(none).alias("resistance_levels"),
         "price_change_percent", "range_percent", F.when(~enough, "insufficient_candles").alias("reason"),
     )
 

@@ -63,10 +63,34 @@ def last(x: Column, where: Column) -> Stat:
     return Stat({"v": F.max_by(x, at), "t": F.max(at)}, {"v": lambda c: F.max_by(c("v"), c("t")), "t": lambda c: F.max(c("t"))}, lambda c: c("v"))
 
 
-def extremes(x: Column, most: int, largest: bool) -> Stat:
-    """The ``most`` largest (or smallest) different values in order: an array of a bounded length at every step."""
-    cut = lambda values: F.slice(F.sort_array(values, asc=not largest), 1, most)
-    return Stat({"v": cut(F.collect_set(x))}, {"v": lambda c: cut(F.array_distinct(F.flatten(F.collect_list(c("v")))))}, lambda c: F.coalesce(c("v"), F.array().cast("array<double>")))
+def _apart(values: Column, gap: float, largest: bool) -> Column:
+    """Of sorted values, the first and all up to the third one that lies a gap from the second, which lies a gap from it."""
+    off = lambda a, b: (a - b if largest else b - a) >= gap
+    after = lambda rows, last: F.filter(rows, lambda v: off(last, v))
+    second = lambda rows: after(rows, F.try_element_at(rows, F.lit(1)))
+    # a sorted array and what follows its first value stand in one-row arrays, so that each is worked out once
+    known = F.transform(F.array(values), lambda rows: F.struct(rows.alias("rows"), F.size(second(second(rows))).alias("left")))
+    return F.transform(known, lambda k: F.slice(k["rows"], 1, F.size(k["rows"]) - F.greatest(k["left"] - 1, F.lit(0))))[0]
+
+
+def levels(x: Column, largest: bool, gap: float = 1e-9) -> Stat:
+    """The lowest value, the lowest that lies at least ``gap`` above it, and the lowest that lies so above that one (or the
+    same from the largest down): an array of at most three.
+
+    What is kept of a bucket is enough for any window, however many values lie within a gap: all values below a gap over
+    the second level, and the third. A window's first level is not above a bucket's own, so its second is not above the
+    bucket's second, and neither is its third. Mostly these are three values; never more than lie in two gaps, and one.
+    """
+    kept = lambda values: _apart(F.sort_array(values, asc=not largest), gap, largest)
+
+    def value(c):
+        off = lambda a, b: (a - b if largest else b - a) >= gap
+        rows = F.coalesce(c("v"), F.array().cast("array<double>"))
+        second = F.filter(rows, lambda v: off(F.try_element_at(rows, F.lit(1)), v))
+        third = F.filter(second, lambda v: off(F.try_element_at(second, F.lit(1)), v))
+        return F.array_compact(F.array(*[F.try_element_at(a, F.lit(1)) for a in (rows, second, third)]))
+
+    return Stat({"v": kept(F.collect_set(x))}, {"v": lambda c: kept(F.array_distinct(F.flatten(F.collect_list(c("v")))))}, value)
 
 
 def moments(x: Column) -> Stat:

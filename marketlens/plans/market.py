@@ -124,6 +124,17 @@ def support_resistance(spark: SparkSession, sf: str) -> DataFrame:
     return _naive(out.select("symbol_id", "as_of", "period", *[level(s, k) for s in ("support", "resistance") for k in range(3)]))
 
 
+def near_equal_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of coarse prices that lie within fractions of a billionth of one another."""
+    t = market.ticks(spark, sf)
+    c = candles.venue_candles(market.klines(spark, sf), scale=6)
+    tiny = (F.unix_seconds("open_time") / 300).cast("long") % 60 * F.lit(3e-11)
+    c = c.withColumns({"low": F.floor(F.col("low") / 100) + 1 + tiny, "high": F.floor(F.col("high") / 100) + 1 + tiny})
+    out = candles.market_structure(c, market.grid(t, "6 hours"), WINDOWS)
+    level = lambda side, k: F.get(f"{side}_levels", k).alias(f"{side}_{k + 1}")
+    return _naive(out.select("symbol_id", "as_of", "period", *[level(s, k) for s in ("support", "resistance") for k in range(3)]))
+
+
 def volatility(spark: SparkSession, sf: str) -> DataFrame:
     t = market.ticks(spark, sf)
     out = candles.volatility(candles.venue_candles(market.klines(spark, sf), scale=6), market.grid(t, "6 hours"), WINDOWS, 6)
@@ -398,7 +409,7 @@ def fresh_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     venue_asof_latest, latest_ticks, aggregate_snapshot, raw_by_exchange, enrichment, point_aggregate, market_point_change, window_metrics, anomaly_flags,
-    exchange_divergence, venue_candles, kline_rollup, weekly_bars, rollup_probe, market_structure, support_resistance, volatility, taker_fill, basis_fill,
+    exchange_divergence, venue_candles, kline_rollup, weekly_bars, rollup_probe, market_structure, support_resistance, near_equal_levels, volatility, taker_fill, basis_fill,
     cumulative_delta, liquidation_buckets, liquidation_totals, large_liquidations, derived_open_interest, derived_funding, quarantine_valid, quarantine_issues,
     kline_gaps, stale_latest, coverage_gaps, backfill_slots, overview_page, top_symbols, symbol_resolve, watchlist_symbols, symbol_markets, series_page, kline_page,
     expire_rows, eligible_count, rollup_expire, expired_partitions, health_summary, request_metrics, request_errors, status_counts, open_counts, upsert_klines,

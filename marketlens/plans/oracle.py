@@ -169,6 +169,17 @@ SQL["support_resistance"] = (
     + """SELECT symbol_id, as_of, period, CASE WHEN enough THEN lows[1] END AS support_1, CASE WHEN enough THEN lows[2] END AS support_2, CASE WHEN enough THEN lows[3] END AS support_3,
   CASE WHEN enough THEN highs[1] END AS resistance_1, CASE WHEN enough THEN highs[2] END AS resistance_2, CASE WHEN enough THEN highs[3] END AS resistance_3 FROM m"""
 )
+# levels that lie 1e-9 from one another, of coarse prices with tiny differences
+_OFF = "list_filter({0}, lambda x: abs(x - {0}[1]) >= 1e-9)"
+SQL["near_equal_levels"] = (
+    _with(_TICKS, _GRID6, _KLINES, _CANDLES, _WINDOWS)
+    + f""", c AS (SELECT symbol_id, open_time, close, floor(low / 100) + 1 + tiny AS low, floor(high / 100) + 1 + tiny AS high FROM (SELECT *, epoch_us(open_time) // 300000000 % 60 * 3e-11::DOUBLE AS tiny FROM candles)),
+x AS (SELECT g.symbol_id, g.as_of, w."window" AS period, count(c.close) >= 2 AS enough, list_sort(list(c.low)) AS l1, list_reverse_sort(list(c.high)) AS h1
+  FROM grid g CROSS JOIN windows w LEFT JOIN c ON c.symbol_id = g.symbol_id AND c.open_time >= g.as_of - w.w AND c.open_time <= g.as_of GROUP BY ALL),
+y AS (SELECT *, {_OFF.format("l1")} AS l2, {_OFF.format("h1")} AS h2 FROM x)
+SELECT symbol_id, as_of, period, CASE WHEN enough THEN l1[1] END AS support_1, CASE WHEN enough THEN l2[1] END AS support_2, CASE WHEN enough THEN {_OFF.format("l2")}[1] END AS support_3,
+  CASE WHEN enough THEN h1[1] END AS resistance_1, CASE WHEN enough THEN h2[1] END AS resistance_2, CASE WHEN enough THEN {_OFF.format("h2")}[1] END AS resistance_3 FROM y"""
+)
 SQL["volatility"] = (
     _with(_TICKS, _GRID6, _KLINES, _CANDLES, _WINDOWS)
     + f""", x AS (SELECT g.symbol_id, g.as_of, w."window" AS period, c.*  EXCLUDE (symbol_id), lag(c.close) OVER (PARTITION BY g.symbol_id, g.as_of, w."window" ORDER BY c.open_time) AS p

@@ -45,19 +45,14 @@ def normalize_liquidations(spark: SparkSession, sf: str) -> DataFrame:
 # ---- quarantine ----
 
 
-def _issues(record: str, name: str | None = None, requested_period: str | None = None) -> Query:
+def _issues(record: str, name: str | None = None, requested_period: str | None = None, requested_symbol: bool = False) -> Query:
     """Rows of each (symbol, venue, type, error) that the rules of a record type reject."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         rows = market.records(spark, sf)
-        if record != "divergence":
-            rows = rows.drop("data_type")
-        if record not in ("funding", "funding_history"):
-            rows = rows.drop("funding_rate")
-        if record == "divergence":
-            rows = rows.withColumnRenamed("kind", "data_type")
-        if record == "open_interest":
-            rows = rows.drop("period", "interval")
+        if not requested_symbol:
+            rows = rows.drop("requested_symbol")
+        rows = rows.withColumnRenamed("kind", "data_type") if record == "divergence" else rows.drop("kind")
         _, issues = validate.quarantine(rows, record, NOW, ValidationOptions(), requested_period)
         return issues.groupBy("symbol_id", "exchange", "data_type", "issue_type", "error").agg(F.count(F.lit(1)).alias("issues"))
 
@@ -66,8 +61,8 @@ def _issues(record: str, name: str | None = None, requested_period: str | None =
 
 
 QUARANTINES = (
-    _issues("kline"), _issues("open_interest"), _issues("open_interest_history"), _issues("funding"), _issues("funding_history"), _issues("long_short_ratio"), _issues("taker_flow"), _issues("cvd"),
-    _issues("liquidation_event"), _issues("liquidation_aggregate"), _issues("basis"), _issues("orderbook"), _issues("divergence"), _issues("kline", "quarantine_interval", "1m"),
+    *[_issues(record) for record in validate.RECORDS], _issues("kline", "quarantine_interval", "1m"), *[_issues(record, f"quarantine_asked_{record}", "\t5m ") for record in validate.ASKED_PERIOD],
+    _issues("basis", "quarantine_asked_period_of_none", "1m"), _issues("funding", "quarantine_asked_symbol", requested_symbol=True),
 )
 
 

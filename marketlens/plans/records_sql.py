@@ -23,14 +23,20 @@ SELECT symbol_id, x AS exchange, 'S' AS source_symbol, 'S-' || s || '-' || CASE
 
 # ---- quarantine: the first rule that a row fails ----
 
-_ROWS = """r AS (SELECT symbol_id, CASE WHEN k = 3 THEN ' ' ELSE exchange END AS exchange, k, CASE WHEN k = 17 THEN -0.25 ELSE (k - 50) / 10000.0 END AS rate FROM e)"""
+# one k in ten has one negative measure, by event
+_MEASURES = """['last_price', 'mark_price', 'index_price', 'bid_price', 'ask_price', 'volume_24h', 'quote_volume_24h', 'open_interest', 'open_interest_value', 'open_price', 'high_price', 'low_price', 'close_price', 'volume', 'quote_volume',
+  'taker_buy_volume', 'taker_sell_volume', 'taker_buy_quote_volume', 'taker_sell_quote_volume', 'price', 'quantity', 'notional', 'usd_value', 'futures_price', 'spot_price', 'mid_price', 'spread_bps', 'bid_notional', 'ask_notional',
+  'bid_depth_usd', 'ask_depth_usd', 'bid_depth_1pct_usd', 'ask_depth_1pct_usd', 'bid_depth_2pct_usd', 'ask_depth_2pct_usd', 'bid_depth_5pct_usd', 'ask_depth_5pct_usd', 'long_liquidation_usd', 'long_liquidation_notional',
+  'short_liquidation_usd', 'short_liquidation_notional', 'total_liquidation_usd', 'total_liquidation_notional', 'largest_liquidation_usd']"""
+_ROWS = f"""m AS (SELECT {_MEASURES} AS names), r AS (SELECT symbol_id, CASE WHEN k = 3 THEN ' ' ELSE exchange END AS exchange, k, CASE WHEN k % 10 = 9 THEN names[event_id % len(names) + 1] END AS wrong FROM e, m)"""
 
 
-def _judged(record: str, time: str, *cases: str) -> str:
-    """cases: what is tried after source and time, in order."""
+def _judged(record: str, time: str, *cases: str, source: str = "") -> str:
+    """cases: what is tried after source and time, in order; source: after source, before time."""
     first = [
         "WHEN NOT symbol_id > 0 THEN 'invalid_source|symbol_id must be positive'",
         "WHEN trim(exchange) = '' THEN 'invalid_source|exchange is required'",
+        source,
         f"WHEN k = 6 THEN 'invalid_timestamp|{time} is required'",
         f"WHEN k = 5 THEN 'future_timestamp|{time} lies in the future'",
     ]
@@ -38,29 +44,41 @@ def _judged(record: str, time: str, *cases: str) -> str:
 FROM (SELECT *, CASE {" ".join([*first, *cases])} END AS issue FROM r) WHERE issue IS NOT NULL GROUP BY ALL"""
 
 
-def _negative(column: str) -> str:
-    return f"WHEN k = 9 THEN 'invalid_value|{column} must not be negative'"
+def _negative(*columns: str) -> str:
+    return f"WHEN wrong IN ({', '.join(repr(c) for c in columns)}) THEN 'invalid_value|' || wrong || ' must not be negative'"
 
 
-def _period(column: str) -> tuple[str, str]:
-    return f"WHEN k = 12 THEN 'invalid_period|{column} is required'", f"WHEN k = 11 THEN 'invalid_period|malformed period in {column}'"
+def _mismatch(column: str) -> str:
+    return f"WHEN k IN (11, 12) THEN 'interval_mismatch|{column} is not the requested one'"
 
 
+_BAD = "WHEN k = 11 THEN 'invalid_period|malformed period in {}'"
 _WILD = "WHEN k = 17 THEN 'funding_outlier|funding_rate is implausible'"
-SQL["quarantine_kline"] = _judged("kline", "open_time", *_period("interval"), _negative("open_price"))
-SQL["quarantine_interval"] = _judged("kline", "open_time", "WHEN k <> 12 THEN 'interval_mismatch|interval is not the requested one'", *_period("interval"))
-SQL["quarantine_open_interest"] = _judged("open_interest", "snapshot_time", _negative("open_interest"))
-SQL["quarantine_open_interest_history"] = _judged("open_interest_history", "snapshot_time", *_period("period"), _negative("open_interest"))
-SQL["quarantine_funding"] = _judged("funding", "snapshot_time", _WILD, _negative("mark_price"))
+_KLINE = ("open_price", "high_price", "low_price", "close_price", "volume", "quote_volume", "taker_buy_volume", "taker_buy_quote_volume")
+_TAKER = ("taker_buy_volume", "taker_sell_volume", "taker_buy_quote_volume", "taker_sell_quote_volume")
+_LIQUIDATED = ("long_liquidation_usd", "long_liquidation_notional", "short_liquidation_usd", "short_liquidation_notional", "total_liquidation_usd", "total_liquidation_notional", "largest_liquidation_usd")
+_BASIS = _judged("basis", "snapshot_time", _negative("futures_price", "mark_price", "index_price", "spot_price"))
+SQL["quarantine_market_snapshot"] = _judged("market_snapshot", "snapshot_time", _WILD, _negative("last_price", "mark_price", "index_price", "bid_price", "ask_price", "volume_24h", "quote_volume_24h", "open_interest"))
+SQL["quarantine_kline"] = _judged("kline", "open_time", _BAD.format("interval"), _negative(*_KLINE))
+SQL["quarantine_interval"] = _judged("kline", "open_time", "ELSE 'interval_mismatch|interval is not the requested one'")
+SQL["quarantine_open_interest"] = _judged("open_interest", "snapshot_time", _negative("open_interest", "open_interest_value"))
+SQL["quarantine_open_interest_history"] = _judged("open_interest_history", "snapshot_time", "WHEN k = 12 THEN 'invalid_period|period is required'", _BAD.format("period"), _negative("open_interest", "open_interest_value"))
+SQL["quarantine_funding"] = _judged("funding", "snapshot_time", _WILD, _negative("mark_price", "index_price"))
 SQL["quarantine_funding_history"] = _judged("funding_history", "funding_time", _WILD, _negative("mark_price"))
-SQL["quarantine_long_short_ratio"] = _judged("long_short_ratio", "snapshot_time", *_period("period"))
-SQL["quarantine_taker_flow"] = _judged("taker_flow", "snapshot_time", *_period("period"), _negative("taker_buy_volume"))
-SQL["quarantine_cvd"] = _judged("cvd", "snapshot_time", *_period("period"))
-SQL["quarantine_liquidation_event"] = _judged("liquidation_event", "event_time", "WHEN k = 15 THEN 'invalid_value|side is required'", _negative("price"))
-SQL["quarantine_liquidation_aggregate"] = _judged("liquidation_aggregate", "bucket_time", *_period("period"), _negative("long_liquidation_usd"))
-SQL["quarantine_basis"] = _judged("basis", "snapshot_time", _negative("futures_price"))
-SQL["quarantine_orderbook"] = _judged("orderbook", "snapshot_time", "WHEN k = 9 THEN 'invalid_value|depth_levels must be positive'")
+SQL["quarantine_long_short_ratio"] = _judged("long_short_ratio", "snapshot_time", _BAD.format("period"))
+SQL["quarantine_taker_flow"] = _judged("taker_flow", "snapshot_time", _BAD.format("period"), _negative(*_TAKER))
+SQL["quarantine_cvd"] = _judged("cvd", "snapshot_time", _BAD.format("period"))
+SQL["quarantine_liquidation_event"] = _judged("liquidation_event", "event_time", "WHEN k = 15 THEN 'invalid_value|side is required'", _negative("price", "quantity", "notional", "usd_value"))
+SQL["quarantine_liquidation_aggregate"] = _judged("liquidation_aggregate", "bucket_time", _BAD.format("period"), _negative(*_LIQUIDATED))
+SQL["quarantine_basis"] = SQL["quarantine_asked_period_of_none"] = _BASIS
+SQL["quarantine_orderbook"] = _judged("orderbook", "snapshot_time", "WHEN k = 14 THEN 'invalid_value|depth_levels must be positive'", _negative("mid_price", "bid_notional", "ask_notional", "bid_depth_usd", "ask_depth_usd", *[f"{s}_depth_{p}pct_usd" for s in ("bid", "ask") for p in (1, 2, 5)]))
 SQL["quarantine_divergence"] = _judged("divergence", "snapshot_time", "WHEN k = 15 THEN 'invalid_value|data_type is required'")
+SQL["quarantine_asked_kline"] = _judged("kline", "open_time", _mismatch("interval"), _negative(*_KLINE))
+SQL["quarantine_asked_taker_flow"] = _judged("taker_flow", "snapshot_time", _mismatch("period"), _negative(*_TAKER))
+SQL["quarantine_asked_cvd"] = _judged("cvd", "snapshot_time", _mismatch("period"))
+SQL["quarantine_asked_long_short_ratio"] = _judged("long_short_ratio", "snapshot_time", _mismatch("period"))
+SQL["quarantine_asked_liquidation_aggregate"] = _judged("liquidation_aggregate", "bucket_time", _mismatch("period"), _negative(*_LIQUIDATED))
+SQL["quarantine_asked_symbol"] = _judged("funding", "snapshot_time", _WILD, _negative("mark_price", "index_price"), source="WHEN symbol_id = 2 THEN 'symbol_mismatch|source_symbol is not the requested one'")
 
 # ---- upserts ----
 

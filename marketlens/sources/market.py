@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Measures of the records that get a negative value in turn.
+MEASURES = (
+    "last_price", "mark_price", "index_price", "bid_price", "ask_price", "volume_24h", "quote_volume_24h", "open_interest", "open_interest_value", "open_price", "high_price", "low_price", "close_price", "volume", "quote_volume",
+    "taker_buy_volume", "taker_sell_volume", "taker_buy_quote_volume", "taker_sell_quote_volume", "price", "quantity", "notional", "usd_value", "futures_price", "spot_price", "mid_price", "spread_bps", "bid_notional", "ask_notional",
+    "bid_depth_usd", "ask_depth_usd", *[f"{side}_depth_{p}pct_usd" for p in (1, 2, 5) for side in ("bid", "ask")], *[f"{side}_liquidation_{unit}" for side in ("long", "short", "total") for unit in ("usd", "notional")], "largest_liquidation_usd",
+)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -172,13 +180,16 @@ def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event with the columns of all record types and faults by k: no venue (3), in the future (5), no time
-    (6), a negative number (9), a wrong unit (11), no period (12), a blank label (15), a wild rate (17)."""
+    (6), a wrong unit (11), no period (12), no levels (14), a blank label (15), a wild rate (17), and, for one k in ten,
+    one negative measure, each in its turn. What was asked for is the symbol (with white space, in another case, nothing,
+    or as it is)."""
     k = F.col("k")
     e = _events(spark, sf_dir)
-    x = F.when(k == 9, -F.col("value")).otherwise(F.col("value"))
     at = F.when(k == 5, F.col("ts") + F.expr("interval 400 days")).when(k != 6, F.col("ts"))
     period = F.when(k == 11, "5 minutes").when(k != 12, " 5m ")
     label = F.when(k != 15, F.lit("sell"))
-    numbers = ("open_price", "high_price", "low_price", "close_price", "volume", "quote_volume", "open_interest", "open_interest_value", "mark_price", "index_price", "futures_price", "taker_buy_volume", "taker_sell_volume", "taker_buy_quote_volume", "taker_sell_quote_volume", "price", "quantity", "notional", "usd_value", "mid_price", "spread_bps", "bid_notional", "ask_notional", "bid_depth_usd", "ask_depth_usd", *[f"{s}_liquidation_{u}" for s in ("long", "short", "total") for u in ("usd", "notional")], "largest_liquidation_usd")
+    measure = lambda n: F.when((k % 10 == 9) & (F.col("event_id") % len(MEASURES) == n), -F.col("value")).otherwise(F.col("value"))
     times = ("snapshot_time", "open_time", "funding_time", "event_time", "bucket_time")
-    return e.select("event_id", "symbol_id", F.when(k == 3, " ").otherwise(F.col("exchange")).alias("exchange"), _source_symbol(), *[at.alias(c) for c in times], F.col("ts").alias("close_time"), period.alias("period"), F.trim(period).alias("interval"), label.alias("side"), label.alias("kind"), F.when(k == 17, -0.25).otherwise((k - 50) / F.lit(10000.0)).alias("funding_rate"), F.when(k == 9, 0).otherwise(10).alias("depth_levels"), *[x.alias(c) for c in numbers])
+    symbol = F.concat(F.lit("S"), F.col("symbol_id").cast("string"))
+    asked = F.when(F.col("symbol_id") == 1, F.concat(F.lit(" "), symbol, F.lit("\t"))).when(F.col("symbol_id") == 2, F.lower(symbol)).when(F.col("symbol_id") == 3, " ").otherwise(symbol)
+    return e.select("event_id", "symbol_id", F.when(k == 3, " ").otherwise(F.col("exchange")).alias("exchange"), _source_symbol(), asked.alias("requested_symbol"), *[at.alias(c) for c in times], F.col("ts").alias("close_time"), period.alias("period"), F.trim(period).alias("interval"), label.alias("side"), label.alias("kind"), F.when(k == 17, -0.25).otherwise((k - 50) / F.lit(10000.0)).alias("funding_rate"), F.when(k == 14, 0).otherwise(10).alias("depth_levels"), *[measure(n).alias(c) for n, c in enumerate(MEASURES)])

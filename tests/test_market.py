@@ -51,6 +51,58 @@ def test_window_stats_leave_out_the_start(spark, grid):
     assert got[0]["s"] == 7.0
 
 
+def _plain_levels(values, reverse):
+    kept = []
+    for v in sorted(values, reverse=reverse):
+        if not kept or abs(kept[-1] - v) >= 1e-9:
+            kept.append(v)
+    return kept[:3]
+
+
+@pytest.mark.parametrize("step", [1e-11, 4e-11, 3e-10, 1e-9, 0.25])
+@pytest.mark.parametrize("bases", [(1.0, 1.1, 1.2), (1e-8, 2e-8, 5e-8), (7.0,)])
+def test_levels_skip_near_equal_values(spark, grid, step, bases):
+    """Sixty candles in groups within a billionth, over many minutes: as a plain scan of all sorted values has it."""
+    lows = [bases[k % len(bases)] + (k * 7 % 20) * step for k in range(60)]
+    facts = spark.createDataFrame([(1, at(-3 * k), v) for k, v in enumerate(lows)], "symbol_id long, ts timestamp, v double")
+    stats = {"lows": trailing.levels(F.col("v"), largest=False), "highs": trailing.levels(F.col("v"), largest=True)}
+    got = {r["window"]: r for r in rows(trailing.window_stats(facts, grid, "ts", {"30m": 30 * MINUTE, "4h": 4 * HOUR, "1m": MINUTE}, stats, closed=True))}
+    for window, n in (("1m", 1), ("30m", 11), ("4h", 60)):
+        assert (got[window]["lows"], got[window]["highs"]) == (_plain_levels(lows[:n], False), _plain_levels(lows[:n], True))
+
+
+def test_levels_of_nothing(spark, grid):
+    facts = spark.createDataFrame([(1, at(-5), None), (2, at(-5), 1.0)], "symbol_id long, ts timestamp, v double")
+    assert [r["s"] for r in rows(trailing.window_stats(facts, grid, "ts", {"1h": HOUR}, {"s": trailing.levels(F.col("v"), largest=False)}))] == [[]]
+
+
+_BOOK = "symbol_id long, exchange string, source_symbol string, requested_symbol string, snapshot_time timestamp, depth_levels int, spread_bps double, bid_depth_1pct_usd double, mark_price double, spot_price double, period string, interval string"
+
+
+def _verdicts(spark, record, requested_period=None, **fields):
+    row = {"symbol_id": 1, "exchange": "a", "source_symbol": "S", "requested_symbol": None, "snapshot_time": T, "depth_levels": 5, "spread_bps": 1.0, "bid_depth_1pct_usd": 1.0, "mark_price": 1.0, "spot_price": 1.0, "period": "1h", "interval": "1h"} | fields
+    names = [x.split(" ")[0] for x in _BOOK.split(", ")]
+    df = spark.createDataFrame([tuple(row[n] for n in names)], _BOOK)
+    return [r["error"] for r in rows(validate.quarantine(df, record, T, requested_period=requested_period)[1])]
+
+
+def test_what_was_asked_for(spark):
+    """Symbols and periods are compared in their case without white space, and blank asks for nothing."""
+    for asked, bad in ((" S\t", False), ("s", True), (" ", False), (None, False), ("S2", True)):
+        assert _verdicts(spark, "cvd", requested_symbol=asked) == (["source_symbol is not the requested one"] if bad else [])
+    for period, asked, want in ((" 1h ", "1h", []), (None, "1h", ["period is not the requested one"]), ("1h", " ", []), (None, None, []), ("x y", None, ["malformed period in period"]), ("1H", "1h", ["period is not the requested one"])):
+        assert _verdicts(spark, "cvd", asked, period=period) == want
+    assert _verdicts(spark, "basis", "5m") == []
+
+
+def test_every_depth_and_price_is_looked_at(spark):
+    assert _verdicts(spark, "basis", mark_price=-3.0) == ["mark_price must not be negative"]
+    assert _verdicts(spark, "basis", spot_price=-4.0) == ["spot_price must not be negative"]
+    assert _verdicts(spark, "orderbook", bid_depth_1pct_usd=-1.0) == ["bid_depth_1pct_usd must not be negative"]
+    assert _verdicts(spark, "orderbook", spread_bps=-1.0) == []
+    assert _verdicts(spark, "open_interest_history", period=" \n") == ["period is required"]
+
+
 def test_degraded_newest_row_removes_the_venue(spark, grid):
     bad = '{"a": {"quality_status": "Degraded"}}'
     facts = [tick("a", -1, 10.0), tick("b", -1, 20.0), tick("c", -2, 30.0), tick("c", -1, 31.0, bad)]
