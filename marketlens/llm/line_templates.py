@@ -126,13 +126,14 @@ def _templates(words: DataFrame, min_documents: int, alike: float = ALIKE) -> Da
     held = places.join(common, ["leaf", "place", "word"]).groupBy("leaf", "full", "size").agg(F.collect_list(F.struct("place", "word", "lines")).alias("words"))
     held = held.where(F.size("words") >= alike * F.col("size"))
     after = F.array_sort(F.transform(F.filter("words", lambda w: w["place"] >= DEPTH), lambda w: w["lines"]))
-    # the middle of all places after the leading ones; those that are not common count as 0
+    # the middle of all places after the leading ones; those that are not common count as 0. It is made a row's own
+    # value before words are compared with it.
     rest = F.col("size") - DEPTH
-    middle = F.floor(rest / 2) - (rest - F.size("after"))
-    held = held.withColumn("after", after).withColumn("middle", F.when(middle >= 0, F.try_element_at("after", (middle + 1).cast("int"))).otherwise(0))
-    fixed = F.filter("words", lambda w: (w["place"] < DEPTH) | (w["lines"] >= VARIABLE * F.col("middle")))
-    held = held.withColumn("fixed", fixed).where((F.size("fixed") < F.col("size")) & (F.size("fixed") >= alike * F.col("size")))
-    return held.select("full", F.xxhash64("leaf", F.array_sort(F.transform("fixed", lambda w: F.struct(w["place"].alias("place"), w["word"].alias("word"))))).alias("template"))
+    middle = F.transform(F.array(after), lambda a: F.coalesce(F.get(a, (F.floor(rest / 2) - (rest - F.size(a))).cast("int")), F.lit(0)))
+    held = held.select("leaf", "full", "size", "words", F.explode(middle).alias("middle"))
+    fixed = F.transform(F.filter("words", lambda w: (w["place"] < DEPTH) | (w["lines"] >= VARIABLE * F.col("middle"))), lambda w: F.struct(w["place"].alias("place"), w["word"].alias("word")))
+    held = held.select("leaf", "full", "size", F.explode(F.array(fixed)).alias("fixed")).where((F.size("fixed") < F.col("size")) & (F.size("fixed") >= alike * F.col("size")))
+    return held.select("full", F.xxhash64("leaf", F.array_sort("fixed")).alias("template"))
 
 
 def _salted(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
