@@ -22,18 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm import text as tx
-from marketlens.llm.tables import freed, in_filter, key_filter, modest_batches, tidy, written
+from marketlens.llm.tables import freed, in_filter, key_filter, modest_batches, record_batch, tidy, written
 
 MAX_WORDS, MIN_COUNT, TOP = 4, 30, 2000
 #: A longer phrase that holds so many percent of a shorter one's occurrences replaces it.
 NESTED_PERCENT = 80
 SCALE = 2_000_000
 #: Entries of a container that bursts, and of a task that spills; bits of a word's id in a task.
-BURST, BUDGET, ID_BITS = 1 << 12, 1 << 19, 21
+BURST, BUDGET, ID_BITS = 1 << 12, 1 << 20, 21
 _BLOCK = 1 << 21
 _RANK_SLICES = 64
 
@@ -138,7 +139,6 @@ class Words:
 
     def __init__(self):
         self.of: dict[int, int] = {}
-        self.hashes: list[int] = []
         self.texts: list[str] = []
         self.langs: list[str] = []
 
@@ -148,35 +148,59 @@ class Words:
             n = of.get(h)
             if n is None:
                 n = of[h] = len(self.texts)
-                self.hashes.append(h)
                 self.texts.append(texts(k))
                 self.langs.append(langs(k))
             out[k] = n
         return out
 
 
-_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("h", pa.int64()), ("n", pa.int64())])
+_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
 def _run(words: Words, ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A sorted run of spilled phrases."""
+    """A run of spilled phrases, sorted by language and words."""
     if not counts.size:
         return
-    known = np.array(words.hashes, dtype=np.uint64)
-    h = known[ids[:, 0]]
-    for k in range(1, ids.shape[1]):
-        h = _then(h, known[ids[:, k]])
-    texts, langs = words.texts, words.langs
-    phrases = [" ".join([texts[x] for x in row]) for row in ids.tolist()]
-    of = [langs[x] for x in ids[:, 0].tolist()]
-    order = sorted(range(len(phrases)), key=lambda k: (of[k], phrases[k]))
-    for lo in range(0, len(order), 1 << 16):
+    texts, langs = pa.array(words.texts, pa.string()), pa.array(words.langs, pa.string())
+    rank = np.empty(len(texts), np.int64)
+    rank[pc.sort_indices(pa.table({"lang": langs, "text": texts}), sort_keys=[("lang", "ascending"), ("text", "ascending")]).to_numpy()] = np.arange(len(texts))
+    order = np.lexsort(rank[ids].T[::-1])
+    for lo in range(0, order.size, 1 << 16):
         part = order[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array([of[k] for k in part], pa.string()), pa.array([phrases[k] for k in part], pa.string()), pa.array(tx.as_long(h[part])), pa.array(counts[part])], schema=_RUN)
+        columns = [texts.take(pa.array(ids[part, k])) for k in range(ids.shape[1])]
+        phrases = pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
+        yield pa.RecordBatch.from_arrays([langs.take(pa.array(ids[part, 0])), phrases, pa.array(counts[part])], schema=_RUN)
+
+
+def _salt(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest())
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    return tx.mix(tx.byte_prefix(data).spans(starts, ends) ^ salts)
+
+
+def _hashes(table: DataFrame, words: int) -> DataFrame:
+    """h, the hash of each of the table's phrases of so many words, as the tasks that count longer ones make it."""
+    schema = pa.schema([("h", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = tx.column_bytes(b.column(1))
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            starts, ends, _ = tx.word_spans(data, offsets, _ENDS_WORD)
+            salts = {x: _salt(x) for x in set(b.column(0).to_pylist())}
+            one = _word_hashes(data, starts, ends, np.repeat(np.array([salts[x] for x in b.column(0).to_pylist()], dtype=np.uint64), words)).reshape(-1, words)
+            h = one[:, 0]
+            for k in range(1, words):
+                h = _then(h, one[:, k])
+            yield record_batch(schema, tx.as_long(h))
+
+    return table.select("lang", "phrase").mapInArrow(tidy(run), "h long")
 
 
 def runs(docs: DataFrame, words: int, shorter=None, budget: int | None = None, burst: int | None = None) -> DataFrame:
-    """Sorted runs (lang, phrase, h, n) of the phrases of so many words, whose parts of one word less are in the filter."""
+    """Sorted runs (lang, phrase, n) of the phrases of so many words, whose parts of one word less are in the filter."""
     budget, burst = budget or BUDGET, burst or BURST
     modest_batches(docs.sparkSession)
 
@@ -191,9 +215,9 @@ def runs(docs: DataFrame, words: int, shorter=None, budget: int | None = None, b
                     continue
                 doc = tx.per_document(bounds)
                 for x in set(langs[lo:hi]) - salts.keys():
-                    salts[x] = int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest())
+                    salts[x] = _salt(x)
                 salt = np.array([salts[x] for x in langs[lo:hi]], dtype=np.uint64)
-                one = tx.mix(tx.byte_prefix(data).spans(starts, ends) ^ salt[doc])
+                one = _word_hashes(data, starts, ends, salt[doc])
                 breaks = np.concatenate([[0], np.cumsum(_ENDS_PIECE[data])])
                 linked = (doc[1:] == doc[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
                 # phrases of one word less, where they start
@@ -216,7 +240,7 @@ def runs(docs: DataFrame, words: int, shorter=None, budget: int | None = None, b
                 new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])
                 firsts = np.flatnonzero(new)
                 trie.add(ids[firsts], np.diff(np.append(firsts, ids.shape[0])))
-                if len(known.texts) > (1 << ID_BITS) - _BLOCK // 2 or len(known.texts) > budget:
+                if len(known.texts) > min(budget, (1 << ID_BITS) - _BLOCK // 2):
                     yield from _run(known, *trie.spill(-1))
                     known = Words()
                 elif trie.size > budget:
@@ -224,12 +248,12 @@ def runs(docs: DataFrame, words: int, shorter=None, budget: int | None = None, b
         yield from _run(known, *trie.spill(-1))
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "lang string, phrase string, h long, n long")
+    return rows.mapInArrow(tidy(run), "lang string, phrase string, n long")
 
 
 def merged(found: DataFrame, least: int) -> DataFrame:
-    """Runs merged by ranges of prefixes: lang, phrase, h, n of the phrases with at least so many occurrences."""
-    return found.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.first("h").alias("h"), F.sum("n").alias("n")).where(F.col("n") >= least)
+    """Runs merged by ranges of prefixes: lang, phrase, n of the phrases with at least so many occurrences."""
+    return found.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def frequent(docs: DataFrame, max_words: int = MAX_WORDS, least: int = MIN_COUNT, **sizes) -> tuple[DataFrame, list[DataFrame]]:
@@ -238,7 +262,7 @@ def frequent(docs: DataFrame, max_words: int = MAX_WORDS, least: int = MIN_COUNT
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     tables = [written(merged(words, least), "phrases-1")]
     for k in range(2, max_words + 1):
-        with freed(key_filter(tables[-1], "h")) as shorter:
+        with freed(key_filter(_hashes(tables[-1], k - 1), "h")) as shorter:
             found = written(runs(docs, k, shorter, **sizes), f"phrase-runs-{k}")
         tables.append(written(merged(found, least), f"phrases-{k}"))
     return totals, tables

@@ -96,7 +96,7 @@ def test_trie_bursts_spills_and_keeps_counts():
 
 def test_scores_pass_64_bits(spark):
     big = 3 * 10**15
-    tables = [spark.createDataFrame(rows, "lang string, phrase string, h long, n long") for rows in ([("en", "a", 0, 2 * big), ("en", "b", 0, big + 1)], [("en", "a b", 0, big)])]
+    tables = [spark.createDataFrame(rows, "lang string, phrase string, n long") for rows in ([("en", "a", 2 * big), ("en", "b", big + 1)], [("en", "a b", big)])]
     row = phrases.scores(tables).first()
     assert (row.a, row.l, row.r, row.score) == (big, 2 * big, big + 1, 2_000_000 * big // (3 * big + 1))
 
@@ -117,7 +117,7 @@ def test_empty_and_long(spark):
 
 def test_ranges_of_prefixes_are_split(spark):
     """A first word that a third of all phrases share does not land in one partition of the merge."""
-    runs = spark.range(20_000).select(F.lit("en").alias("lang"), F.format_string("the %05d", F.col("id")).alias("phrase"), F.col("id").alias("h"), F.lit(1).cast("long").alias("n"))
+    runs = spark.range(20_000).select(F.lit("en").alias("lang"), F.format_string("the %05d", F.col("id")).alias("phrase"), F.lit(1).cast("long").alias("n"))
     parts = runs.repartitionByRange(4, "lang", "phrase").groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) == 4 and max(r["count"] for r in parts) < 10_000
     assert phrases.merged(runs, 1).count() == 20_000
