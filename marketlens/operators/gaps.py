@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import gap_key, joined_key, micros, time_bucket
 from marketlens.operators.asof import latest_by_key
+from marketlens.options import DAY
 
 
 def _as_gaps(df: DataFrame, data_type: str, period: str | None, seconds: int, detector: str) -> DataFrame:
@@ -14,12 +15,25 @@ def _as_gaps(df: DataFrame, data_type: str, period: str | None, seconds: int, de
     return out.withColumn("gap_key", gap_key())
 
 
+def _before(df: DataFrame, keys: list[str], at: str, span: int, out: str) -> DataFrame:
+    """df with the value of ``at`` (long) in the key's row before. Rows are taken span by span, and the last row of each
+    span is carried into the next that has rows, so a long series is as many groups as it has spans."""
+    c = df.withColumn("_span", F.floor(F.col(at) / span))
+    ends = c.groupBy(*keys, "_span").agg(F.max(at).alias("_end"), F.min(at).alias("_begin"))
+    carried = ends.withColumn("_carried", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_span"))).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_span").alias("_of_span"), "_carried")
+    inside = F.lag(at).over(Window.partitionBy(*keys, "_span").orderBy(at))
+    on = F.col("_span") == F.col("_of_span")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return c.withColumn("_inside", inside).join(carried, on).withColumn(out, F.coalesce("_inside", "_carried")).drop("_span", "_inside", "_carried", "_of_span", *[f"_of_{k}" for k in keys])
+
+
 def kline_gaps(klines: DataFrame, interval: str, expected_seconds: int, lookback: int, now) -> DataFrame:
     """Gaps of more than two intervals between neighbouring candles of a venue within the lookback (microseconds)."""
     now = F.lit(now).cast("timestamp")
     k = klines.where((F.col("interval") == interval) & (F.col("open_time") <= now) & (micros("open_time") >= micros(now) - lookback))
-    before = F.lag("open_time").over(Window.partitionBy("symbol_id", "exchange").orderBy("open_time"))
-    k = k.withColumn("gap_start", before).where(micros("open_time") - micros("gap_start") > 2_000_000 * expected_seconds)
+    k = _before(k.withColumn("_us", micros("open_time")), ["symbol_id", "exchange"], "_us", DAY, "_before")
+    k = k.where(F.col("_us") - F.col("_before") > 2_000_000 * expected_seconds).withColumn("gap_start", F.timestamp_micros("_before"))
     return _as_gaps(k.select("symbol_id", "exchange", "source_symbol", "gap_start", F.col("open_time").alias("gap_end")), "kline", interval, expected_seconds, "kline_gap")
 
 
@@ -55,6 +69,34 @@ def missing_slots(slots: DataFrame, facts: DataFrame, ts_col: str) -> DataFrame:
     return slots.join(seen, ["symbol_id", "exchange", "interval_seconds", "slot_time"], "left_anti")
 
 
+def missing_runs(policies: DataFrame, markets: DataFrame, facts: DataFrame, start, end, ts_col: str = "snapshot_time") -> DataFrame:
+    """What ``missing_slots`` finds, as runs: for each policy and market the first and the last slot (numbers of
+    intervals) of each longest run of slots in which no fact fell. No slot is made that is not missing, so the work
+    follows the facts."""
+    p = policies.where("enabled") if "enabled" in policies.columns else policies
+    lo, hi = micros(F.lit(start).cast("timestamp")), micros(F.lit(end).cast("timestamp"))
+    s = markets.join(F.broadcast(p), "exchange")  # policies are a short configured list
+    step = F.col("interval_seconds").cast("long") * 1_000_000
+    s = s.withColumn("_first", F.ceil(lo / step).cast("long")).withColumn("_last", F.ceil(hi / step).cast("long") - 1).where("_first <= _last")
+    keys = ["symbol_id", "exchange", "interval_seconds"]
+    sizes = F.broadcast(p.select("exchange", "interval_seconds").distinct())
+    seen = facts.where((micros(ts_col) >= lo - DAY) & (micros(ts_col) < hi + DAY)).join(sizes, "exchange").select(*keys, F.floor(micros(ts_col) / step).cast("long").alias("_slot")).distinct()
+    ranges = s.select(*keys, "_first", "_last").distinct()
+    # the slot before the range and the one after it count as seen
+    inside = seen.join(ranges, keys).where("_slot between _first and _last").select(*keys, "_slot")
+    ends = ranges.select(*keys, F.explode(F.array(F.col("_first") - 1, F.col("_last") + 1)).alias("_slot"))
+    runs = _before(inside.unionByName(ends), keys, "_slot", 1024, "_before").where("_slot - _before > 1")
+    runs = runs.select(*keys, (F.col("_before") + 1).alias("first_slot"), (F.col("_slot") - 1).alias("last_slot"))
+    return s.drop("_first", "_last").join(runs, keys)
+
+
+def run_slots(runs: DataFrame) -> DataFrame:
+    """The slots of missing runs, one row each, with their time and key."""
+    step = F.col("interval_seconds").cast("long") * 1_000_000
+    s = runs.withColumn("slot_time", F.explode(F.transform(F.sequence("first_slot", "last_slot"), lambda slot: F.timestamp_micros(slot * step)))).drop("first_slot", "last_slot")
+    return s.withColumn("slot_key", joined_key("exchange", "symbol_id", "data_type", "period", F.unix_seconds("slot_time")))
+
+
 def backfill_slots(gaps: DataFrame, max_slots: int = 500, lag_seconds: int = 0, pause_above: int | None = None) -> DataFrame:
     """Low-priority slots, one an interval in ``[gap_start, gap_end)`` of each gap, at most ``max_slots`` a gap, the
     first ones; none while the source lags by more than the pause bound."""

@@ -210,8 +210,16 @@ def _policies(spark: SparkSession, sf: str) -> DataFrame:
 
 def coverage_gaps(spark: SparkSession, sf: str) -> DataFrame:
     t = market.ticks(spark, sf)
-    slots = gaps.coverage_slots(_policies(spark, sf), t.select("symbol_id", "exchange").distinct(), "2024-01-02", "2024-01-29")
-    return _naive(gaps.missing_slots(slots, t, "snapshot_time").select("symbol_id", "exchange", "data_type", "slot_time", "slot_key"))
+    runs = gaps.missing_runs(_policies(spark, sf), t.select("symbol_id", "exchange").distinct(), t, "2024-01-02", "2024-01-29")
+    return _naive(gaps.run_slots(runs).select("symbol_id", "exchange", "data_type", "slot_time", "slot_key"))
+
+
+def coverage_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of hours without a tick, found without listing the hours that have one."""
+    t = market.ticks(spark, sf)
+    runs = gaps.missing_runs(_policies(spark, sf), t.select("symbol_id", "exchange").distinct(), t, "2024-01-02", "2024-01-29")
+    hour = lambda c: F.timestamp_micros(F.col(c) * HOUR)
+    return _naive(runs.select("symbol_id", "exchange", "data_type", hour("first_slot").alias("first_hour"), hour("last_slot").alias("last_hour"), (F.col("last_slot") - F.col("first_slot") + 1).alias("hours")))
 
 
 def backfill_slots(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,7 +419,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     venue_asof_latest, latest_ticks, aggregate_snapshot, raw_by_exchange, enrichment, point_aggregate, market_point_change, window_metrics, anomaly_flags,
     exchange_divergence, venue_candles, kline_rollup, weekly_bars, rollup_probe, market_structure, support_resistance, near_equal_levels, volatility, taker_fill, basis_fill,
     cumulative_delta, liquidation_buckets, liquidation_totals, large_liquidations, derived_open_interest, derived_funding, quarantine_valid, quarantine_issues,
-    kline_gaps, stale_latest, coverage_gaps, backfill_slots, overview_page, top_symbols, symbol_resolve, watchlist_symbols, symbol_markets, series_page, kline_page,
+    kline_gaps, stale_latest, coverage_gaps, coverage_runs, backfill_slots, overview_page, top_symbols, symbol_resolve, watchlist_symbols, symbol_markets, series_page, kline_page,
     expire_rows, eligible_count, rollup_expire, expired_partitions, health_summary, request_metrics, request_errors, status_counts, open_counts, upsert_klines,
     insert_absent, normalize_ticker, normalize_kline, orderbook_imbalance, venue_errors, health_filters, stream_latest, stream_buckets, stream_liquidations,
     stream_dedupe, stream_lag, fresh_or_fallback,

@@ -230,6 +230,13 @@ SQL["coverage_gaps"] = (
 SELECT symbol_id, exchange, 'ticker' AS data_type, slot_time, exchange || ':' || symbol_id || ':ticker:1h:' || CAST(epoch(slot_time) AS BIGINT) AS slot_key FROM slots
   WHERE (symbol_id, exchange, slot_time) NOT IN (SELECT (symbol_id, exchange, date_trunc('hour', snapshot_time)) FROM ticks)"""
 )
+SQL["coverage_runs"] = (
+    _with(_TICKS)
+    + """, slots AS (SELECT symbol_id, exchange, unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-28 23:00:00', INTERVAL 1 HOUR)) AS h FROM (SELECT DISTINCT symbol_id, exchange FROM ticks)),
+missing AS (SELECT * FROM slots WHERE (symbol_id, exchange, h) NOT IN (SELECT (symbol_id, exchange, date_trunc('hour', snapshot_time)) FROM ticks)),
+islands AS (SELECT *, h - INTERVAL 1 HOUR * row_number() OVER (PARTITION BY symbol_id, exchange ORDER BY h) AS island FROM missing)
+SELECT symbol_id, exchange, 'ticker' AS data_type, min(h) AS first_hour, max(h) AS last_hour, count(*) AS hours FROM islands GROUP BY symbol_id, exchange, island"""
+)
 SQL["backfill_slots"] = (
     _with(_EVENTS, _KLINES, _GAPS)
     + """, x AS (SELECT symbol_id, exchange, CAST(floor(epoch(gap_start) / 3600) AS BIGINT) AS lo, CAST(ceil(epoch(gap_end) / 3600) AS BIGINT) - 1 AS hi FROM gaps),

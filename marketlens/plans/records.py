@@ -214,6 +214,74 @@ def stream_running_delta(spark: SparkSession, sf: str) -> DataFrame:
     return _naive(out.withColumns({c: F.round(c, 4) for c in ("cvd_value", "cvd_change")}).drop("cvd_change_percent"))
 
 
+def _third() -> F.Column:
+    """0 to 2: the third of January in which a time lies."""
+    return F.least(F.lit(2), F.floor((F.dayofmonth("snapshot_time") - 1) / 10)).cast("int")
+
+
+def stream_expiring(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest ticks of each symbol and venue that live two hours, by a stream in three batches: all sets and expiries."""
+    from marketlens.streaming import stateful
+
+    t = market.ticks(spark, sf)
+    t = t.select(F.concat_ws(":", "exchange", "source_symbol").alias("key"), "snapshot_time", "last_price")
+    root = f"{market.shared_folder(spark)}/expiring-{uuid.uuid4().hex}"
+    start = lambda live: stateful.timed_values(live, 7200, late="10 minutes").writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    with stateful.state_on_disk(spark):
+        market.in_batches(t, _third(), 3, root, start)
+    return _naive(spark.read.schema(stateful.CHANGES).parquet(f"{root}/rows"))
+
+
+def stream_corrected_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Running totals of taker flows of which every seventh comes a batch late: the newest revisions."""
+    from marketlens.streaming import stateful
+
+    f = derive.fill_taker_flow(market.taker_flows(spark, sf).withColumn("_late", F.unix_micros("snapshot_time") % 7 == 0))
+    root = f"{market.shared_folder(spark)}/corrected-{uuid.uuid4().hex}"
+    start = lambda live: stateful.corrected_delta(live, late="40 days").writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    market.in_batches(f, _third() + F.when(F.col("_late"), 1).otherwise(0), 4, root, start)
+    out = stateful.newest_revisions(spark.read.schema(stateful.CORRECTIONS).parquet(f"{root}/rows"))
+    return _naive(out.withColumns({c: F.round(c, 4) for c in ("cvd_value", "cvd_change")}))
+
+
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of each symbol's and venue's newest tick a day, upserted by a stream in four batches of mixed days, of
+    which the first is replayed at the end."""
+    from marketlens.streaming import epochs
+
+    t = market.ticks(spark, sf).select("symbol_id", "exchange", "snapshot_time", "last_price", F.to_date("snapshot_time").alias("day"))
+    root = f"{market.shared_folder(spark)}/upserted-{uuid.uuid4().hex}"
+    keys = ["symbol_id", "exchange", "day"]
+    newest = lambda old, new: old.unionByName(new).groupBy(*keys).agg(F.max_by(F.struct("snapshot_time", "last_price"), "snapshot_time").alias("v")).select("symbol_id", "exchange", "v.*", "day").select(*t.columns)
+    batch = F.pmod(F.hour("snapshot_time"), F.lit(4))
+    market.in_batches(t, batch, 4, root, lambda live: epochs.upsert_stream(live, f"{root}/table", "day", newest, f"{root}/state"))
+    epochs.write_epoch(spark, t.where(batch == 0).withColumn("last_price", F.lit(-1.0)), f"{root}/table", "day", newest, 0)
+    return _naive(epochs.read_table(spark, f"{root}/table", t.schema).withColumn("day", F.col("day").cast("string")))
+
+
+def upsert_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Ticks of all days as a partitioned table, of which a second batch rewrites the days that it touches."""
+    t = market.ticks(spark, sf).select("event_id", "symbol_id", "last_price", F.to_date("snapshot_time").alias("day"))
+    root = f"{market.shared_folder(spark)}/partitions-{uuid.uuid4().hex}"
+    merge = lambda old, new: sinks.upsert(old, new, ["event_id", "day"])
+    sinks.write_partitions(spark, t, f"{root}/table", "day", merge, f"{root}/staging")
+    sinks.write_partitions(spark, t.where("dayofmonth(day) % 5 = 0 and event_id % 2 = 0").withColumn("last_price", -F.col("last_price")), f"{root}/table", "day", merge, f"{root}/staging")
+    return spark.read.schema(t.schema).parquet(f"{root}/table").withColumn("day", F.col("day").cast("string"))
+
+
+def audited_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads read from lines of which some are torn and some come again: each once, with why it is kept and its hash."""
+    e = market.events(spark, sf)
+    k = F.col("k")
+    venue = F.element_at(F.array(*[F.lit(f" {v.upper()}") for v in payloads.VENUES]), (F.col("event_id") % 6 + 1).cast("int"))
+    body = F.when(k % 13 == 0, '{"code": -1121}').when(k % 7 == 0, "gone").otherwise(F.format_string('{"k": %d}', k))
+    line = F.to_json(F.struct(venue.alias("exchange"), F.lit("ticker").alias("data_type"), F.when(k % 3 != 0, F.concat(F.lit("S"), "symbol_id")).alias("source_symbol"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("payload_time"), body.alias("payload")))
+    lines = e.select("event_id", F.when(k % 11 == 0, F.substring(line, 1, 40)).otherwise(line).alias("value"))
+    root = f"{market.shared_folder(spark)}/payloads-{uuid.uuid4().hex}"
+    lines.unionByName(lines.where("event_id % 4 = 0")).select("value").write.text(f"{root}/lines")
+    return _naive(payloads.audited(payloads.read_lines(spark, f"{root}/lines")))
+
+
 def bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
     """Liquidation buckets of one minute, as for symbols outside the widest tier."""
     return _naive(derive.liquidation_buckets(market.liquidations(spark, sf), tier="top", scale=6).select("symbol_id", "exchange", "bucket_time", "period", "long_liquidation_count", "short_liquidation_count", "total_liquidation_usd"))
@@ -221,5 +289,5 @@ def bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     normalize_open_interest, normalize_long_short, normalize_taker_flow, normalize_basis, normalize_liquidations, *QUARANTINES, upsert_rows, upsert_liquidations, upsert_market_structure, upsert_divergence,
-    upsert_issues, upsert_gaps, upsert_health, liquidation_keys, *SERIES_PAGES, symbol_detail, admin_page, stream_no_future, stream_running_delta, bucket_volume,
+    upsert_issues, upsert_gaps, upsert_health, liquidation_keys, *SERIES_PAGES, symbol_detail, admin_page, stream_no_future, stream_running_delta, bucket_volume, stream_expiring, stream_corrected_delta, stream_upsert, upsert_partitions, audited_payloads,
 )

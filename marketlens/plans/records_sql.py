@@ -140,3 +140,18 @@ SQL["stream_running_delta"] = _with(_TICKS) + """, f AS (SELECT symbol_id, excha
 SELECT symbol_id, exchange, period, snapshot_time, round(CAST(sum(CAST(d AS DECIMAL(28,6))) OVER (PARTITION BY symbol_id, exchange ORDER BY snapshot_time ROWS UNBOUNDED PRECEDING) AS DOUBLE), 4) AS cvd_value, round(d, 4) AS cvd_change FROM f"""
 SQL["bucket_volume"] = _with(_EVENTS) + f"""SELECT symbol_id, exchange, time_bucket(INTERVAL 1 MINUTE, ts) AS bucket_time, '1m' AS period, count(*) FILTER (WHERE exchange = 'purchase') AS long_liquidation_count,
   count(*) FILTER (WHERE exchange <> 'purchase') AS short_liquidation_count, {_sum("value * (k + 1)")} AS total_liquidation_usd FROM e WHERE symbol_id <> 0 GROUP BY ALL"""
+
+SQL["stream_expiring"] = _with(_TICKS) + """, v AS (SELECT exchange || ':' || source_symbol AS key, snapshot_time AS ts, last_price AS p, lead(snapshot_time) OVER (PARTITION BY exchange, source_symbol ORDER BY snapshot_time) AS later, max(snapshot_time) OVER () AS newest FROM ticks),
+w AS (SELECT *, '{"last_price":' || CASE WHEN p = floor(p) THEN printf('%.1f', p) ELSE CAST(p AS VARCHAR) END || '}' AS payload FROM v)
+SELECT key, ts AS at, payload, 'set' AS action FROM w
+UNION ALL SELECT key, ts + INTERVAL 2 HOUR, payload, 'expire' FROM w WHERE later - ts >= INTERVAL 2 HOUR OR (later IS NULL AND ts + INTERVAL 2 HOUR <= newest - INTERVAL 10 MINUTE)"""
+SQL["stream_corrected_delta"] = SQL["stream_running_delta"]
+SQL["stream_upsert"] = _with(_TICKS) + "SELECT symbol_id, exchange, max(snapshot_time) AS snapshot_time, arg_max(last_price, snapshot_time) AS last_price, CAST(CAST(snapshot_time AS DATE) AS VARCHAR) AS day FROM ticks GROUP BY symbol_id, exchange, CAST(snapshot_time AS DATE)"
+SQL["upsert_partitions"] = _with(_TICKS) + "SELECT event_id, symbol_id, CASE WHEN day(snapshot_time) % 5 = 0 AND event_id % 2 = 0 THEN -last_price ELSE last_price END AS last_price, CAST(CAST(snapshot_time AS DATE) AS VARCHAR) AS day FROM ticks"
+SQL["audited_payloads"] = _with(_EVENTS) + r"""SELECT exchange, data_type, payload_time, payload_hash, min(source_symbol) AS source_symbol, min(payload) AS payload, min(capture_reason) AS capture_reason, CAST(sum(n) AS BIGINT) AS captures FROM (
+  SELECT CASE WHEN NOT torn THEN x END AS exchange, CASE WHEN NOT torn THEN 'ticker' END AS data_type, CASE WHEN NOT torn THEN symbol END AS source_symbol, CASE WHEN NOT torn THEN date_trunc('second', ts) END AS payload_time, n,
+    CASE WHEN torn THEN left(line, 40) ELSE body END AS payload, sha256(CASE WHEN torn THEN left(line, 40) ELSE body END) AS payload_hash,
+    CASE WHEN torn THEN 'failed_job' WHEN body = 'gone' OR x = 'mexc' OR (k % 13 = 0 AND x IN ('binance', 'okx', 'bitget')) THEN 'quality_issue' ELSE 'audit' END AS capture_reason
+  FROM (SELECT *, '{"exchange":" ' || upper(x) || '","data_type":"ticker",' || coalesce('"source_symbol":"' || symbol || '",', '') || '"payload_time":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","payload":"' || replace(body, '"', '\"') || '"}' AS line
+    FROM (SELECT *, ['binance', 'okx', 'bybit', 'bitget', 'gate', 'mexc'][event_id % 6 + 1] AS x, k % 11 = 0 AS torn, CASE WHEN event_id % 4 = 0 THEN 2 ELSE 1 END AS n, CASE WHEN k % 3 <> 0 THEN 'S' || symbol_id END AS symbol,
+      CASE WHEN k % 13 = 0 THEN '{"code": -1121}' WHEN k % 7 = 0 THEN 'gone' ELSE '{"k": ' || k || '}' END AS body FROM e))) GROUP BY exchange, data_type, coalesce(source_symbol, ''), payload_time, payload_hash"""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 #: Measures of the records that get a negative value in turn.
@@ -20,6 +22,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _facts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, ts, symbol_id, exchange, value and k of each event."""
+    return _events(spark, sf_dir)
+
+
 def _facts(e: DataFrame) -> DataFrame:
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("symbol_id"), F.col("event_type").alias("exchange"), "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
@@ -178,6 +185,15 @@ def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("exchange", "x.data_type", "symbol_id", "source_symbol", "period", "captured_at", "x.body")
 
 
+def in_batches(df: DataFrame, batch, n: int, root: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let a stream meet the rows of df batch by batch (``batch``: a column of 0 to n - 1): the files of each are written,
+    then the query that ``start`` makes of the stream reads what is new, from where its checkpoint says it was."""
+    for k in range(n):
+        df.where(batch == k).write.parquet(f"{root}/in/{k}")
+        live = df.sparkSession.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        start(live).awaitTermination()
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an event with the columns of all record types and faults by k: no venue (3), in the future (5), no time
     (6), a wrong unit (11), no period (12), no levels (14), a blank label (15), a wild rate (17), and, for one k in ten,

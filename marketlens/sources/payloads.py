@@ -7,7 +7,7 @@ is one expression over the venues. Payloads that a venue marked as an error are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import from_epoch_ms, from_epoch_s, number, text, time_bucket
@@ -101,6 +101,28 @@ def venue_error() -> Column:
     )
 
 
+#: Columns of the audit table before its own ones.
+LINES = "exchange string, data_type string, source_symbol string, payload_time timestamp, payload string"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Captured payloads of a folder of JSON lines. A line that can't be read is kept whole, as ``torn``."""
+    return spark.read.schema(f"{LINES}, torn string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "torn").json(path)
+
+
+def audited(lines: DataFrame) -> DataFrame:
+    """The audit table: each payload once, with its hash and why it is kept: ``failed_job`` for a torn line (the line is
+    the payload), ``quality_issue`` for what is no JSON or a venue's error, else ``audit``. Payloads are the same when
+    venue, type, symbol (null is blank), time and hash are."""
+    torn = F.col("torn").isNotNull()
+    named = _named(lines).withColumn("body", F.col("payload"))
+    reason = F.when(torn, "failed_job").when(F.col("body").isNull() | venue_error().isNotNull(), "quality_issue").otherwise("audit")
+    rows = named.select(*[F.when(~torn, F.col(c)).alias(c) for c in ("exchange", "data_type", "source_symbol", "payload_time")], F.coalesce("torn", "payload").alias("payload"), reason.alias("capture_reason"))
+    rows = rows.withColumn("payload_hash", F.sha2(F.coalesce("payload", F.lit("")), 256))
+    identity = ["exchange", "data_type", F.coalesce("source_symbol", F.lit("")).alias("_symbol"), "payload_time", "payload_hash"]
+    return rows.groupBy(*identity).agg(F.min("source_symbol").alias("source_symbol"), F.min("payload").alias("payload"), F.min("capture_reason").alias("capture_reason"), F.count(F.lit(1)).alias("captures")).drop("_symbol")
+
+
 def _named(raw: DataFrame) -> DataFrame:
     """Venue names trimmed and in lower case, before anything is compared with them."""
     return raw.withColumn("exchange", F.lower(F.trim("exchange")))
