@@ -1,7 +1,7 @@
 """Phrases whose words keep company: exact counts by HAT-tries, then scores by the worst cut.
 
-Words are counted first; then pairs of frequent words, triples of frequent pairs, and so on, so no phrase is counted
-that can't be frequent. What is frequent comes to the tasks as a filter of fixed size that lets no frequent phrase out.
+Words are counted first; then pairs of frequent words; then, in one pass, phrases of three and four words
+(the most) made of frequent pairs, so few phrases are counted that can't be frequent. What is frequent comes to the tasks as a filter of fixed size that lets no frequent phrase out.
 
 A task counts in a HAT-trie: the root branches by the first word's id, and below it hash containers count the packed ids
 of the other words; a container that grows past ``BURST`` entries bursts into a node that branches by the next word. When
@@ -199,19 +199,25 @@ def _hashes(table: DataFrame, words: int) -> DataFrame:
     return table.select("lang", "phrase").mapInArrow(tidy(run), "h long")
 
 
-def runs(docs: DataFrame, words: int, shorter=None, budget: int | None = None, burst: int | None = None) -> DataFrame:
-    """Sorted runs (lang, phrase, n) of the phrases of so many words, whose parts of one word less are in the filter."""
+def runs(docs: DataFrame, lengths: tuple[int, ...], shorter=None, budget: int | None = None, burst: int | None = None) -> DataFrame:
+    """Sorted runs (lang, phrase, n) of the phrases of so many words (numbers in a row) whose parts of one word less than
+    the first number are in the filter."""
     budget, burst = budget or BUDGET, burst or BURST
+    least = lengths[0]
     modest_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known, salts = PhraseTrie(words, burst), Words(), {}
+        tries, known, salts = [PhraseTrie(k, burst) for k in lengths], Words(), {}
+
+        def spilled(trie: PhraseTrie, keep: int) -> Iterator[pa.RecordBatch]:
+            yield from _run(known, *trie.spill(keep))
+
         for b in batches:
             langs = b.column(0).to_pylist()
             for lo, hi, raw, offsets in tx.blocks(b.column(1), _BLOCK):
                 data = tx.lower(raw)
                 starts, ends, bounds = tx.word_spans(data, offsets, _ENDS_WORD)
-                if starts.size < words:
+                if starts.size < least:
                     continue
                 doc = tx.per_document(bounds)
                 for x in set(langs[lo:hi]) - salts.keys():
@@ -220,32 +226,43 @@ def runs(docs: DataFrame, words: int, shorter=None, budget: int | None = None, b
                 one = _word_hashes(data, starts, ends, salt[doc])
                 breaks = np.concatenate([[0], np.cumsum(_ENDS_PIECE[data])])
                 linked = (doc[1:] == doc[:-1]) & (breaks[starts[1:]] == breaks[ends[:-1]])
-                # phrases of one word less, where they start
-                h, ok = one, np.ones(one.size, bool)
-                for k in range(1, words):
-                    if k == words - 1:
+                # where phrases start, one word longer at each step; those of one word less than the first length are sifted
+                h, ok, starts_of = one, np.ones(one.size, bool), []
+                for k in range(1, lengths[-1]):
+                    if k == least - 1:
                         ok &= in_filter(shorter.value, tx.as_long(h))
-                    ok = ok[:-1] & ok[1:] & linked[: ok.size - 1]
-                    h = _then(h[:-1], one[k:])
-                at = np.flatnonzero(ok)
-                if not at.size:
+                    if k >= least:
+                        starts_of.append(np.flatnonzero(ok))
+                    ok = ok[:-1] & ok[1:] & linked[: max(0, ok.size - 1)]
+                    if k < least - 1:
+                        h = _then(h[:-1], one[k:])
+                starts_of.append(np.flatnonzero(ok))
+                used = np.zeros(one.size, bool)
+                for k, at in zip(lengths, starts_of, strict=True):
+                    for step in range(k):
+                        used[at + step] = True
+                spots = np.flatnonzero(used)
+                if not spots.size:
                     continue
-                spots = (at[:, None] + np.arange(words)).ravel()
                 keys, where, back = np.unique(one[spots], return_index=True, return_inverse=True)
                 where, text = spots[where], data.tobytes()
-                place, first, last = known.ids, starts[where], ends[where]
-                ids = place(keys, lambda k: text[first[k] : last[k]].decode(), lambda k: langs[lo + doc[where[k]]])[back].reshape(-1, words)
-                order = np.lexsort(ids.T[::-1])
-                ids = ids[order]
-                new = np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])
-                firsts = np.flatnonzero(new)
-                trie.add(ids[firsts], np.diff(np.append(firsts, ids.shape[0])))
-                if len(known.texts) > min(budget, (1 << ID_BITS) - _BLOCK // 2):
-                    yield from _run(known, *trie.spill(-1))
+                first, last = starts[where], ends[where]
+                id_at = np.zeros(one.size, np.int64)
+                id_at[spots] = known.ids(keys, lambda k: text[first[k] : last[k]].decode(), lambda k: langs[lo + doc[where[k]]])[back]
+                for k, at, trie in zip(lengths, starts_of, tries, strict=True):
+                    if at.size:
+                        ids = id_at[at[:, None] + np.arange(k)]
+                        ids = ids[np.lexsort(ids.T[::-1])]
+                        firsts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+                        trie.add(ids[firsts], np.diff(np.append(firsts, ids.shape[0])))
+                full = len(known.texts) > min(budget, (1 << ID_BITS) - _BLOCK // 2)
+                for trie in tries:
+                    if full or trie.size > budget // len(tries):
+                        yield from spilled(trie, -1 if full else budget // len(tries) // 2)
+                if full:
                     known = Words()
-                elif trie.size > budget:
-                    yield from _run(known, *trie.spill(budget // 2))
-        yield from _run(known, *trie.spill(-1))
+        for trie in tries:
+            yield from spilled(trie, -1)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(tidy(run), "lang string, phrase string, n long")
@@ -258,13 +275,19 @@ def merged(found: DataFrame, least: int) -> DataFrame:
 
 def frequent(docs: DataFrame, max_words: int = MAX_WORDS, least: int = MIN_COUNT, **sizes) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) with all words of each language, and the tables of frequent phrases of 1, 2, ... words."""
-    words = written(runs(docs, 1, **sizes), "word-runs")
+    if not 1 <= max_words <= 4:
+        raise ValueError("the words after a phrase's first are packed in 64 bits, so phrases have at most four")
+    words = written(runs(docs, (1,), **sizes), "word-runs", "zstd")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     tables = [written(merged(words, least), "phrases-1")]
-    for k in range(2, max_words + 1):
+    while len(tables) < max_words:
+        k = len(tables) + 1
+        lengths = (k,) if k == 2 or k == max_words else (k, k + 1)
         with freed(key_filter(_hashes(tables[-1], k - 1), "h")) as shorter:
-            found = written(runs(docs, k, shorter, **sizes), f"phrase-runs-{k}")
-        tables.append(written(merged(found, least), f"phrases-{k}"))
+            found = written(runs(docs, lengths, shorter, **sizes), f"phrase-runs-{k}", "zstd")
+        table = written(merged(found, least), f"phrases-{k}")
+        spaces = F.length("phrase") - F.length(F.translate("phrase", " ", ""))
+        tables += [table.where(spaces == n - 1) for n in lengths]
     return totals, tables
 
 

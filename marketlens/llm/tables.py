@@ -61,12 +61,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read back: later steps neither recompute them nor
-    depend on the executors that made them."""
+    depend on the executors that made them. ``compression``: another codec than the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/written/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
