@@ -13,7 +13,8 @@ up; no text comes to the driver, and the model has a bounded size and is broadca
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when there is nothing
 to learn from, and an empty table gives no rows. A null doc_id is held out. Equal scores go to the language that sorts
 first. Repeated rows are predicted each time, and learned from each time unless they are equal in doc_id, text and lang;
-copies that differ in lang count for each. A very long text is a block of its own and is read whole.
+copies that differ in lang count for each. A very long text is a block of its own and is read whole. Other columns, of any
+name, are ignored.
 """
 
 from __future__ import annotations

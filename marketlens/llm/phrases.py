@@ -1,7 +1,8 @@
 """Phrases whose words keep company: exact counts by HAT-tries, then scores by the worst cut.
 
-Words are counted first; then pairs of frequent words; then, in one pass, phrases of three and four words
-(the most) made of frequent pairs, so few phrases are counted that can't be frequent. What is frequent comes to the tasks as a filter of fixed size that lets no frequent phrase out.
+Words are counted first; then pairs of frequent words; then, in one pass, phrases of three and four words (the most) made
+of frequent pairs, so few phrases are counted that can't be frequent. What is frequent comes to the tasks as a filter of
+fixed size that leaves no frequent phrase out.
 
 A task counts in a HAT-trie: the root branches by the first word's id, and below it hash containers count the packed ids
 of the other words; a container that grows past ``BURST`` entries bursts into a node that branches by the next word. When

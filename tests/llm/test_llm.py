@@ -685,7 +685,7 @@ def test_clashing_columns(spark, corpus):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_pipeline(spark, tmp_path):
