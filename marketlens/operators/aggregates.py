@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import deep_degraded, effective_price, mean, not_negative, positive, shallow_healthy, simple_spread, spread_bps, spread_percent, taker_delta, total
@@ -179,3 +179,69 @@ def anomaly_flags(metrics: DataFrame, snapshot: DataFrame | None = None, thresho
         book = snapshot.where(F.abs("avg_imbalance_percent") >= t.imbalance_percent)
         out = out.unionByName(book.select("symbol_id", "as_of", F.lit(None).cast("string").alias("window"), F.lit("orderbook_imbalance").alias("name"), F.lit("info").alias("severity"), F.col("avg_imbalance_percent").alias("value")))
     return out
+
+
+#: Window measures by their names in the record's JSON.
+_MEASURES = {"price_change": "price_change", "price_change_percent": "price_change_pct", "volume_change": "volume_change", "oi_change": "oi_change", **{c: c for c in ("funding_avg", "funding_min", "funding_max", "taker_delta", "cvd_change", "liquidation_sum_usd", "basis_avg", "basis_min", "basis_max")}}
+
+
+def _utc(x) -> Column:
+    """Text of a time: UTC, microseconds without trailing zeros."""
+    digits = F.rtrim(F.date_format(F.to_utc_timestamp(x, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0"))
+    return F.concat(F.rtrim(digits, F.lit(".")), F.lit("Z"))
+
+
+def window_json(metrics: DataFrame, options: AnalyticsOptions = AnalyticsOptions()) -> DataFrame:
+    """symbol_id, as_of, window_metrics (an array of the windows, shortest first) and metrics (the same as an object);
+    measures that are null are left out."""
+    names = list(options.windows)
+    quality = F.struct(F.col("exchange_count_now").alias("current_exchange_count"), F.col("exchange_count_then").alias("previous_exchange_count"), F.lit(options.max_age // 1_000_000).alias("max_snapshot_age_seconds"))
+    known = [F.col(c).alias(name) for name, c in _MEASURES.items() if c in metrics.columns]
+    one = F.struct(F.col("window"), _utc("start_time").alias("start_time"), _utc("as_of").alias("end_time"), *known, quality.alias("quality"))
+    # as many rows an instant as there are windows
+    all_windows = F.transform(F.array_sort(F.collect_list(F.struct(F.array_position(F.array(*map(F.lit, names)), F.col("window")).alias("at"), one.alias("w")))), lambda x: x["w"])
+    rows = metrics.groupBy("symbol_id", "as_of").agg(all_windows.alias("w"))
+    return rows.select("symbol_id", "as_of", F.to_json("w").alias("window_metrics"), F.to_json(F.struct(F.col("w").alias("windows"))).alias("metrics"))
+
+
+def flags_json(flags: DataFrame, options: AnalyticsOptions = AnalyticsOptions()) -> DataFrame:
+    """symbol_id, as_of and anomaly_flags: an array by window, shortest first and the snapshot's own last, in the order in
+    which the rules are listed."""
+    order = ("large_liquidation_cluster", "elevated_basis", "positive_funding_extreme", "negative_funding_extreme", "orderbook_imbalance")
+    at = F.when(F.col("window").isNull(), len(options.windows) + 1).otherwise(F.array_position(F.array(*map(F.lit, options.windows)), F.col("window")))
+    rule = F.array_position(F.array(*map(F.lit, order)), F.col("name"))
+    listed = F.array_sort(F.collect_list(F.struct(at.alias("at"), rule.alias("rule"), F.struct("name", "window", "severity", "value").alias("f"))))
+    return flags.groupBy("symbol_id", "as_of").agg(F.to_json(F.transform(listed, lambda x: x["f"])).alias("anomaly_flags"))
+
+
+def quality_json(as_of, included, skipped, invalid, options: AnalyticsOptions) -> Column:
+    """What went into a snapshot: the venues taken, those left out with the reason, and the measures left out by venue.
+    included and skipped: arrays of venues; invalid: an array of ``venue:measure``. Empty maps are left out."""
+    reason = F.map_from_entries(F.transform(skipped, lambda v: F.struct(v, F.array(F.lit("degraded_raw_data")))))
+    venue = lambda x: F.regexp_extract(x, "^(.*):", 1)
+    measure = lambda x: F.substring_index(x, ":", -1)
+    order = F.array(*map(F.lit, ("price", "volume_24h", "quote_volume_24h", "open_interest")))
+    of = lambda v: F.filter(order, lambda m: F.exists(invalid, lambda x: (venue(x) == v) & (measure(x) == m)))
+    fields = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform(invalid, venue))), lambda v: F.struct(v, of(v))))
+    age = options.max_age
+    cutoff = F.timestamp_micros(F.unix_micros(as_of) - age)
+    return F.to_json(F.struct(F.lit(age // 1_000_000).alias("max_snapshot_age_seconds"), _utc(as_of).alias("snapshot_time"), _utc(cutoff).alias("stale_cutoff"), F.array_sort(included).alias("included_exchanges"), F.when(F.size(skipped) > 0, reason).alias("skipped_exchanges"), F.when(F.size(invalid) > 0, fields).alias("invalid_fields")))
+
+
+def aggregate_records(tables: Mapping[str, DataFrame], grid: DataFrame, options: AnalyticsOptions = AnalyticsOptions(), thresholds: FlagThresholds = FlagThresholds()) -> DataFrame:
+    """The whole aggregate of each symbol and instant with a healthy venue, as a table keeps it: the snapshot, what other
+    facts add to it, and JSON of venues, payloads, windows, quality and flags. tables: ticks, and any of those that
+    ``enrichment`` and ``window_metrics`` know."""
+    on = ["symbol_id", "as_of"]
+    snapshot = aggregate_snapshot(tables["ticks"], grid, options)
+    more = enrichment(tables, grid, options)
+    metrics = window_metrics(tables, grid, options)
+    book = more if "orderbook" in tables else None
+    flags = flags_json(anomaly_flags(metrics, book, thresholds), options)
+    out = snapshot.join(raw_by_exchange(tables["ticks"], grid, options), on, "left").join(more, on, "left").join(window_json(metrics, options), on, "left").join(flags, on, "left")
+    quality = quality_json(F.col("as_of"), F.col("available_exchanges"), F.col("skipped_exchanges"), F.col("invalid_fields"), options)
+    # payloads are JSON already and stay as they are; a venue's name becomes a JSON text
+    key = lambda venue: F.regexp_replace(F.to_json(F.array(venue)), r"^\[|\]$", "")
+    raw = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries("raw_by_exchange"), lambda e: F.concat(key(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+    out = out.withColumns({"quality_metadata": quality, "available_exchanges": F.to_json(F.array_sort("available_exchanges")), "raw_by_exchange": F.coalesce(raw, F.lit("{}")), "anomaly_flags": F.coalesce("anomaly_flags", F.lit("null"))})
+    return out.withColumnRenamed("as_of", "snapshot_time").drop("skipped_exchanges", "invalid_fields")

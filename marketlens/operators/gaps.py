@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +52,19 @@ def stale_latest(facts: DataFrame, data_type: str, expected_seconds: int, now, t
     return _as_gaps(stale.select("symbol_id", "exchange", "source_symbol", F.col(ts_col).cast("timestamp").alias("gap_start"), now.alias("gap_end")), data_type, None, expected_seconds, "stale_latest")
 
 
+#: Data types that are looked at for stale series, each with its time column.
+STALE_SOURCES = {"ticker": "snapshot_time", "market_snapshot": "snapshot_time", "open_interest": "snapshot_time", "funding": "snapshot_time", "aggregated_snapshot": "snapshot_time"}
+
+
+def stale_sources(tables: Mapping[str, DataFrame], expected_seconds: Mapping[str, int], now) -> DataFrame:
+    """Stale series of several tables, by data type."""
+    unknown = sorted(set(tables) - set(STALE_SOURCES))
+    if unknown:
+        raise ValueError(f"unsupported stale data types: {', '.join(unknown)}")
+    parts = [stale_latest(df, name, expected_seconds[name], now, STALE_SOURCES[name]) for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def coverage_slots(policies: DataFrame, markets: DataFrame, start, end) -> DataFrame:
     """Expected slots: each enabled policy (exchange, data_type, period, interval_seconds, priority) for each market of
     its venue, once an interval in ``[start, end)``, with an idempotency key."""

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.scalars import display_price, freshness
+from marketlens.functions.scalars import display_price, freshness, micros
 from marketlens.operators.asof import latest_by_key
-from marketlens.options import ListOptions
+from marketlens.options import DAY, MINUTE, SECOND, ListOptions
 
 #: Series: its time column, its period column, and the period taken when none is asked for.
 SERIES = {
@@ -25,6 +27,10 @@ SERIES = {
     "divergence": ("snapshot_time", None, None),
 }
 
+#: Widths of the time buckets (microseconds) that close in on a page, and how many rows may be sorted for one.
+WIDTHS = (DAY, MINUTE, SECOND, 1)
+FEW = 10_000
+
 #: Sortable columns of the overview.
 SORTS = {"symbol": "symbol", "rank": "rank", "volume": "total_volume_24h", "oi": "total_open_interest", "funding": "avg_funding_rate", "price": "display_price", "freshness": "snapshot_time"}
 
@@ -53,13 +59,72 @@ def page(df: DataFrame, order: list, options: ListOptions) -> DataFrame:
     return rows.join(F.broadcast(total), F.lit(True))  # one row
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a page by time lies: bounds of its times (microseconds, the upper one left out; None if it has no row with a
+    time), whether rows without a time are among them, rows of that part before the page, and rows of the whole list."""
+
+    low: int | None
+    high: int | None
+    untimed: bool
+    skip: int
+    total: int
+
+    def holds(self, df: DataFrame, time: str) -> Column:
+        c = F.col(time)
+        at = lambda us: F.timestamp_micros(F.lit(us)).cast(df.schema[time].dataType)
+        timed = F.lit(False) if self.low is None else (c >= at(self.low)) & (c < at(self.high))
+        return timed | c.isNull() if self.untimed else timed
+
+
+def find_page(df: DataFrame, time: str, descending: bool, offset: int, limit: int, few: int = FEW) -> Place:
+    """Close in on the rows ``offset`` to ``offset + limit`` by time: rows are counted by day, and what lies in the days of
+    the page by minute, second and microsecond, until few rows are left besides the page's own. A level reads only the
+    time column between the bounds of the level before, and its counts are at most the days of the table, or the page's
+    rows and two buckets' parts. Rows without a time come first, or last where newest comes first."""
+    place, total = Place(None, None, False, offset, 0), None
+    for width in WIDTHS:
+        part = df if total is None else df.where(place.holds(df, time))
+        counts = part.groupBy(F.floor(micros(time) / width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        order = F.col("b").desc_nulls_last() if descending else F.col("b").asc_nulls_first()
+        placed = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        hit = (F.col("before") < place.skip + limit) & (F.col("before") + F.col("n") > place.skip)
+        of = lambda c: F.when(hit, F.col(c))  # noqa: E731, B023
+        found = placed.agg(F.sum("n").alias("all"), F.sum(of("n")).alias("rows"), F.min(of("b")).alias("low"), F.max(of("b")).alias("high"), F.min(of("before")).alias("before"), F.count_if(hit & F.col("b").isNull()).alias("untimed")).first()
+        total = (found["all"] or 0) if total is None else total
+        if found["rows"] is None:  # past the end
+            return Place(None, None, False, 0, total)
+        timed = found["low"] is not None
+        place = Place(found["low"] * width if timed else None, (found["high"] + 1) * width if timed else None, found["untimed"] > 0, place.skip - found["before"], total)
+        if not timed or found["rows"] <= few + limit:
+            break
+    return place
+
+
+def page_by_time(df: DataFrame, time: str, ties: list, options: ListOptions, few: int = FEW) -> DataFrame:
+    """The page's rows by time, then ties, with total_count, however deep it lies: only the rows of its buckets are read
+    in whole and sorted."""
+    place = find_page(df, time, options.descending, options.offset, options.limit, few)
+    by = F.col(time).desc_nulls_last() if options.descending else F.col(time).asc_nulls_first()
+    rows = df.where(place.holds(df, time)).orderBy(by, *ties).offset(place.skip).limit(options.limit)
+    return rows.withColumn("total_count", F.lit(place.total).cast("long"))
+
+
+def _series(df: DataFrame, series: str, options: ListOptions) -> tuple[DataFrame, str, list[str]]:
+    time, period, default = SERIES[series]
+    return filtered(df, options, time, period, default), time, [c for c in ("symbol_id", "exchange", period, "event_key") if c and c in df.columns]
+
+
 def list_series(df: DataFrame, series: str, options: ListOptions = ListOptions()) -> DataFrame:
     """A page of a series by time, ties by venue."""
-    time, period, default = SERIES[series]
-    rows = filtered(df, options, time, period, default)
-    by = F.col(time).desc() if options.descending else F.col(time).asc()
-    ties = [c for c in ("symbol_id", "exchange", period, "event_key") if c and c in df.columns]
-    return page(rows, [by, *ties], options)
+    rows, time, ties = _series(df, series, options)
+    return page_by_time(rows, time, ties, options)
+
+
+def newest_rows(df: DataFrame, series: str, options: ListOptions = ListOptions()) -> DataFrame:
+    """The first page of a series, newest first, without its total: each task keeps a page's rows."""
+    rows, time, ties = _series(df, series, options)
+    return rows.orderBy(F.col(time).desc(), *ties).limit(options.limit)
 
 
 def overview(symbols: DataFrame, snapshots: DataFrame, as_of=None) -> DataFrame:
@@ -110,9 +175,9 @@ def resolve_symbols(symbols: DataFrame, lookups: DataFrame, column: str = "looku
 
 def symbol_detail(symbol_id: int, snapshots: DataFrame, series: dict[str, DataFrame], limit: int = 100) -> dict[str, DataFrame]:
     """The symbol's newest aggregate and the newest rows of each given series."""
-    options = ListOptions(symbol_id=symbol_id, limit=limit)
+    options = ListOptions(symbol_id=symbol_id, limit=min(limit, 100))
     out = {"latest": latest_by_key(snapshots.where(F.col("symbol_id") == symbol_id), ["symbol_id"], "snapshot_time")}
-    return out | {name: list_series(df, name, options) for name, df in series.items()}
+    return out | {name: newest_rows(df, name, options) for name, df in series.items()}
 
 
 def admin_list(df: DataFrame, time: str, options: ListOptions = ListOptions(), **equal) -> DataFrame:
@@ -122,4 +187,4 @@ def admin_list(df: DataFrame, time: str, options: ListOptions = ListOptions(), *
         if value is not None:
             rows = rows.where(F.col(column) == value)
     key = [c for c in ("id", "issue_key", "gap_key", "exchange") if c in df.columns][:1]
-    return page(rows, [F.col(time).desc(), *key], options)
+    return page_by_time(rows, time, key, replace(options, descending=True))

@@ -74,6 +74,29 @@ def divergence_rows(divergence: DataFrame) -> DataFrame:
     return divergence.withColumns({"metrics": F.col("metadata"), "quality_metadata": F.col("metadata")})
 
 
+def aggregate_rows(records: DataFrame) -> DataFrame:
+    """Aggregate records as their table keeps them: the weighted price under a second name, and the venues' payloads also
+    as raw data; JSON that is missing is an empty object."""
+    json = ("available_exchanges", "raw_by_exchange", "window_metrics", "metrics", "quality_metadata", "anomaly_flags")
+    out = records.withColumns({c: F.coalesce(c, F.lit("{}")) for c in json})
+    return out.withColumns({"weighted_price": F.col("price_weighted"), "raw_data": F.col("raw_by_exchange")})
+
+
+def upsert_aggregates(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Every column of a symbol's instant is the newest, also where that is null."""
+    return upsert(aggregate_rows(existing), aggregate_rows(incoming), ["symbol_id", "snapshot_time"])
+
+
+def volatility_rows(volatility: DataFrame) -> DataFrame:
+    """Volatility as its table keeps it: blank texts are null, and raw data that is missing is an empty object."""
+    out = volatility.withColumns({c: F.nullif(c, F.lit("")) for c in ("market_type", "source_symbol")})
+    return out.withColumn("raw_data", F.coalesce("raw_data", F.lit("{}")))
+
+
+def upsert_volatility(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    return upsert(volatility_rows(existing), volatility_rows(incoming), ["symbol_id", "exchange", "period", "snapshot_time"])
+
+
 def upsert_market_structure(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(market_structure_rows(existing), market_structure_rows(incoming), ["symbol_id", "exchange", "period", "snapshot_time"])
 

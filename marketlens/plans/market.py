@@ -57,6 +57,11 @@ def enrichment(spark: SparkSession, sf: str) -> DataFrame:
     return _naive(aggregates.enrichment(tables, market.grid(t), OPTIONS))
 
 
+def enrichment_book(spark: SparkSession, sf: str) -> DataFrame:
+    """Depth and imbalance of the venues' newest books."""
+    return _naive(aggregates.enrichment({"orderbook": market.books(spark, sf)}, market.grid(market.ticks(spark, sf)), OPTIONS))
+
+
 def point_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     t = market.ticks(spark, sf)
     return _naive(aggregates.point_aggregate(t, market.grid(t), OPTIONS))
@@ -208,6 +213,14 @@ def _policies(spark: SparkSession, sf: str) -> DataFrame:
     return market.ticks(spark, sf).select("exchange").distinct().withColumns({"data_type": F.lit("ticker"), "period": F.lit("1h"), "interval_seconds": F.lit(3600), "enabled": F.lit(True)})
 
 
+def stale_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Stale series of ticks, open interest, funding and aggregates, each against its own interval."""
+    t = market.ticks(spark, sf)
+    tables = {"ticker": t, "open_interest": derive.open_interest_from_ticks(t.where("exchange <> 'view'")), "funding": derive.funding_from_ticks(t), "aggregated_snapshot": _snapshots(spark, sf)}
+    seconds = {"ticker": 1800, "open_interest": 3600, "funding": 7200, "aggregated_snapshot": 300}
+    return _naive(gaps.stale_sources(tables, seconds, "2024-01-30 22:00:00").select("symbol_id", "exchange", "source_symbol", "data_type", "gap_start", "gap_end", "expected_interval_seconds", "detector"))
+
+
 def coverage_gaps(spark: SparkSession, sf: str) -> DataFrame:
     t = market.ticks(spark, sf)
     runs = gaps.missing_runs(_policies(spark, sf), t.select("symbol_id", "exchange").distinct(), t, "2024-01-02", "2024-01-29")
@@ -267,6 +280,12 @@ def series_page(spark: SparkSession, sf: str) -> DataFrame:
     return _naive(serve.list_series(market.ticks(spark, sf), "market", o).select("symbol_id", "exchange", "snapshot_time", "last_price", "total_count"))
 
 
+def deep_page(spark: SparkSession, sf: str) -> DataFrame:
+    """A page deep in the ticks of all symbols, found through days, minutes, seconds and microseconds."""
+    o = ListOptions(descending=False, limit=200, offset=700)
+    return _naive(serve.page_by_time(market.ticks(spark, sf), "snapshot_time", ["event_id"], o, few=0).select("event_id", "symbol_id", "snapshot_time", "total_count"))
+
+
 def kline_page(spark: SparkSession, sf: str) -> DataFrame:
     o = ListOptions(symbol_id=4, descending=False, limit=25)
     return _naive(serve.list_series(market.klines(spark, sf), "klines", o).select("symbol_id", "exchange", "open_time", "close_price", "total_count"))
@@ -416,10 +435,10 @@ def fresh_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    venue_asof_latest, latest_ticks, aggregate_snapshot, raw_by_exchange, enrichment, point_aggregate, market_point_change, window_metrics, anomaly_flags,
+    venue_asof_latest, latest_ticks, aggregate_snapshot, raw_by_exchange, enrichment, enrichment_book, point_aggregate, market_point_change, window_metrics, anomaly_flags,
     exchange_divergence, venue_candles, kline_rollup, weekly_bars, rollup_probe, market_structure, support_resistance, near_equal_levels, volatility, taker_fill, basis_fill,
     cumulative_delta, liquidation_buckets, liquidation_totals, large_liquidations, derived_open_interest, derived_funding, quarantine_valid, quarantine_issues,
-    kline_gaps, stale_latest, coverage_gaps, coverage_runs, backfill_slots, overview_page, top_symbols, symbol_resolve, watchlist_symbols, symbol_markets, series_page, kline_page,
+    kline_gaps, stale_latest, stale_sources, coverage_gaps, coverage_runs, backfill_slots, overview_page, top_symbols, symbol_resolve, watchlist_symbols, symbol_markets, series_page, deep_page, kline_page,
     expire_rows, eligible_count, rollup_expire, expired_partitions, health_summary, request_metrics, request_errors, status_counts, open_counts, upsert_klines,
     insert_absent, normalize_ticker, normalize_kline, orderbook_imbalance, venue_errors, health_filters, stream_latest, stream_buckets, stream_liquidations,
     stream_dedupe, stream_lag, fresh_or_fallback,

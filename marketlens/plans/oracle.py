@@ -118,6 +118,13 @@ LEFT JOIN (SELECT symbol_id, as_of, {_avg("basis_percent")} AS avg_basis_percent
 LEFT JOIN (SELECT g.symbol_id, g.as_of, {_sum("long_liquidation_usd")} AS l, {_sum("short_liquidation_usd")} AS sh, {_sum("total_liquidation_usd")} AS t FROM grid g JOIN liq ON liq.symbol_id = g.symbol_id
   AND bucket_time >= as_of - INTERVAL 5 MINUTE AND bucket_time <= as_of GROUP BY g.symbol_id, g.as_of) USING (symbol_id, as_of)"""
 )
+_BOOKS = "books AS (SELECT symbol_id, exchange, ts AS snapshot_time, (k - 50) * 3.0 AS imbalance, CASE WHEN k = 9 THEN -value ELSE value * 10 END AS bid, value * 7 AS ask FROM e)"
+_BOOK_SUMS = f"""book_sums AS (SELECT symbol_id, as_of, {_avg("imbalance")} AS avg_imbalance_percent, {_sum("greatest(bid, 0)")} AS total_bid_depth_usd, {_sum("ask")} AS total_ask_depth_usd
+  FROM ({_asof("books", "t.exchange, t.imbalance, t.bid, t.ask")}) GROUP BY symbol_id, as_of)"""
+SQL["enrichment_book"] = (
+    _with(_TICKS, _GRID, _BOOKS, _BOOK_SUMS)
+    + "SELECT symbol_id, as_of, avg_imbalance_percent, coalesce(total_bid_depth_usd, 0.0) AS total_bid_depth_usd, coalesce(total_ask_depth_usd, 0.0) AS total_ask_depth_usd FROM (SELECT DISTINCT * FROM grid) LEFT JOIN book_sums USING (symbol_id, as_of)"
+)
 SQL["point_aggregate"] = _with(_TICKS, _GRID, _latest(), _POINT) + "SELECT * FROM point"
 SQL["market_point_change"] = (
     _with(_TICKS, _GRID, _ENDS, _latest("instants"), _POINT)
@@ -224,6 +231,11 @@ SQL["kline_gaps"] = (
   sha1(symbol_id || '|' || exchange || '|kline|5m|' || strftime(gap_start, '%Y-%m-%dT%H:%M:%SZ') || '|' || strftime(gap_end, '%Y-%m-%dT%H:%M:%SZ')) AS gap_key FROM gaps"""
 )
 SQL["stale_latest"] = _with(_TICKS) + "SELECT symbol_id, exchange, max(snapshot_time) AS gap_start, TIMESTAMP '2024-01-30 22:00:00' AS gap_end, 'stale_latest' AS detector FROM ticks GROUP BY symbol_id, exchange HAVING max(snapshot_time) < TIMESTAMP '2024-01-30 21:00:00'"
+_STALE = """SELECT symbol_id, exchange, source_symbol, '{0}' AS data_type, max(snapshot_time) AS gap_start, TIMESTAMP '2024-01-30 22:00:00' AS gap_end, {1} AS expected_interval_seconds, 'stale_latest' AS detector
+  FROM {2} GROUP BY symbol_id, exchange, source_symbol HAVING max(snapshot_time) < TIMESTAMP '2024-01-30 22:00:00' - INTERVAL 1 SECOND * {1} * 2"""
+SQL["stale_sources"] = _with(_TICKS, _GRID, _latest(), _AGG) + " UNION ALL ".join(
+    [_STALE.format("ticker", 1800, "ticks"), _STALE.format("open_interest", 3600, "(SELECT * FROM ticks WHERE exchange <> 'view')"), _STALE.format("funding", 7200, "ticks"), _STALE.format("aggregated_snapshot", 300, "(SELECT symbol_id, 'aggregate' AS exchange, CAST(NULL AS VARCHAR) AS source_symbol, as_of AS snapshot_time FROM agg)")]
+)
 SQL["coverage_gaps"] = (
     _with(_TICKS)
     + """, slots AS (SELECT symbol_id, exchange, unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-28 23:00:00', INTERVAL 1 HOUR)) AS slot_time FROM (SELECT DISTINCT symbol_id, exchange FROM ticks))
@@ -269,6 +281,7 @@ SQL["series_page"] = (
     + """, f AS (SELECT * FROM ticks WHERE symbol_id = 3 AND exchange = 'view' AND snapshot_time BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25')
 SELECT symbol_id, exchange, snapshot_time, last_price, (SELECT count(*) FROM f) AS total_count FROM f ORDER BY snapshot_time DESC LIMIT 20 OFFSET 10"""
 )
+SQL["deep_page"] = _with(_TICKS) + "SELECT event_id, symbol_id, snapshot_time, (SELECT count(*) FROM ticks) AS total_count FROM ticks ORDER BY snapshot_time, event_id LIMIT 200 OFFSET 700"
 SQL["kline_page"] = _with(_EVENTS, _KLINES) + "SELECT symbol_id, exchange, open_time, close_price, (SELECT count(*) FROM klines WHERE symbol_id = 4) AS total_count FROM klines WHERE symbol_id = 4 ORDER BY open_time, symbol_id, exchange LIMIT 25"
 SQL["expire_rows"] = _with(_TICKS) + "SELECT event_id, symbol_id, snapshot_time FROM ticks WHERE snapshot_time < TIMESTAMP '2024-01-15' ORDER BY snapshot_time, event_id LIMIT 2500"
 SQL["eligible_count"] = _with(_EVENTS, _KLINES) + "SELECT count(*) AS eligible_rows FROM klines WHERE open_time < TIMESTAMP '2024-01-15'"

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalars as fn
-from marketlens.operators import candles, derive, serve, sinks, validate
-from marketlens.options import ListOptions, ValidationOptions
-from marketlens.plans.market import NOW, WINDOWS, _naive, _snapshots
+from marketlens.operators import aggregates, candles, derive, serve, sinks, validate
+from marketlens.options import FlagThresholds, ListOptions, ValidationOptions
+from marketlens.plans.market import NOW, OPTIONS, WINDOWS, _naive, _snapshots
 from marketlens.sources import market, payloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,37 @@ def upsert_liquidations(spark: SparkSession, sf: str) -> DataFrame:
     return _naive(sinks.upsert_liquidations(e, again).select("event_key", "symbol_id", "side", "event_time", F.round("price", 4).alias("price"), F.round("usd_value", 4).alias("usd_value")))
 
 
+def _aggregate_records(spark: SparkSession, sf: str) -> DataFrame:
+    t = market.ticks(spark, sf)
+    tables = {"ticks": t, "funding": derive.funding_from_ticks(t), "taker_flow": derive.fill_taker_flow(market.taker_flows(spark, sf)), "basis": market.basis(spark, sf), "orderbook": market.books(spark, sf)}
+    tables |= {"cvd": derive.cumulative_delta(market.taker_flows(spark, sf), scale=6), "liquidations": derive.liquidation_buckets(market.liquidations(spark, sf), scale=6).withColumn("raw_data", F.lit("{}"))}
+    return aggregates.aggregate_records(tables, market.grid(t, "6 hours"), OPTIONS, FlagThresholds(liquidation_usd=100_000.0, basis_percent=0.5, funding_rate=0.004))
+
+
+def upsert_aggregates(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole aggregates with their JSON, of which every second symbol's come again with no weighted price and no flags;
+    what the JSON holds is read back."""
+    r = _aggregate_records(spark, sf)
+    again = r.where("symbol_id % 2 = 0").withColumns({"price_weighted": F.lit(None).cast("double"), "anomaly_flags": F.lit(None).cast("string")})
+    out = sinks.upsert_aggregates(r, again)
+    flags = F.from_json("anomaly_flags", "array<struct<name string, window string, severity string, value double>>")
+    listed = F.array_join(F.transform(flags, lambda f: F.concat_ws("@", f["name"], f["window"])), ",")
+    read = lambda c, path, to="double": F.get_json_object(c, path).cast(to)
+    return _naive(out.select(
+        "symbol_id", "snapshot_time", "exchange_count", "price_avg", "price_weighted", "weighted_price", "total_cvd", "avg_imbalance_percent", "total_bid_depth_usd", "available_exchanges", "raw_by_exchange", "raw_data", "quality_metadata", F.coalesce(listed, F.lit("")).alias("flags"),
+        read("window_metrics", "$[0].window", "string").alias("first_window"), read("window_metrics", "$[0].start_time", "string").alias("first_start"), read("window_metrics", "$[2].liquidation_sum_usd").alias("liquidations_24h"), read("metrics", "$.windows[3].basis_avg").alias("basis_7d"), read("metrics", "$.windows[1].quality.current_exchange_count", "long").alias("venues_now"),
+    ))
+
+
+def upsert_volatility(spark: SparkSession, sf: str) -> DataFrame:
+    """Volatility snapshots with blank labels, of which every second symbol's come again without a range."""
+    t = market.ticks(spark, sf)
+    v = candles.volatility(candles.venue_candles(market.klines(spark, sf), scale=6), market.grid(t, "6 hours"), WINDOWS, 6)
+    label = F.when(F.col("symbol_id") % 3 == 0, "").otherwise("perp")
+    v = v.select("symbol_id", F.lit("aggregate").alias("exchange"), label.alias("market_type"), F.lit("").alias("source_symbol"), "period", F.col("as_of").alias("snapshot_time"), "atr", "close_price", F.round("realized_volatility", 6).alias("realized_volatility"), "range_percent_24h", F.when(F.col("candles") > 0, F.concat(F.lit('{"candles": '), F.col("candles").cast("string"), F.lit("}"))).alias("raw_data"))
+    return _naive(sinks.upsert_volatility(v, v.where("symbol_id % 2 = 0").withColumn("range_percent_24h", F.lit(None).cast("double"))))
+
+
 def upsert_market_structure(spark: SparkSession, sf: str) -> DataFrame:
     """Structure snapshots sent again as ranging for every second symbol, with the columns that the table mirrors."""
     t = market.ticks(spark, sf)
@@ -154,7 +185,16 @@ def _oi_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return market.ticks(spark, sf).withColumn("period", F.when(F.col("k") % 2 == 0, "5m").otherwise("1h"))
+    return payloads.long_short_ratios(market.raw_series(spark, sf))
+
+
+def _books(spark: SparkSession, sf: str) -> DataFrame:
+    return payloads.orderbook_imbalances(market.raw_payloads(spark, sf))
+
+
+def _divergence(spark: SparkSession, sf: str) -> DataFrame:
+    t = market.ticks(spark, sf)
+    return aggregates.exchange_divergence(t, market.grid(t), OPTIONS).withColumnRenamed("as_of", "snapshot_time").withColumn("exchange", F.lit("all"))
 
 
 def _cvd_5m(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,22 +205,30 @@ SERIES_PAGES = (
     _series("open_interest", lambda s, d: derive.open_interest_from_ticks(market.ticks(s, d)), "open_interest", ListOptions(symbol_id=1, limit=30)),
     _series("open_interest_history", _oi_history, "open_interest", ListOptions(symbol_id=2, period="1h", limit=30, descending=False)),
     _series("funding", lambda s, d: derive.funding_from_ticks(market.ticks(s, d)), "funding_rate", ListOptions(exchange=" VIEW ", limit=40, offset=5)),
-    _series("long_short_ratio", _ratios, "last_price", ListOptions(symbol_id=5, limit=30)),
+    _series("long_short_ratio", _ratios, "long_short_ratio", ListOptions(symbol_id=5, limit=30)),
     _series("taker_flow", market.taker_flows, "taker_buy_volume", ListOptions(period="1h", start="2024-01-10 00:00:00", end="2024-01-12 00:00:00", limit=100)),
     _series("cvd", _cvd_5m, "cvd_value", ListOptions(symbol_id=7, limit=30)),
     _series("liquidations", lambda s, d: derive.liquidation_usd(market.liquidations(s, d)), "usd_value", ListOptions(symbol_id=6, exchange="error", limit=30)),
     _series("basis", market.basis, "basis_percent", ListOptions(symbol_id=8, limit=30)),
-    _series("orderbook", market.ticks, "volume_24h", ListOptions(symbol_id=9, start="2024-01-20 00:00:00", limit=30)),
-    _series("divergence", market.ticks, "quote_volume_24h", ListOptions(symbol_id=3, end="2024-01-20 00:00:00", limit=30, offset=100)),
+    _series("orderbook", _books, "imbalance_ratio", ListOptions(symbol_id=9, start="2024-01-20 00:00:00", limit=30)),
+    _series("divergence", _divergence, "price_spread_percent", ListOptions(symbol_id=3, end="2024-01-20 00:00:00", limit=30, offset=100)),
 )
 
 
 def symbol_detail(spark: SparkSession, sf: str) -> DataFrame:
-    """A symbol's newest aggregate and the newest rows of two series, one under the other."""
-    series = {"market": market.ticks(spark, sf), "klines": market.klines(spark, sf)}
-    parts = serve.symbol_detail(4, _snapshots(spark, sf), series, limit=10)
-    row = lambda name, time, value: parts[name].select(F.lit(name).alias("part"), F.col(time).alias("moment"), F.round(value, 6).alias("value"))
-    return _naive(row("latest", "snapshot_time", "price_avg").unionByName(row("market", "snapshot_time", "last_price")).unionByName(row("klines", "open_time", "close_price")))
+    """A symbol's newest aggregate and the newest rows of each of its series, one under the other."""
+    t = market.ticks(spark, sf)
+    tables = {
+        "klines": (market.klines(spark, sf), "close_price"), "open_interest": (derive.open_interest_from_ticks(t), "open_interest"), "funding": (derive.funding_from_ticks(t), "funding_rate"), "long_short_ratio": (_ratios(spark, sf), "long_short_ratio"),
+        "taker_flow": (market.taker_flows(spark, sf).withColumn("period", F.lit("5m")), "taker_buy_volume"), "cvd": (_cvd_5m(spark, sf), "cvd_value"), "liquidations": (derive.liquidation_usd(market.liquidations(spark, sf)), "usd_value"), "basis": (market.basis(spark, sf), "basis_percent"),
+        "orderbook": (_books(spark, sf), "imbalance_ratio"), "divergence": (_divergence(spark, sf), "price_spread_percent"), "market": (t, "last_price"),
+    }
+    parts = serve.symbol_detail(4, _snapshots(spark, sf), {name: df for name, (df, _) in tables.items()}, limit=10)
+    row = lambda name, time, value: parts[name].select(F.lit(name).alias("part"), F.col(time).alias("moment"), F.round(value, 4).alias("value"))
+    out = row("latest", "snapshot_time", "price_avg")
+    for name, (_, value) in tables.items():
+        out = out.unionByName(row(name, serve.SERIES[name][0], value))
+    return _naive(out)
 
 
 def admin_page(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,6 +336,6 @@ def bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: tuple[Query, ...] = (
-    normalize_open_interest, normalize_long_short, normalize_taker_flow, normalize_basis, normalize_liquidations, *QUARANTINES, upsert_rows, upsert_liquidations, upsert_market_structure, upsert_divergence,
+    normalize_open_interest, normalize_long_short, normalize_taker_flow, normalize_basis, normalize_liquidations, *QUARANTINES, upsert_rows, upsert_liquidations, upsert_aggregates, upsert_volatility, upsert_market_structure, upsert_divergence,
     upsert_issues, upsert_gaps, upsert_health, liquidation_keys, *SERIES_PAGES, symbol_detail, admin_page, stream_no_future, stream_running_delta, bucket_volume, stream_expiring, stream_corrected_delta, stream_upsert, upsert_partitions, audited_payloads,
 )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from marketlens.plans.oracle import _AGG, _CANDLES, _EVENTS, _GRID, _GRID6, _KLINES, _TICKS, _latest, _sum, _with
+from marketlens.plans.oracle import SQL as MARKET
+from marketlens.plans.oracle import _AGG, _BASIS as _BASES
+from marketlens.plans.oracle import _BOOK_SUMS, _BOOKS, _CANDLES, _CVD, _ENDS, _EVENTS, _FLOWS, _GRID, _GRID6, _KLINES, _LIQ, _METRICS, _TICKS, _asof, _latest, _sum, _with
 
 SQL: dict[str, str] = {}
 
@@ -86,6 +88,20 @@ SQL["upsert_rows"] = _with(_TICKS) + """SELECT symbol_id, exchange, h AS hour, C
   FROM (SELECT symbol_id, exchange, date_trunc('hour', snapshot_time) AS h, max(event_id) AS m, max(last_price) AS p FROM ticks GROUP BY ALL)"""
 SQL["upsert_liquidations"] = _with(_EVENTS) + """SELECT CAST(event_id AS VARCHAR) AS event_key, symbol_id, CASE exchange WHEN 'purchase' THEN 'long' WHEN 'error' THEN 'short' ELSE 'unknown' END AS side, ts AS event_time,
   round(CASE WHEN event_id % 2 = 0 THEN value * 2 ELSE value END, 4) AS price, round(CASE WHEN event_id % 2 = 0 THEN 5.0 ELSE value * (k + 1) END, 4) AS usd_value FROM e"""
+SQL["upsert_aggregates"] = _with(_TICKS, _GRID6, _latest(), _AGG, _FLOWS, _CVD, _LIQ, _BASES, _BOOKS, _BOOK_SUMS, _ENDS, _METRICS) + f""", raws AS (SELECT symbol_id, as_of, '{{' || string_agg('"' || exchange || '":{{"k": ' || k || ', "status": "ok"}}', ',' ORDER BY exchange) || '}}' AS raw FROM latest WHERE NOT failed GROUP BY symbol_id, as_of),
+sums AS (SELECT symbol_id, as_of, {_sum("cvd_value")} AS total_cvd FROM ({_asof("cvd", "t.exchange, t.cvd_value")}) GROUP BY symbol_id, as_of),
+hits AS (SELECT symbol_id, as_of, unnest([CASE WHEN liquidation_sum_usd >= 100000 THEN 'large_liquidation_cluster' END, CASE WHEN abs(basis_avg) >= 0.5 THEN 'elevated_basis' END, CASE WHEN funding_max >= 0.004 THEN 'positive_funding_extreme' END, CASE WHEN funding_min <= -0.004 THEN 'negative_funding_extreme' END]) || '@' || "window" AS flag,
+  unnest([1, 2, 3, 4]) + 10 * list_position(['1h', '4h', '24h', '7d'], "window") AS place FROM metrics UNION ALL SELECT symbol_id, as_of, 'orderbook_imbalance', 99 FROM book_sums WHERE abs(avg_imbalance_percent) >= 50),
+flags AS (SELECT symbol_id, as_of, string_agg(flag, ',' ORDER BY place) AS flags FROM hits GROUP BY ALL),
+day AS (SELECT symbol_id, as_of, liquidation_sum_usd AS liquidations_24h FROM metrics WHERE "window" = '24h'), week AS (SELECT symbol_id, as_of, basis_avg AS basis_7d FROM metrics WHERE "window" = '7d')
+SELECT symbol_id, as_of AS snapshot_time, exchange_count, price_avg, CASE WHEN symbol_id % 2 <> 0 THEN price_weighted END AS price_weighted, CASE WHEN symbol_id % 2 <> 0 THEN price_weighted END AS weighted_price, coalesce(total_cvd, 0.0) AS total_cvd, avg_imbalance_percent,
+  coalesce(total_bid_depth_usd, 0.0) AS total_bid_depth_usd, '["' || replace(available_exchanges, ',', '","') || '"]' AS available_exchanges, raw AS raw_by_exchange, raw AS raw_data,
+  '{{"max_snapshot_age_seconds":86400,"snapshot_time":"' || strftime(as_of, '%Y-%m-%dT%H:%M:%SZ') || '","stale_cutoff":"' || strftime(as_of - INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') || '","included_exchanges":["' || replace(available_exchanges, ',', '","') || '"]'
+    || CASE WHEN skipped_exchanges = '' THEN '' ELSE ',"skipped_exchanges":{{"' || replace(skipped_exchanges, ',', '":["degraded_raw_data"],"') || '":["degraded_raw_data"]}}' END || '}}' AS quality_metadata,
+  CASE WHEN symbol_id % 2 = 0 THEN '' ELSE coalesce(flags, '') END AS flags, '1h' AS first_window, strftime(as_of - INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') AS first_start, liquidations_24h, basis_7d, exchange_count AS venues_now
+  FROM agg JOIN raws USING (symbol_id, as_of) JOIN day USING (symbol_id, as_of) JOIN week USING (symbol_id, as_of) LEFT JOIN sums USING (symbol_id, as_of) LEFT JOIN book_sums USING (symbol_id, as_of) LEFT JOIN flags USING (symbol_id, as_of)"""
+SQL["upsert_volatility"] = f"""SELECT symbol_id, 'aggregate' AS exchange, CASE WHEN symbol_id % 3 <> 0 THEN 'perp' END AS market_type, CAST(NULL AS VARCHAR) AS source_symbol, period, as_of AS snapshot_time, atr, close_price, realized_volatility,
+  CASE WHEN symbol_id % 2 <> 0 THEN range_percent_24h END AS range_percent_24h, CASE WHEN candles > 0 THEN '{{"candles": ' || candles || '}}' ELSE '{{}}' END AS raw_data FROM ({MARKET["volatility"]})"""
 SQL["upsert_market_structure"] = _with(_TICKS, _GRID6, _KLINES, _CANDLES) + """, s AS (SELECT g.symbol_id, g.as_of, count(c.close) AS n, arg_min(c.close, c.open_time) AS fc, arg_max(c.close, c.open_time) AS lc, max(c.high) AS high, min(c.low) AS low
   FROM grid g LEFT JOIN candles c ON c.symbol_id = g.symbol_id AND c.open_time >= g.as_of - INTERVAL 24 HOUR AND c.open_time <= g.as_of GROUP BY ALL),
 m AS (SELECT *, coalesce((lc - fc) / nullif(fc, 0) * 100, 0.0) AS change, coalesce((high - low) / nullif(lc, 0) * 100, 0.0) AS wide FROM s),
@@ -120,16 +136,24 @@ _T = "SELECT symbol_id, exchange, snapshot_time AS moment, {} AS value, k FROM t
 SQL["open_interest_page"] = _page(_T.format("open_interest"), "symbol_id = 1", _NEWEST, 30)
 SQL["open_interest_history_page"] = _page(_T.format("open_interest"), "symbol_id = 2 AND exchange = 'view'", "moment, symbol_id, exchange", 30)
 SQL["funding_page"] = _page(_T.format("funding_rate"), "exchange = 'view'", _NEWEST, 40, 5)
-SQL["long_short_ratio_page"] = _page(_T.format("last_price"), "symbol_id = 5 AND k % 2 = 0", _NEWEST, 30)
+_RATIO = "SELECT symbol_id, x AS exchange, moment, CASE WHEN x = 'binance' THEN 1.5 ELSE value / nullif(k, 0) END AS value FROM p WHERE x <> 'mexc'"
+_BOOK = "SELECT symbol_id, x AS exchange, ts AS moment, (value * k + value - (value + 1) * 2) / (value * k + value + (value + 1) * 2) AS value FROM p"
+SQL["long_short_ratio_page"] = _page(_RATIO, "symbol_id = 5", _NEWEST, 30, 0, _P)
 SQL["taker_flow_page"] = _page(_T.format("CASE WHEN exchange IN ('purchase', 'signup') THEN last_price ELSE 0.0 END"), "moment BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'", _NEWEST, 100)
-SQL["cvd_page"] = _page("SELECT symbol_id, exchange, snapshot_time AS moment, CAST(sum(CAST(CASE WHEN exchange IN ('purchase', 'signup') THEN last_price ELSE -last_price END AS DECIMAL(28,6))) OVER (PARTITION BY symbol_id, exchange ORDER BY snapshot_time ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value FROM ticks", "symbol_id = 7", _NEWEST, 30)
+_CVD_ROWS = "SELECT symbol_id, exchange, snapshot_time AS moment, CAST(sum(CAST(CASE WHEN exchange IN ('purchase', 'signup') THEN last_price ELSE -last_price END AS DECIMAL(28,6))) OVER (PARTITION BY symbol_id, exchange ORDER BY snapshot_time ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS value FROM ticks"
+SQL["cvd_page"] = _page(_CVD_ROWS, "symbol_id = 7", _NEWEST, 30)
 SQL["liquidations_page"] = _page(_T.format("last_price * (k + 1)"), "symbol_id = 6 AND exchange = 'error'", _NEWEST, 30)
 SQL["basis_page"] = _page(_T.format("(k - 50) / 20.0"), "symbol_id = 8", _NEWEST, 30)
-SQL["orderbook_page"] = _page(_T.format("volume_24h"), "symbol_id = 9 AND moment >= TIMESTAMP '2024-01-20'", _NEWEST, 30)
-SQL["divergence_page"] = _page(_T.format("quote_volume_24h"), "symbol_id = 3 AND moment <= TIMESTAMP '2024-01-20'", _NEWEST, 30, 100)
-SQL["symbol_detail"] = _with(_TICKS, _GRID, _latest(), _AGG, _KLINES) + """SELECT * FROM (SELECT 'latest' AS part, as_of AS moment, round(price_avg, 6) AS value FROM agg WHERE symbol_id = 4 ORDER BY as_of DESC LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 'market', snapshot_time, round(last_price, 6) FROM ticks WHERE symbol_id = 4 ORDER BY snapshot_time DESC, exchange LIMIT 10)
-UNION ALL SELECT * FROM (SELECT 'klines', open_time, round(close_price, 6) FROM klines WHERE symbol_id = 4 ORDER BY open_time DESC, exchange LIMIT 10)"""
+SQL["orderbook_page"] = _page(_BOOK, "symbol_id = 9 AND moment >= TIMESTAMP '2024-01-20'", _NEWEST, 30, 0, _P)
+_DIVERGENCE = f"SELECT symbol_id, 'all' AS exchange, as_of AS moment, price_spread_percent AS value FROM ({MARKET['exchange_divergence']})"
+SQL["divergence_page"] = _page(_DIVERGENCE, "symbol_id = 3 AND moment <= TIMESTAMP '2024-01-20'", _NEWEST, 30, 100)
+_DETAIL = {
+    "klines": "SELECT symbol_id, exchange, open_time AS moment, close_price AS value FROM klines", "open_interest": _T.format("open_interest"), "funding": _T.format("funding_rate"), "long_short_ratio": _RATIO, "taker_flow": _T.format("CASE WHEN exchange IN ('purchase', 'signup') THEN last_price ELSE 0.0 END"),
+    "cvd": _CVD_ROWS, "liquidations": _T.format("last_price * (k + 1)"), "basis": _T.format("(k - 50) / 20.0"), "orderbook": _BOOK, "divergence": _DIVERGENCE, "market": _T.format("last_price"),
+}
+SQL["symbol_detail"] = _with(_TICKS, _GRID, _latest(), _AGG, _KLINES, _P) + " UNION ALL ".join(
+    ["SELECT * FROM (SELECT 'latest' AS part, as_of AS moment, round(price_avg, 4) AS value FROM agg WHERE symbol_id = 4 ORDER BY as_of DESC LIMIT 1)", *[f"SELECT * FROM (SELECT '{name}', moment, round(value, 4) FROM ({rows}) WHERE symbol_id = 4 ORDER BY moment DESC, exchange LIMIT 10)" for name, rows in _DETAIL.items()]]
+)
 SQL["admin_page"] = """WITH f AS (SELECT o_orderkey AS id, o_custkey AS symbol_id, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' AND o_orderdate <= TIMESTAMP '1997-06-30')
 SELECT *, (SELECT count(*) FROM f) AS total_count FROM f ORDER BY created_at DESC, id LIMIT 25 OFFSET 10"""
 

@@ -79,6 +79,12 @@ def basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("symbol_id", "exchange", _source_symbol(), F.col("ts").alias("snapshot_time"), (F.col("value") + F.col("k")).alias("futures_price"), F.col("value").alias("index_price"), none.alias("basis"), none.alias("basis_value"), ((F.col("k") - 50) / F.lit(20.0)).alias("basis_percent"), _raw())
 
 
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order book snapshots, one an event; a ninth k has a negative bid depth."""
+    k, value = F.col("k"), F.col("value")
+    return _events(spark, sf_dir).select("symbol_id", "exchange", _source_symbol(), F.col("ts").alias("snapshot_time"), F.lit(10).alias("depth_levels"), ((k - 50) * F.lit(3.0)).alias("imbalance_percent"), F.when(k == 9, -value).otherwise(value * 10).alias("bid_depth_usd"), (value * 7).alias("ask_depth_usd"), _raw())
+
+
 def klines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-minute candles of the events of each symbol and venue; a venue's open and close are its first and last event."""
     e = _events(spark, sf_dir)
