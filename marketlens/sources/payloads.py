@@ -123,9 +123,17 @@ def audited(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*identity).agg(F.min("source_symbol").alias("source_symbol"), F.min("payload").alias("payload"), F.min("capture_reason").alias("capture_reason"), F.count(F.lit(1)).alias("captures")).drop("_symbol")
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns (new, or in the place of old ones) that are worked out once a row: as the one row of a generator
+    they are not pasted into every expression above that reads them."""
+    kept = [c for c in df.columns if c not in columns]
+    out = df.select(*kept, F.inline(F.array(F.struct(*[x.alias(name) for name, x in columns.items()]))))
+    return out.select(*df.columns, *[name for name in columns if name not in df.columns])
+
+
 def _named(raw: DataFrame) -> DataFrame:
     """Venue names trimmed and in lower case, before anything is compared with them."""
-    return raw.withColumn("exchange", F.lower(F.trim("exchange")))
+    return _once(raw, exchange=F.lower(F.trim("exchange")))
 
 
 def rejected(raw: DataFrame) -> DataFrame:
@@ -141,7 +149,7 @@ def _one(raw: DataFrame, rows: dict, *types: str) -> DataFrame:
     """Payloads of one row each; a list or a single object both serve."""
     plain = {v: p.removesuffix("[0]") for v, p in rows.items()}
     first = F.coalesce(_json("body", rows), F.when(~F.coalesce(_json("body", plain), F.lit("[")).startswith("["), _json("body", plain)))
-    return _accepted(raw, *types).withColumn("row", first).where("row is not null")
+    return _once(_accepted(raw, *types), row=first).where("row is not null")
 
 
 def _many(raw: DataFrame, rows: dict, *types: str) -> DataFrame:
