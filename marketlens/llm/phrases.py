@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ SCALE = 2_000_000
 #: Entries of a container that bursts, and of a task that spills; bits of a word's id in a task.
 BURST, BUDGET, ID_BITS = 1 << 12, 1 << 20, 21
 _BLOCK = 1 << 21
+#: Phrases that a task gathers and sorts before they go to the trie together.
+GATHER = 1 << 20
 _RANK_SLICES = 64
 
 _U = np.uint64
@@ -65,38 +68,40 @@ class PhraseTrie:
     def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
         """Count phrases: rows of ids, in order, each once."""
         if self.words == 1:
-            self._fill(self.root, ids[:, 0], counts)
+            self._fill(self.root, ids[:, 0].tolist(), counts.tolist())
             return
         rest = ids[:, 1].astype(np.int64)
         for k in range(2, self.words):
             rest = rest << ID_BITS | ids[:, k]
         self._branch(self.root, ids[:, 0], rest, counts, self.words - 1)
 
-    def _fill(self, container: dict, keys: np.ndarray, counts: np.ndarray) -> None:
+    def _fill(self, container: dict, keys: list, counts: list) -> None:
         before, get = len(container), container.get
-        for k, n in zip(keys.tolist(), counts.tolist(), strict=True):
-            container[k] = get(k, 0) + n
+        if before:
+            container.update([(k, get(k, 0) + n) for k, n in zip(keys, counts, strict=True)])
+        else:
+            container.update(zip(keys, counts, strict=True))
         self.size += len(container) - before
 
     def _branch(self, node: dict, heads: np.ndarray, rest: np.ndarray, counts: np.ndarray, left: int) -> None:
         """``node`` leads from a word to a container of the ``left`` words after it, or to (container's children,)."""
-        cuts = np.flatnonzero(np.diff(heads)) + 1
-        lows = np.concatenate([[0], cuts])
-        for head, lo, hi in zip(heads[lows].tolist(), lows.tolist(), [*cuts.tolist(), heads.size], strict=True):
+        lows = np.concatenate([[0], np.flatnonzero(np.diff(heads)) + 1])
+        keys, values = rest.tolist(), counts.tolist()
+        for head, lo, hi in zip(heads[lows].tolist(), lows.tolist(), [*lows[1:].tolist(), heads.size], strict=True):
             below = node.get(head)
             if below is None:
                 below = node[head] = {}
             if isinstance(below, tuple):
                 self._deeper(below[0], rest[lo:hi], counts[lo:hi], left)
                 continue
-            self._fill(below, rest[lo:hi], counts[lo:hi])
+            self._fill(below, keys[lo:hi], values[lo:hi])
             if left > 1 and len(below) > self.burst:
-                keys = np.fromiter(below, np.int64, len(below))
-                values = np.fromiter(below.values(), np.int64, len(below))
-                order = np.argsort(keys)
+                burst = np.fromiter(below, np.int64, len(below))
+                sums = np.fromiter(below.values(), np.int64, len(below))
+                order = np.argsort(burst)
                 node[head] = ({},)
                 self.size -= len(below)
-                self._deeper(node[head][0], keys[order], values[order], left)
+                self._deeper(node[head][0], burst[order], sums[order], left)
 
     def _deeper(self, node: dict, rest: np.ndarray, counts: np.ndarray, left: int) -> None:
         shift = ID_BITS * (left - 1)
@@ -104,37 +109,63 @@ class PhraseTrie:
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Take out subtrees, the largest first, until at most ``keep`` entries stay: ids and counts."""
-        ids, counts = [], []
+        #: by the number of words before them: those words, and the containers
+        stems, containers = [[] for _ in range(self.words)], [[] for _ in range(self.words)]
 
-        def take(below, stem: list[int], left: int) -> None:
+        def take(below, stem: tuple[int, ...]) -> None:
             if isinstance(below, tuple):
                 for head, x in below[0].items():
-                    take(x, [*stem, head], left - 1)
+                    take(x, (*stem, head))
                 return
-            rest = np.fromiter(below, np.int64, len(below))
-            columns = [np.full(rest.size, x, np.int64) for x in stem]
-            columns += [rest >> (ID_BITS * k) & ((1 << ID_BITS) - 1) for k in reversed(range(left))]
-            ids.append(np.stack(columns, axis=1))
-            counts.append(np.fromiter(below.values(), np.int64, len(below)))
+            stems[len(stem)].append(stem)
+            containers[len(stem)].append(below)
 
         def entries(below) -> int:
             return sum(map(entries, below[0].values())) if isinstance(below, tuple) else len(below)
 
         if self.words == 1:
             if self.root:
-                take(self.root, [], 1)
+                take(self.root, ())
             self.root, self.size = {}, 0
         else:
             for head, n in sorted(((h, entries(x)) for h, x in self.root.items()), key=lambda x: -x[1]):
                 if self.size <= keep:
                     break
-                take(self.root.pop(head), [head], self.words - 1)
+                take(self.root.pop(head), (head,))
                 self.size -= n
-        if not ids:
-            return np.zeros((0, self.words), np.int64), np.zeros(0, np.int64)
+        ids, counts = [np.zeros((0, self.words), np.int64)], [np.zeros(0, np.int64)]
+        for depth, found in enumerate(containers):
+            if not found:
+                continue
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            rest = np.fromiter(chain.from_iterable(found), np.int64, sizes.sum())
+            part = np.empty((rest.size, self.words), np.int64)
+            part[:, :depth] = np.repeat(np.array(stems[depth], np.int64).reshape(len(found), depth), sizes, axis=0)
+            for k in range(depth, self.words):
+                part[:, k] = rest >> (ID_BITS * (self.words - 1 - k)) & ((1 << ID_BITS) - 1)
+            ids.append(part)
+            counts.append(np.fromiter(chain.from_iterable(x.values() for x in found), np.int64, rest.size))
         return np.concatenate(ids), np.concatenate(counts)
 
 
+def _distinct(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of ids, in order, and how often each is there."""
+    words = ids.shape[1]
+    if words <= 63 // ID_BITS:
+        packed = ids[:, 0]
+        for k in range(1, words):
+            packed = packed << ID_BITS | ids[:, k]
+        packed = np.sort(packed)
+        firsts = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]]))
+        one = packed[firsts]
+        rows = np.stack([one >> (ID_BITS * k) & ((1 << ID_BITS) - 1) for k in reversed(range(words))], axis=1)
+    else:
+        ids = ids[np.lexsort(ids.T[::-1])]
+        firsts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
+        rows = ids[firsts]
+    return rows, np.diff(np.append(firsts, ids.shape[0]))
+
+
 class Words:
     """Ids of the words that a task has met, by the 64-bit hash of language and word."""
 
@@ -144,14 +175,13 @@ class Words:
         self.langs: list[str] = []
 
     def ids(self, hashes: np.ndarray, texts, langs) -> np.ndarray:
-        of, out = self.of, np.empty(hashes.size, np.int64)
-        for k, h in enumerate(hashes.tolist()):
-            n = of.get(h)
-            if n is None:
-                n = of[h] = len(self.texts)
-                self.texts.append(texts(k))
-                self.langs.append(langs(k))
-            out[k] = n
+        """Ids of different hashes; ``texts`` and ``langs`` give what is at a place, for those that are new."""
+        out = np.fromiter(map(self.of.get, hashes.tolist(), repeat(-1)), np.int64, hashes.size)
+        new = np.flatnonzero(out < 0)
+        out[new] = np.arange(len(self.texts), len(self.texts) + new.size)
+        self.of.update(zip(hashes[new].tolist(), out[new].tolist(), strict=True))
+        self.texts += [texts(k) for k in new.tolist()]
+        self.langs += [langs(k) for k in new.tolist()]
         return out
 
 
@@ -209,6 +239,13 @@ def runs(docs: DataFrame, lengths: tuple[int, ...], shorter=None, budget: int |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries, known, salts = [PhraseTrie(k, burst) for k in lengths], Words(), {}
+        gathered: list[list[np.ndarray]] = [[] for _ in lengths]
+
+        def counted(trie: PhraseTrie, waiting: list[np.ndarray]) -> None:
+            if waiting:
+                ids = np.concatenate(waiting)
+                waiting.clear()
+                trie.add(*_distinct(ids))
 
         def spilled(trie: PhraseTrie, keep: int) -> Iterator[pa.RecordBatch]:
             yield from _run(known, *trie.spill(keep))
@@ -250,19 +287,18 @@ def runs(docs: DataFrame, lengths: tuple[int, ...], shorter=None, budget: int |
                 first, last = starts[where], ends[where]
                 id_at = np.zeros(one.size, np.int64)
                 id_at[spots] = known.ids(keys, lambda k: text[first[k] : last[k]].decode(), lambda k: langs[lo + doc[where[k]]])[back]
-                for k, at, trie in zip(lengths, starts_of, tries, strict=True):
-                    if at.size:
-                        ids = id_at[at[:, None] + np.arange(k)]
-                        ids = ids[np.lexsort(ids.T[::-1])]
-                        firsts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)]))
-                        trie.add(ids[firsts], np.diff(np.append(firsts, ids.shape[0])))
                 full = len(known.texts) > min(budget, (1 << ID_BITS) - _BLOCK // 2)
-                for trie in tries:
+                for k, at, trie, waiting in zip(lengths, starts_of, tries, gathered, strict=True):
+                    if at.size:
+                        waiting.append(id_at[at[:, None] + np.arange(k)])
+                    if full or sum(map(len, waiting)) > min(budget, GATHER) // len(tries):
+                        counted(trie, waiting)
                     if full or trie.size > budget // len(tries):
                         yield from spilled(trie, -1 if full else budget // len(tries) // 2)
                 if full:
                     known = Words()
-        for trie in tries:
+        for trie, waiting in zip(tries, gathered, strict=True):
+            counted(trie, waiting)
             yield from spilled(trie, -1)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
