@@ -307,6 +307,60 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return _naive(epochs.read_table(spark, f"{root}/table", t.schema).withColumn("day", F.col("day").cast("string")))
 
 
+def _mixed(ts_col: str, id_col: str = "event_id") -> F.Column:
+    """0 to 2: the third of the month in which a row arrives, up to two hours after its time."""
+    hours = (F.unix_seconds(F.col(ts_col).cast("timestamp")) - 1_704_067_200) / 3600  # since 2024-01-01
+    return F.least(F.lit(2), F.greatest(F.lit(0), F.floor((hours + F.col(id_col).cast("long") % 3) / 240))).cast("int")
+
+
+def _appended(spark: SparkSession, df: DataFrame, batch: F.Column, n: int, make) -> DataFrame:
+    """Rows of the stream that ``make`` makes of df, met in n batches, in append mode."""
+    root = f"{market.shared_folder(spark)}/appended-{uuid.uuid4().hex}"
+    schema = make(df.limit(0)).schema
+    start = lambda live: make(live).writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    market.in_batches(df, batch, n, root, start)
+    return spark.read.schema(schema).parquet(f"{root}/rows")
+
+
+def stream_latest_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest values by key as a stream in three batches updates them, upserted into a table by kind."""
+    from marketlens.streaming import epochs, streams
+
+    t = market.ticks(spark, sf)
+    root = f"{market.shared_folder(spark)}/latest-{uuid.uuid4().hex}"
+    newest = lambda old, new: streams.latest_values(old.unionByName(new))
+    market.in_batches(t, _mixed("snapshot_time"), 3, root, lambda live: epochs.upsert_stream(streams.latest_values(streams.keyed_events(live)), f"{root}/table", "kind", newest, f"{root}/state", "update"))
+    out = epochs.read_table(spark, f"{root}/table", streams.latest_values(streams.keyed_events(t)).schema)
+    return _naive(out.select("key", "kind", "symbol_id", "exchange", "snapshot_time", "last_price", "open_interest", "funding_rate"))
+
+
+def stream_bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest ticks of each hour by a stream in three batches whose rows come up to two hours late: the hours that the
+    watermark, six hours behind, has closed."""
+    from marketlens.streaming import streams
+
+    make = lambda live: streams.bucket_last(streams.keyed_events(live).where("kind = 'market'"), bucket="1 hour", late="6 hours")
+    return _naive(_appended(spark, market.ticks(spark, sf), _mixed("snapshot_time"), 3, make).select("key", "bucket_time", "snapshot_time", "last_price"))
+
+
+def stream_liquidation_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Liquidation buckets by a stream in three batches, closed by the watermark."""
+    from marketlens.streaming import streams
+
+    make = lambda live: streams.liquidation_buckets(live, late="6 hours", scale=6)
+    return _naive(_appended(spark, market.liquidations(spark, sf), _mixed("event_time", "event_key"), 3, make))
+
+
+def stream_dedupe_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Liquidation events that each come again a batch later: each once."""
+    from marketlens.streaming import streams
+
+    e = market.liquidations(spark, sf)
+    twice = e.withColumn("_again", F.lit(0)).unionByName(e.withColumn("_again", F.lit(1)))
+    out = _appended(spark, twice, _mixed("event_time", "event_key") + F.col("_again"), 4, lambda live: streams.dedupe_events(live, late="40 days"))
+    return out.groupBy("symbol_id", "exchange").agg(F.count(F.lit(1)).alias("events"), F.sum("_again").alias("repeats"))
+
+
 def upsert_partitions(spark: SparkSession, sf: str) -> DataFrame:
     """Ticks of all days as a partitioned table, of which a second batch rewrites the days that it touches."""
     t = market.ticks(spark, sf).select("event_id", "symbol_id", "last_price", F.to_date("snapshot_time").alias("day"))
@@ -337,5 +391,5 @@ def bucket_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: tuple[Query, ...] = (
     normalize_open_interest, normalize_long_short, normalize_taker_flow, normalize_basis, normalize_liquidations, *QUARANTINES, upsert_rows, upsert_liquidations, upsert_aggregates, upsert_volatility, upsert_market_structure, upsert_divergence,
-    upsert_issues, upsert_gaps, upsert_health, liquidation_keys, *SERIES_PAGES, symbol_detail, admin_page, stream_no_future, stream_running_delta, bucket_volume, stream_expiring, stream_corrected_delta, stream_upsert, upsert_partitions, audited_payloads,
+    upsert_issues, upsert_gaps, upsert_health, liquidation_keys, *SERIES_PAGES, symbol_detail, admin_page, stream_no_future, stream_running_delta, bucket_volume, stream_expiring, stream_corrected_delta, stream_upsert, stream_latest_batches, stream_bucket_batches, stream_liquidation_batches, stream_dedupe_batches, upsert_partitions, audited_payloads,
 )

@@ -171,6 +171,10 @@ SELECT key, ts AS at, payload, 'set' AS action FROM w
 UNION ALL SELECT key, ts + INTERVAL 2 HOUR, payload, 'expire' FROM w WHERE later - ts >= INTERVAL 2 HOUR OR (later IS NULL AND ts + INTERVAL 2 HOUR <= newest - INTERVAL 10 MINUTE)"""
 SQL["stream_corrected_delta"] = SQL["stream_running_delta"]
 SQL["stream_upsert"] = _with(_TICKS) + "SELECT symbol_id, exchange, max(snapshot_time) AS snapshot_time, arg_max(last_price, snapshot_time) AS last_price, CAST(CAST(snapshot_time AS DATE) AS VARCHAR) AS day FROM ticks GROUP BY symbol_id, exchange, CAST(snapshot_time AS DATE)"
+SQL["stream_latest_batches"] = MARKET["stream_latest"]
+SQL["stream_bucket_batches"] = f"SELECT * FROM ({MARKET['stream_buckets']}) WHERE bucket_time + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR"
+SQL["stream_liquidation_batches"] = f"SELECT * FROM ({MARKET['stream_liquidations']}) WHERE bucket_time + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events WHERE user_id % 10 <> 0) - INTERVAL 6 HOUR"
+SQL["stream_dedupe_batches"] = f"SELECT *, CAST(0 AS BIGINT) AS repeats FROM ({MARKET['stream_dedupe']})"
 SQL["upsert_partitions"] = _with(_TICKS) + "SELECT event_id, symbol_id, CASE WHEN day(snapshot_time) % 5 = 0 AND event_id % 2 = 0 THEN -last_price ELSE last_price END AS last_price, CAST(CAST(snapshot_time AS DATE) AS VARCHAR) AS day FROM ticks"
 SQL["audited_payloads"] = _with(_EVENTS) + r"""SELECT exchange, data_type, payload_time, payload_hash, min(source_symbol) AS source_symbol, min(payload) AS payload, min(capture_reason) AS capture_reason, CAST(sum(n) AS BIGINT) AS captures FROM (
   SELECT CASE WHEN NOT torn THEN x END AS exchange, CASE WHEN NOT torn THEN 'ticker' END AS data_type, CASE WHEN NOT torn THEN symbol END AS source_symbol, CASE WHEN NOT torn THEN date_trunc('second', ts) END AS payload_time, n,

@@ -79,10 +79,14 @@ def write_epoch(spark: SparkSession, incoming: DataFrame, root: str, partition:
     return True
 
 
-def upsert_stream(stream: DataFrame, root: str, partition: str, upserting: Upserting, checkpoint: str):
-    """Start the stream into the table. The query's own batch numbers are the epochs."""
+def upsert_stream(stream: DataFrame, root: str, partition: str, upserting: Upserting, checkpoint: str, mode: str = "append"):
+    """Start the stream into the table, in an output mode. The query's own batch numbers are the epochs."""
 
     def batch(incoming: DataFrame, epoch: int) -> None:
-        write_epoch(incoming.sparkSession, incoming, root, partition, upserting, epoch)
+        kept = incoming.persist()  # read for the partitions it touches and for its rows
+        try:
+            write_epoch(incoming.sparkSession, kept, root, partition, upserting, epoch)
+        finally:
+            kept.unpersist()
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
