@@ -96,6 +96,10 @@ def upsert_aggregates(spark: SparkSession, sf: str) -> DataFrame:
     """Whole aggregates with their JSON, of which every second symbol's come again with no weighted price and no flags;
     what the JSON holds is read back."""
     r = _aggregate_records(spark, sf)
+    # written once: the table and the batch are both made of it
+    root = f"{market.shared_folder(spark)}/aggregates-{uuid.uuid4().hex}"
+    r.write.parquet(root)
+    r = spark.read.schema(r.schema).parquet(root)
     again = r.where("symbol_id % 2 = 0").withColumns({"price_weighted": F.lit(None).cast("double"), "anomaly_flags": F.lit(None).cast("string")})
     out = sinks.upsert_aggregates(r, again)
     flags = F.from_json("anomaly_flags", "array<struct<name string, window string, severity string, value double>>")

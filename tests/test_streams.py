@@ -84,3 +84,10 @@ def test_expiring_latest_drops_its_state(spark, tmp_path):
     got = [(r["key"], r["action"], r["payload"]) for r in _run(streams.expiring_latest(live), tmp_path, "append", "expiring").collect()]
     assert ("a", "set", '{"price":2.0}') in got and ("a", "expire", '{"price":2.0}') in got
     assert [p for k, a, p in got if k == "b" and a == "set"][-1] == '{"price":7.0}' and ("c", "set", '{"price":8.0}') in got
+
+
+def test_upserted_aggregates_are_made_once(spark, sf):
+    """The table and the batch are read from what was written, not each made from the events."""
+    from marketlens.plans import records
+
+    assert not [f for f in records.upsert_aggregates(spark, sf).inputFiles() if f.endswith("events.parquet")]
