@@ -343,7 +343,7 @@ def stream_bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
     watermark, six hours behind, has closed."""
     from marketlens.streaming import streams
 
-    make = lambda live: streams.bucket_last(streams.keyed_events(live).where("kind = 'market'"), bucket="1 hour", late="6 hours")
+    make = lambda live: streams.bucket_last(streams.keyed_events(live, ("market",)), bucket="1 hour", late="6 hours")
     return _naive(_appended(spark, market.ticks(spark, sf), _mixed("snapshot_time"), 3, make).select("key", "bucket_time", "snapshot_time", "last_price"))
 
 

@@ -22,10 +22,12 @@ def no_future(df: DataFrame, ts_col: str, skew_seconds: int = 120) -> DataFrame:
     return df.where(micros(ts_col) <= micros(F.current_timestamp()) + skew_seconds * SECOND)
 
 
-def keyed_events(ticks: DataFrame) -> DataFrame:
-    """A tick as events of the kinds it carries (market, and open interest and funding where it has them), with their key."""
+def keyed_events(ticks: DataFrame, only: tuple[str, ...] = ("market", "open_interest", "funding")) -> DataFrame:
+    """A tick as events of the kinds it carries (market, and open interest and funding where it has them), with their key;
+    of ``only`` the kinds named, so that others are not made first."""
     kind = lambda name, cond: F.when(cond, F.struct(F.lit(name).alias("kind"), F.col("last_price").alias("last_price") if name == "market" else F.lit(None).cast("double").alias("last_price"), (F.col("open_interest") if name == "open_interest" else F.lit(None).cast("double")).alias("open_interest"), (F.col("funding_rate") if name == "funding" else F.lit(None).cast("double")).alias("funding_rate")))
-    kinds = F.array_compact(F.array(kind("market", F.lit(True)), kind("open_interest", F.col("open_interest").isNotNull()), kind("funding", F.col("funding_rate").isNotNull())))
+    given = {"market": F.lit(True), "open_interest": F.col("open_interest").isNotNull(), "funding": F.col("funding_rate").isNotNull()}
+    kinds = F.array_compact(F.array(*[kind(name, cond) for name, cond in given.items() if name in only]))
     out = ticks.select("symbol_id", "exchange", "source_symbol", "snapshot_time", F.explode(kinds).alias("k")).select("symbol_id", "exchange", "source_symbol", "snapshot_time", "k.*")
     return out.withColumn("key", F.concat_ws(":", "kind", F.lower(F.trim("exchange")), F.upper(F.trim("source_symbol"))))
 

@@ -86,6 +86,12 @@ def test_expiring_latest_drops_its_state(spark, tmp_path):
     assert [p for k, a, p in got if k == "b" and a == "set"][-1] == '{"price":7.0}' and ("c", "set", '{"price":8.0}') in got
 
 
+def test_only_the_kinds_asked_for_are_made(spark, sf):
+    t = market.ticks(spark, sf)
+    got = streams.keyed_events(t, ("market",))
+    assert sorted(map(str, got.collect())) == sorted(map(str, streams.keyed_events(t).where("kind = 'market'").collect()))
+
+
 def test_upserted_aggregates_are_made_once(spark, sf):
     """The table and the batch are read from what was written, not each made from the events."""
     from marketlens.plans import records
