@@ -210,8 +210,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.when(k == 5, F.col("ts") + F.expr("interval 400 days")).when(k != 6, F.col("ts"))
     period = F.when(k == 11, "5 minutes").when(k != 12, " 5m ")
     label = F.when(k != 15, F.lit("sell"))
-    # a fault is negative whatever the value, also where that is zero
-    measure = lambda n: F.when((k % 10 == 9) & (F.col("event_id") % len(MEASURES) == n), -1.0 - F.abs(F.coalesce("value", F.lit(0.0)))).otherwise(F.col("value"))
+    # a fault is negative whatever the value, also where that is zero or no number; no other measure is
+    measure = lambda n: F.when((k % 10 == 9) & (F.col("event_id") % len(MEASURES) == n), -1.0).otherwise(F.abs("value"))
     times = ("snapshot_time", "open_time", "funding_time", "event_time", "bucket_time")
     symbol = F.concat(F.lit("S"), F.col("symbol_id").cast("string"))
     asked = F.when(F.col("symbol_id") == 1, F.concat(F.lit(" "), symbol, F.lit("\t"))).when(F.col("symbol_id") == 2, F.lower(symbol)).when(F.col("symbol_id") == 3, " ").otherwise(symbol)
