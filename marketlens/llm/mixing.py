@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.tables import SLICES, hash_slice, running_sums
+from marketlens.llm.tables import SLICES, hash_slice, running_sums, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -57,10 +57,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget_percent: int = BUDG
 def mix(docs: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of docs."""
     sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"), F.xxhash64(F.lit(_VERSION), "doc_id", "text").alias("h"))
-    targets = source_targets(sizes, weights, budget_percent, max_repeats)
+    # written, as each is read several times: the plan of all of them in one takes too much of the driver's memory
+    sizes = written(sizes, "mix-sizes")
+    targets = written(source_targets(sizes, weights, budget_percent, max_repeats), "mix-targets")
     of = targets.select(F.col("source").alias("_s"), "source_size", "target")
     queued = running_sums(sizes, ["source"], ["h", "doc_id"], "size", "ahead", hash_slice("h"))
-    queued = queued.join(of, queued["source"].eqNullSafe(F.col("_s"))).drop("_s")
+    queued = written(queued.join(of, queued["source"].eqNullSafe(F.col("_s"))).drop("_s"), "mix-queues")
     # every round of a source starts where the one before it ended
     sent = queued.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("round"))
     finish = F.when(F.col("target") > 0, (F.col("ahead") + F.col("round") * F.col("source_size") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT,
     # the one slice in which the budget runs out, and in it the first finish time at which it has
     last = totals.crossJoin(F.broadcast(budget)).where("`to` >= budget - 0.5 and `from` < budget - 0.5").select("slice", "from", "budget")
     inside = sliced.join(F.broadcast(last), "slice").withColumn("sum", F.col("from") + F.sum("size").over(Window.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "h", "doc_id", "round")))
-    cut = inside.where("sum >= budget - 0.5").agg(F.min("finish").alias("cut"))
+    cut = written(inside.where("sum >= budget - 0.5").agg(F.min("finish").alias("cut")), "mix-cut")
     # the last document may run past the budget; targets are what the budget comes to, so time never passes 1
     allowed = F.floor(F.least(F.coalesce(F.col("cut"), F.lit(1.0)), F.lit(1.0)) * F.col("target") + 0.5)
     out = queued.crossJoin(F.broadcast(cut))
@@ -92,7 +94,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     counts = mix(docs.select(identity.alias("doc_id"), "source", "text"), **options)
     # rows of one identity share what is taken of all of them: each as often as goes into all, the rest to the first ones
     whole = F.when(F.sum("size") > 0, F.round(F.sum("taken") / F.max("size")).cast("long")).otherwise(0)
-    counts = counts.groupBy(F.col("doc_id").alias("_id")).agg(whole.alias("_whole"), F.count(F.lit(1)).alias("_copies"))
+    counts = written(counts.groupBy(F.col("doc_id").alias("_id")).agg(whole.alias("_whole"), F.count(F.lit(1)).alias("_copies")), "mix-counts")
     row = row.join(counts.where("_whole > 0"), "_id")
     alone = row.where("_copies = 1").select("_row", F.col("_whole").alias("_times"))
     many = row.where("_copies > 1").groupBy("_id", F.xxhash64("_row").alias("_at")).agg(F.first("_row").alias("_row"), F.first("_whole").alias("_whole"), F.first("_copies").alias("_copies"), F.count(F.lit(1)).alias("_equal"))
