@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from marketlens.sources.payloads import _once
+
 
 #: Measures of the records that get a negative value in turn.
 MEASURES = (
@@ -206,10 +208,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     one negative measure, each in its turn. What was asked for is the symbol (with white space, in another case, nothing,
     or as it is)."""
     k = F.col("k")
-    e = _events(spark, sf_dir)
-    at = F.when(k == 5, F.col("ts") + F.expr("interval 400 days")).when(k != 6, F.col("ts"))
-    period = F.when(k == 11, "5 minutes").when(k != 12, " 5m ")
-    label = F.when(k != 15, F.lit("sell"))
+    e = _once(_events(spark, sf_dir), k=k)
+    # an event without k has no fault
+    at = F.when(k == 5, F.col("ts") + F.expr("interval 400 days")).when(~k.eqNullSafe(6), F.col("ts"))
+    period = F.when(k == 11, "5 minutes").when(~k.eqNullSafe(12), " 5m ")
+    label = F.when(~k.eqNullSafe(15), F.lit("sell"))
     # a fault is negative whatever the value, also where that is zero or no number; no other measure is
     measure = lambda n: F.when((k % 10 == 9) & (F.col("event_id") % len(MEASURES) == n), -1.0).otherwise(F.abs("value"))
     times = ("snapshot_time", "open_time", "funding_time", "event_time", "bucket_time")
