@@ -7,8 +7,9 @@ each token is scored once; windows go through masked attention in batches, and n
 
 Counts of the pairs and triples of ids of all training documents lie above the attention model: where a context of one
 or two ids was seen, its counted continuations take their discounted share, and what is left goes to the shorter
-context and at last to the attention model, so that the whole is one distribution. Of pairs and of triples the
-``MEMORY`` most frequent ones (a fixed bound) are kept, with the exact totals of their contexts.
+context and at last to the attention model, so that the whole is one distribution. The ``MEMORY`` most frequent pairs,
+triples and contexts (a fixed bound) are broadcast and serve most tokens; every other token meets the counts of its own
+pair, triple and context in joins, so none is left out, however rare.
 
 The model is fitted on every training document. Texts are cut to ids once and written. Counts of ids, which set the
 ids' own vectors, their shares within a class and the classes' bias, and counts of neighbours, from which the classes
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from marketlens.llm import text as tx
 from marketlens.llm.language_id import in_fold
 from marketlens.llm.subwords import Encoder
-from marketlens.llm.tables import modest_batches, most_frequent, record_batch, tidy, written
+from marketlens.llm.tables import modest_batches, most_frequent, record_batch, shuffles_freed, tidy, written
 
 VOCABULARY = "word_bpe_49k.json"
 IDS = 49_409  # the vocabulary's ids and the end
@@ -52,7 +53,7 @@ TOP_WORDS = 1 << 17
 OWN_IDS = 4095
 CLASSES, WIDTH, HIDDEN, CONTEXT, SCORED = 32, 8, 16, 8, 16
 STEPS, WINDOWS, RATE = 200, 256, 0.01
-#: Most frequent pairs, and triples, of ids that are kept; what each count gives up to shorter contexts.
+#: Most frequent pairs, triples and contexts of ids that are broadcast; what each count gives up to shorter contexts.
 MEMORY, DISCOUNT = 1 << 19, 0.7
 #: Ids of a shard, about, and rounds after which shards are averaged.
 SHARD_IDS, ROUNDS = 1 << 20, 4
@@ -70,31 +71,65 @@ END_KEY = np.uint64(0x5E17E2D5)
 @dataclass
 class Memory:
     """Continuations of contexts of one length: sorted keys (context, then id) with their shares, and sorted contexts with
-    what each leaves to shorter ones."""
+    what each leaves to shorter ones and how often it came before anything. Whether these are all keys, and all contexts."""
 
     keys: np.ndarray
     shares: np.ndarray
     contexts: np.ndarray
     rests: np.ndarray
+    totals: np.ndarray
+    all_keys: bool
+    all_contexts: bool
 
     @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> Memory:
-        """From kept keys, how often each came, and how often its context came before anything."""
+    def of(cls, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray, distinct: np.ndarray, all_keys: bool, all_contexts: bool) -> Memory:
+        """From keys, how often each came, contexts, how often each came, and how many continuations each has. A key
+        whose context is not among the contexts is not kept."""
+        by = np.argsort(contexts)
+        contexts, totals, distinct = contexts[by], totals[by], distinct[by]
         by = np.argsort(keys)
-        keys, shares = keys[by], (counts[by] - DISCOUNT) / totals[by]
-        contexts, at = np.unique(keys // IDS, return_inverse=True)
-        return cls(keys, shares, contexts, 1 - np.bincount(at, weights=shares, minlength=contexts.size))
+        keys, counts = keys[by], counts[by]
+        at, hit = _found(contexts, keys // IDS)
+        keys, shares = keys[hit], (counts[hit] - DISCOUNT) / totals[at[hit]]
+        return cls(keys, shares, contexts, DISCOUNT * distinct / totals, totals.astype(np.float64), all_keys and bool(hit.all()), all_contexts)
 
     def find(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Share of each id after its context, and what the context leaves."""
+        """Share of each id after its context, and what the context leaves, by what is kept."""
+        return self.look(contexts, ids)[:2]
 
-        def look(sorted_, values, wanted, otherwise):
-            if not sorted_.size:
-                return np.full(wanted.size, otherwise)
-            at = np.minimum(np.searchsorted(sorted_, wanted), sorted_.size - 1)
-            return np.where(sorted_[at] == wanted, values[at], otherwise)
+    def look(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Besides, how often the context came (1 where it is not kept), whether the share is sure, and whether the rest is."""
+        at, seen = _found(self.contexts, contexts)
+        rests, totals = (np.where(seen, x[at], 1.0) if x.size else np.ones(at.size) for x in (self.rests, self.totals))
+        at, hit = _found(self.keys, contexts * IDS + ids)
+        shares = np.where(hit, self.shares[at], 0.0) if self.keys.size else np.zeros(at.size)
+        sure_rest = seen | self.all_contexts
+        return shares, rests, totals, hit | self.all_keys | (~seen & self.all_contexts), sure_rest
 
-        return look(self.keys, self.shares, contexts * IDS + ids, 0.0), look(self.contexts, self.rests, contexts, 1.0)
+
+def _found(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted value stands, and whether it is there."""
+    if not sorted_.size:
+        return np.zeros(wanted.size, np.int64), np.zeros(wanted.size, bool)
+    at = np.minimum(np.searchsorted(sorted_, wanted), sorted_.size - 1)
+    return at, sorted_[at] == wanted
+
+
+@dataclass
+class Open:
+    """Tokens whose probability needs counts that are not kept. ``doc``, ``key``, ``left``: only the triple's count n is
+    missing; n less the discount (0 if there is none), and ``left``, are the factor of the probability that is missing.
+    ``pair_*``: the counts of the pair, or of the context of two, are missing as well: the pair's count less the discount,
+    and ``pair_left``, by ``pair_total``, make the probability after one id."""
+
+    doc: np.ndarray
+    key: np.ndarray
+    left: np.ndarray
+    pair_doc: np.ndarray
+    pair: np.ndarray
+    pair_key: np.ndarray
+    pair_left: np.ndarray
+    pair_total: np.ndarray
 
 
 def _contexts(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,8 +140,9 @@ def _contexts(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return stream[1:], before, earlier * IDS + before
 
 
-def _memories(rows: DataFrame) -> tuple[Memory, Memory]:
-    """Pairs and triples of all rows (ids), counted by tasks first."""
+def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and triples of all rows (ids) as size, key, n, context; and the contexts as size, context, total, distinct.
+    Tasks count their own rows first."""
     schema = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +170,19 @@ def _memories(rows: DataFrame) -> tuple[Memory, Memory]:
 
     found = rows.select("ids").mapInArrow(tidy(run), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
     found = written(found.withColumn("context", F.expr(f"key div {IDS}")), "memory")
-    totals = found.groupBy("size", "context").agg(F.sum("n").alias("total"))
+    return found, written(found.groupBy("size", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")), "contexts")
+
+
+def _memories(found: DataFrame, contexts: DataFrame) -> tuple[Memory, Memory]:
+    """The most frequent pairs and triples. The contexts of pairs are ids, so all of them are kept."""
+    many = {(k, r.size): r.n for k, df in (("key", found), ("context", contexts)) for r in df.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = []
     for size in (2, 3):
-        own = most_frequent(found.where((F.col("size") == size) & (F.col("n") > 1)), "n", "key", MEMORY)
-        kept = own.join(totals.where(F.col("size") == size).select("context", "total"), "context").select("key", "n", "total").toArrow()
-        out.append(Memory.of(*(kept[c].to_numpy() for c in ("key", "n", "total"))))
+        own = most_frequent(found.where(F.col("size") == size).select("key", "n"), "n", "key", MEMORY).toArrow()
+        of = contexts.where(F.col("size") == size).select("context", "total", "distinct")
+        of = (of if size == 2 else most_frequent(of, "total", "context", MEMORY)).toArrow()
+        columns = [*(own[c].to_numpy() for c in ("key", "n")), *(of[c].to_numpy() for c in ("context", "total", "distinct"))]
+        out.append(Memory.of(*columns, own.num_rows == many.get(("key", size), 0), of.num_rows == many.get(("context", size), 0)))
     return out[0], out[1]
 
 
@@ -349,8 +392,14 @@ def train(sequences: list[np.ndarray], seed: int = 7, steps: int = STEPS) -> Mod
 
 
 def score(model: Model, table: np.ndarray, ids: np.ndarray, bounds: np.ndarray, batch: int = 256) -> np.ndarray:
-    """log10 probability of each document (its ids and the end). A document's windows start at its first token, so its
-    score does not depend on its neighbours; the end serves as what comes before the first token."""
+    """log10 probability of each document (its ids and the end) by what the model's memories keep."""
+    return _parts(model, table, ids, bounds, batch, False)[0]
+
+
+def _parts(model: Model, table: np.ndarray, ids: np.ndarray, bounds: np.ndarray, batch: int, leave_open: bool) -> tuple[np.ndarray, Open | None]:
+    """log10 probability of each document, and with ``leave_open`` the tokens that need counts that are not kept: of these
+    only the known factors are in it. A document's windows start at its first token, so its score does not depend on its
+    neighbours; the end serves as what comes before the first token."""
     n = len(bounds) - 1
     size = np.diff(bounds) + 1  # tokens to score, the end among them
     windows = -(-size // SCORED)
@@ -397,11 +446,22 @@ def score(model: Model, table: np.ndarray, ids: np.ndarray, bounds: np.ndarray,
     if model.memories:
         share = 10.0**logs10
         target, one, two = _contexts(_stream(ids, bounds)[0])
-        for memory, context in zip(model.memories, (one, two), strict=True):
-            own, rest = memory.find(context, target)
-            share = own + rest * share
-        logs10 = np.log10(share)
-    return np.bincount(doc, weights=logs10, minlength=n)
+        pairs, triples = model.memories
+        own, rest, pair_total, sure, _ = pairs.look(one, target)
+        own3, rest3, total, sure3, sure_rest = triples.look(two, target)
+        left = rest * share
+        share = own + left
+        logs10 = np.log10(own3 + rest3 * share)
+        if leave_open:
+            deep = ~sure | ~sure_rest
+            flat = np.flatnonzero(~deep & ~sure3)
+            deep = np.flatnonzero(deep)
+            logs10[flat] = -np.log10(total[flat])
+            logs10[deep] = 0.0
+            key = two * IDS + target
+            found = Open(doc[flat], key[flat], (rest3 * share * total)[flat], doc[deep], (one * IDS + target)[deep], key[deep], (left * pair_total)[deep], pair_total[deep])
+            return np.bincount(doc, weights=logs10, minlength=n), found
+    return np.bincount(doc, weights=logs10, minlength=n), None
 
 
 def encoded(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -496,7 +556,7 @@ def _round(rows: DataFrame, model: Model, shards: int, expected: float, times: i
 
 
 def _fitted(rows: DataFrame, seed: int = 7) -> Model:
-    """A model from all rows (h, ids)."""
+    """The attention of a model from all rows (h, ids)."""
     counts = _totals(rows, lambda stream: np.bincount(stream[1:], minlength=IDS), IDS)
     place, row_counts = _places(counts)
     column = _columns(row_counts)
@@ -511,13 +571,15 @@ def _fitted(rows: DataFrame, seed: int = 7) -> Model:
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "h"), F.lit(shards))).withColumn("round", F.pmod(F.xxhash64(F.lit(2), "h"), F.lit(rounds)))
     for k in range(rounds):
         model.p = _round(dealt.where(F.col("round") == k), model, shards, expected, times, k / rounds, (k + 1) / rounds, seed + k)
-    model.memories = _memories(rows)
     return model
 
 
 def fit(training: DataFrame, vocabulary: str = VOCABULARY) -> Model:
     """A model from all rows (doc_id, text)."""
-    return _fitted(written(encoded(training, F.lit(True), vocabulary), "encoded").where("training"))
+    rows = written(encoded(training, F.lit(True), vocabulary), "encoded").where("training")
+    model = _fitted(rows)
+    model.memories = _memories(*_counted(rows))
+    return model
 
 
 # ---- word counts and scores over all documents ----
@@ -566,32 +628,53 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
+#: Columns of the tokens that need counts that are not kept.
+_OPEN = {"key": pa.int64(), "left": pa.float32(), "pair": pa.int64(), "pair_key": pa.int64(), "pair_left": pa.float64(), "pair_total": pa.float64()}
+
+
+def _opened(scored: DataFrame, found: DataFrame, contexts: DataFrame) -> DataFrame:
+    """row, open_score: what is missing of the scores of rows with open tokens. The most frequent keys are not among
+    these, so no key is many rows."""
+    flat = scored.select("row", F.inline(F.arrays_zip("key", "left"))).withColumn("total", F.lit(1.0))
+    deep = scored.select("row", F.inline(F.arrays_zip("pair", "pair_key", "pair_left", "pair_total")))
+    pairs = found.where("size = 2").select(F.col("key").alias("pair"), "n")
+    deep = deep.join(pairs, "pair", "left").withColumn("share", (F.coalesce(F.col("n") - DISCOUNT, F.lit(0.0)) + F.col("pair_left")) / F.col("pair_total"))
+    of = contexts.where("size = 3").select("context", "total", "distinct")
+    deep = deep.select("row", F.col("pair_key").alias("key"), F.expr(f"pair_key div {IDS}").alias("context"), "share").join(of, "context", "left")
+    deep = deep.select("row", "key", F.coalesce(F.col("share") * DISCOUNT * F.col("distinct"), "share").alias("left"), F.coalesce(F.col("total").cast("double"), F.lit(1.0)).alias("total"))
+    triples = found.where("size = 3").select("key", "n")
+    tokens = flat.select("row", "key", "left", "total").unionByName(deep).join(triples, "key", "left")
+    return tokens.groupBy("row").agg(F.sum(F.log10((F.coalesce(F.col("n") - DISCOUNT, F.lit(0.0)) + F.col("left")) / F.col("total"))).alias("open_score"))
+
+
 def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     training = docs.where(~in_fold("doc_id", folds, fold))
-    texts = written(encoded(docs, ~in_fold("doc_id", folds, fold), vocabulary), "encoded")
-    model = _fitted(texts.where("training"))
-    counts = written(word_counts(training), "word-counts")
-    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = most_frequent(counts, "n", "key", TOP_WORDS).select("key", "n").toArrow()
+    with shuffles_freed(spark):
+        texts = written(encoded(docs, ~in_fold("doc_id", folds, fold), vocabulary), "encoded")
+        model = _fitted(texts.where("training"))
+        found, contexts = _counted(texts.where("training"))
+        model.memories = _memories(found, contexts)
+        counts = written(word_counts(training), "word-counts")
+        totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        top = most_frequent(counts, "n", "key", TOP_WORDS).select("key", "n").toArrow()
     top_keys = top["key"].to_numpy().view(np.uint64)
     by = np.argsort(top_keys)
     log = lambda c: np.log10((c + 0.5) / (totals.n + 0.5 * (totals.v + 1)))
     shared = spark.sparkContext.broadcast((model, model.table(), top_keys[by], log(top["n"].to_numpy()[by])))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_top", pa.int64()), ("top_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_top", pa.int64()), ("top_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), *[(c, pa.list_(t)) for c, t in _OPEN.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, known, logs = shared.value
+        model, table, known_keys, logs = shared.value
         for b in batches:
             for lo, hi, data, offsets in tx.blocks(b.column(1)):
                 n = hi - lo
                 keys, doc = _token_keys(data, offsets)
                 distinct, back = np.unique(keys, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, distinct), max(0, known.size - 1))
-                hit = known[at] == distinct if known.size else np.zeros(distinct.size, bool)
-                value = np.where(hit, logs[at] if known.size else 0.0, 0.0)
+                at, hit = _found(known_keys, distinct)
+                value = np.where(hit, logs[at] if known_keys.size else 0.0, 0.0)
                 is_top = hit[back]
                 rare = np.unique(np.stack([doc[~is_top], back[~is_top]]), axis=1, return_counts=True) if not is_top.all() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
                 (rare_doc, rare_key), times = rare
@@ -599,12 +682,18 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, vocabulary:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(tx.as_long(distinct[rare_key])))
                 numbers = pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))
                 ids, bounds = _listed(b.column(2).slice(lo, n))
-                yield record_batch(schema, b.column(0).slice(lo, n), np.bincount(doc, minlength=n), np.bincount(doc[is_top], minlength=n), np.bincount(doc, weights=value[back], minlength=n), score(model, table, ids, bounds), lists, numbers)
-
-    scored = texts.select("doc_id", "text", "ids").mapInArrow(tidy(run), "doc_id long, n_tokens long, n_top long, top_score double, score double, rare array<long>, times array<int>")
+                known, rest = _parts(model, table, ids, bounds, 256, True)
+                opened = []
+                for c, t in _OPEN.items():
+                    ends = np.searchsorted(rest.pair_doc if c.startswith("pair") else rest.doc, np.arange(n + 1)).astype(np.int32)
+                    opened.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(getattr(rest, c), t)))
+                yield record_batch(schema, b.column(0).slice(lo, n), np.bincount(doc, minlength=n), np.bincount(doc[is_top], minlength=n), np.bincount(doc, weights=value[back], minlength=n), known, lists, numbers, *opened)
+
+    types = "key array<long>, left array<float>, pair array<long>, pair_key array<long>, pair_left array<double>, pair_total array<double>"
+    scored = texts.select("doc_id", "text", "ids").mapInArrow(tidy(run), f"doc_id long, n_tokens long, n_top long, top_score double, score double, rare array<long>, times array<int>, {types}")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once, so the numbers stay
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.join(counts, "key", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(totals.n + 0.5 * (totals.v + 1))))).alias("rare_score"))
-    out = scored.drop("rare", "times").join(rare, "row", "left")
-    return out.select("doc_id", in_fold("doc_id", folds, fold).alias("held_out"), "n_tokens", (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(int(totals.n)).cast("long").alias("train_tokens"), (F.col("top_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), "score")
+    out = scored.select("row", "doc_id", "n_tokens", "n_top", "top_score", "score").join(rare, "row", "left").join(_opened(scored, found, contexts), "row", "left")
+    return out.select("doc_id", in_fold("doc_id", folds, fold).alias("held_out"), "n_tokens", (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(int(totals.n)).cast("long").alias("train_tokens"), (F.col("top_score") + F.coalesce("rare_score", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("open_score", F.lit(0.0))).alias("score"))
