@@ -653,7 +653,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, vocabulary:
     spark = docs.sparkSession
     training = docs.where(~in_fold("doc_id", folds, fold))
     with shuffles_freed(spark):
-        texts = written(encoded(docs, ~in_fold("doc_id", folds, fold), vocabulary), "encoded")
+        texts = written(encoded(docs, ~in_fold("doc_id", folds, fold), vocabulary), "encoded", "zstd")
         model = _fitted(texts.where("training"))
         found, contexts = _counted(texts.where("training"))
         model.memories = _memories(found, contexts)
@@ -691,7 +691,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, vocabulary:
 
     types = "key array<long>, left array<float>, pair array<long>, pair_key array<long>, pair_left array<double>, pair_total array<double>"
     scored = texts.select("doc_id", "text", "ids").mapInArrow(tidy(run), f"doc_id long, n_tokens long, n_top long, top_score double, score double, rare array<long>, times array<int>, {types}")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once, so the numbers stay
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored", "zstd")  # written once, so the numbers stay
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.join(counts, "key", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(totals.n + 0.5 * (totals.v + 1))))).alias("rare_score"))
