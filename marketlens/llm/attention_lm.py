@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from marketlens.llm import text as tx
 from marketlens.llm.language_id import in_fold
 from marketlens.llm.subwords import Encoder
-from marketlens.llm.tables import modest_batches, most_frequent, record_batch, shuffles_freed, tidy, written
+from marketlens.llm.tables import modest_batches, most_frequent, record_batch, shuffles_freed, tidy, written, written_meanwhile
 
 VOCABULARY = "word_bpe_49k.json"
 IDS = 49_409  # the vocabulary's ids and the end
@@ -68,14 +68,48 @@ END_KEY = np.uint64(0x5E17E2D5)
 # ---- the model ----
 
 
+@dataclass
+class Places:
+    """Different numbers in the order of their hashes, and where each hash begins: a number is found in a look or two."""
+
+    numbers: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, numbers: np.ndarray) -> tuple[Places, np.ndarray]:
+        """Besides, the order in which the numbers are kept."""
+        hashes = _hashes(numbers, bits := numbers.size.bit_length() + 1)
+        by = np.argsort(hashes, kind="stable")
+        return cls(numbers[by], np.searchsorted(hashes[by], np.arange((1 << bits) + 1)).astype(np.int32)), by
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each wanted number stands, and whether it is there."""
+        if not self.numbers.size:
+            return np.zeros(wanted.size, np.int32), np.zeros(wanted.size, bool)
+        hashes = _hashes(wanted, (self.begins.size - 1).bit_length() - 1)
+        at, end = self.begins.take(hashes), self.begins.take(hashes + 1)
+        np.minimum(at, self.numbers.size - 1, out=at)
+        hit = self.numbers.take(at) == wanted
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        while left.size:  # as often as the fullest hash has numbers
+            at[left] += 1
+            hit[left] = self.numbers.take(at[left]) == wanted[left]
+            left = left[~hit[left] & (at[left] + 1 < end[left])]
+        return at, hit
+
+
+def _hashes(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 @dataclass
 class Memory:
-    """Continuations of contexts of one length: sorted keys (context, then id) with their shares, and sorted contexts with
-    what each leaves to shorter ones and how often it came before anything. Whether these are all keys, and all contexts."""
+    """Continuations of contexts of one length: keys (context, then id) with their shares, and contexts with what each
+    leaves to shorter ones and how often it came before anything. Whether these are all keys, and all contexts."""
 
-    keys: np.ndarray
+    keys: Places
     shares: np.ndarray
-    contexts: np.ndarray
+    contexts: Places
     rests: np.ndarray
     totals: np.ndarray
     all_keys: bool
@@ -85,13 +119,12 @@ class Memory:
     def of(cls, keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray, distinct: np.ndarray, all_keys: bool, all_contexts: bool) -> Memory:
         """From keys, how often each came, contexts, how often each came, and how many continuations each has. A key
         whose context is not among the contexts is not kept."""
-        by = np.argsort(contexts)
-        contexts, totals, distinct = contexts[by], totals[by], distinct[by]
-        by = np.argsort(keys)
-        keys, counts = keys[by], counts[by]
-        at, hit = _found(contexts, keys // IDS)
-        keys, shares = keys[hit], (counts[hit] - DISCOUNT) / totals[at[hit]]
-        return cls(keys, shares, contexts, DISCOUNT * distinct / totals, totals.astype(np.float64), all_keys and bool(hit.all()), all_contexts)
+        of, by = Places.of(contexts)
+        totals, distinct = totals[by], distinct[by]
+        at, hit = of.find(keys // IDS)
+        kept, by = Places.of(keys[hit])
+        shares = (counts[hit] - DISCOUNT) / totals[at[hit]]
+        return cls(kept, shares[by], of, DISCOUNT * distinct / totals, totals.astype(np.float64), all_keys and bool(hit.all()), all_contexts)
 
     def find(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Share of each id after its context, and what the context leaves, by what is kept."""
@@ -99,10 +132,10 @@ class Memory:
 
     def look(self, contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Besides, how often the context came (1 where it is not kept), whether the share is sure, and whether the rest is."""
-        at, seen = _found(self.contexts, contexts)
-        rests, totals = (np.where(seen, x[at], 1.0) if x.size else np.ones(at.size) for x in (self.rests, self.totals))
-        at, hit = _found(self.keys, contexts * IDS + ids)
-        shares = np.where(hit, self.shares[at], 0.0) if self.keys.size else np.zeros(at.size)
+        at, seen = self.contexts.find(contexts)
+        rests, totals = (np.where(seen, x.take(at), 1.0) if x.size else np.ones(at.size) for x in (self.rests, self.totals))
+        at, hit = self.keys.find(contexts * IDS + ids)
+        shares = np.where(hit, self.shares.take(at), 0.0) if self.shares.size else np.zeros(at.size)
         sure_rest = seen | self.all_contexts
         return shares, rests, totals, hit | self.all_keys | (~seen & self.all_contexts), sure_rest
 
@@ -126,7 +159,6 @@ class Open:
     key: np.ndarray
     left: np.ndarray
     pair_doc: np.ndarray
-    pair: np.ndarray
     pair_key: np.ndarray
     pair_left: np.ndarray
     pair_total: np.ndarray
@@ -141,7 +173,7 @@ def _contexts(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs and triples of all rows (ids) as size, key, n, context; and the contexts as size, context, total, distinct.
+    """Pairs and triples of all rows (ids) as size, key, n; and the contexts as size, context, total, distinct.
     Tasks count their own rows first."""
     schema = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
@@ -169,8 +201,9 @@ def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield from counted()
 
     found = rows.select("ids").mapInArrow(tidy(run), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
-    found = written(found.withColumn("context", F.expr(f"key div {IDS}")), "memory")
-    return found, written(found.groupBy("size", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")), "contexts")
+    found = written(found, "memory", "zstd")
+    of = found.select("size", F.expr(f"key div {IDS}").alias("context"), "n")
+    return found, written(of.groupBy("size", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")), "contexts")
 
 
 def _memories(found: DataFrame, contexts: DataFrame) -> tuple[Memory, Memory]:
@@ -459,7 +492,7 @@ def _parts(model: Model, table: np.ndarray, ids: np.ndarray, bounds: np.ndarray,
             logs10[flat] = -np.log10(total[flat])
             logs10[deep] = 0.0
             key = two * IDS + target
-            found = Open(doc[flat], key[flat], (rest3 * share * total)[flat], doc[deep], (one * IDS + target)[deep], key[deep], (left * pair_total)[deep], pair_total[deep])
+            found = Open(doc[flat], key[flat], (rest3 * share * total)[flat], doc[deep], key[deep], (left * pair_total)[deep], pair_total[deep])
             return np.bincount(doc, weights=logs10, minlength=n), found
     return np.bincount(doc, weights=logs10, minlength=n), None
 
@@ -629,14 +662,14 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 #: Columns of the tokens that need counts that are not kept.
-_OPEN = {"key": pa.int64(), "left": pa.float32(), "pair": pa.int64(), "pair_key": pa.int64(), "pair_left": pa.float64(), "pair_total": pa.float64()}
+_OPEN = {"key": pa.int64(), "left": pa.float32(), "pair_key": pa.int64(), "pair_left": pa.float32(), "pair_total": pa.float32()}
 
 
 def _opened(scored: DataFrame, found: DataFrame, contexts: DataFrame) -> DataFrame:
     """row, open_score: what is missing of the scores of rows with open tokens. The most frequent keys are not among
     these, so no key is many rows."""
     flat = scored.select("row", F.inline(F.arrays_zip("key", "left"))).withColumn("total", F.lit(1.0))
-    deep = scored.select("row", F.inline(F.arrays_zip("pair", "pair_key", "pair_left", "pair_total")))
+    deep = scored.select("row", F.inline(F.arrays_zip("pair_key", "pair_left", "pair_total"))).withColumn("pair", F.col("pair_key") % (IDS * IDS))
     pairs = found.where("size = 2").select(F.col("key").alias("pair"), "n")
     deep = deep.join(pairs, "pair", "left").withColumn("share", (F.coalesce(F.col("n") - DISCOUNT, F.lit(0.0)) + F.col("pair_left")) / F.col("pair_total"))
     of = contexts.where("size = 3").select("context", "total", "distinct")
@@ -647,23 +680,13 @@ def _opened(scored: DataFrame, found: DataFrame, contexts: DataFrame) -> DataFra
     return tokens.groupBy("row").agg(F.sum(F.log10((F.coalesce(F.col("n") - DISCOUNT, F.lit(0.0)) + F.col("left")) / F.col("total"))).alias("open_score"))
 
 
-def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
-    modest_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    training = docs.where(~in_fold("doc_id", folds, fold))
-    with shuffles_freed(spark):
-        texts = written(encoded(docs, ~in_fold("doc_id", folds, fold), vocabulary), "encoded", "zstd")
-        model = _fitted(texts.where("training"))
-        found, contexts = _counted(texts.where("training"))
-        model.memories = _memories(found, contexts)
-        counts = written(word_counts(training), "word-counts")
-        totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-        top = most_frequent(counts, "n", "key", TOP_WORDS).select("key", "n").toArrow()
+def _scored(texts: DataFrame, model: Model, top: pa.Table, totals) -> DataFrame:
+    """row, doc_id, n_tokens, what the broadcast words, pairs and triples say of the scores of each text, and what else
+    they need."""
     top_keys = top["key"].to_numpy().view(np.uint64)
     by = np.argsort(top_keys)
     log = lambda c: np.log10((c + 0.5) / (totals.n + 0.5 * (totals.v + 1)))
-    shared = spark.sparkContext.broadcast((model, model.table(), top_keys[by], log(top["n"].to_numpy()[by])))
+    shared = texts.sparkSession.sparkContext.broadcast((model, model.table(), top_keys[by], log(top["n"].to_numpy()[by])))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_top", pa.int64()), ("top_score", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), *[(c, pa.list_(t)) for c, t in _OPEN.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -689,9 +712,25 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, vocabulary:
                     opened.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(getattr(rest, c), t)))
                 yield record_batch(schema, b.column(0).slice(lo, n), np.bincount(doc, minlength=n), np.bincount(doc[is_top], minlength=n), np.bincount(doc, weights=value[back], minlength=n), known, lists, numbers, *opened)
 
-    types = "key array<long>, left array<float>, pair array<long>, pair_key array<long>, pair_left array<double>, pair_total array<double>"
+    types = "key array<long>, left array<float>, pair_key array<long>, pair_left array<float>, pair_total array<float>"
     scored = texts.select("doc_id", "text", "ids").mapInArrow(tidy(run), f"doc_id long, n_tokens long, n_top long, top_score double, score double, rare array<long>, times array<int>, {types}")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored", "zstd")  # written once, so the numbers stay
+    return scored.withColumn("row", F.monotonically_increasing_id())
+
+
+def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, vocabulary: str = VOCABULARY) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
+    modest_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    training = docs.where(~in_fold("doc_id", folds, fold))
+    with shuffles_freed(spark):
+        counts = written(word_counts(training), "word-counts")
+        totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        top = most_frequent(counts, "n", "key", TOP_WORDS).select("key", "n").toArrow()
+        with written_meanwhile(encoded(docs, ~in_fold("doc_id", folds, fold), vocabulary), "encoded", "zstd") as texts:
+            model = _fitted(texts.where("training"))
+            found, contexts = _counted(texts.where("training"))
+            model.memories = _memories(found, contexts)
+            scored = written(_scored(texts, model, top, totals), "scored", "zstd")  # written once, so the numbers stay
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("n"), F.lit(0))
     rare = rare.join(counts, "key", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_rare"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(totals.n + 0.5 * (totals.v + 1))))).alias("rare_score"))
