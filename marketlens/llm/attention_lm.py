@@ -58,7 +58,9 @@ MEMORY, DISCOUNT = 1 << 19, 0.7
 #: Ids of a shard, about, and rounds after which shards are averaged.
 SHARD_IDS, ROUNDS = 1 << 20, 4
 #: Ids whose pairs and triples a task gathers before it passes their counts on.
-COUNTED = 1 << 20
+COUNTED = 1 << 21
+#: Ids of which a task makes contexts at once.
+PORTION = 1 << 18
 #: Most frequent ids that count as neighbours, on either side.
 NEIGHBOURS = 128
 #: Key of the end token among the word hashes.
@@ -188,15 +190,14 @@ def _counted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         waiting = 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids, one, two = _contexts(_stream(*_listed(b.column(0)))[0])
-            held[2].append(one * IDS + ids)
-            held[3].append(two * IDS + ids)
-            waiting += ids.size
-            if waiting > COUNTED:
-                yield from counted()
-                waiting = 0
+            for part in _portions(b.column(0)):
+                ids, one, two = _contexts(_stream(*_listed(part))[0])
+                held[2].append(one * IDS + ids)
+                held[3].append(two * IDS + ids)
+                waiting += ids.size
+                if waiting > COUNTED:
+                    yield from counted()
+                    waiting = 0
         if waiting:
             yield from counted()
 
@@ -518,6 +519,15 @@ def _listed(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.flatten().to_numpy(), offsets - offsets[0]
 
 
+def _portions(col: pa.Array) -> Iterator[pa.Array]:
+    """Slices of a column of lists: as many rows as hold no more than PORTION values, one at least."""
+    ends, lo = col.offsets.to_numpy(), 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(ends, int(ends[lo]) + PORTION, side="right")) - 1)
+        yield col.slice(lo, hi - lo)
+        lo = hi
+
+
 def _totals(rows: DataFrame, count, size: int) -> np.ndarray:
     """What ``count`` makes of each stream of ids, added up over all tasks. Only cells that are not zero are shuffled."""
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])

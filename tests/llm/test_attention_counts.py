@@ -69,3 +69,18 @@ def _shares(model, ids):
     from tests.llm.test_llm import _reference_scores
 
     return 10.0 ** np.array(_reference_scores(model, ids))
+
+
+def test_portions_and_places(monkeypatch):
+    """Slices of lists hold every row once, whatever its length; numbers are found by hash, and others are not."""
+    monkeypatch.setattr(lm, "PORTION", 5)
+    rows = [[1, 2], [], [3] * 9, [4, 5, 6], [7, 8], [], [9]]
+    whole = pa.array([[0], *rows], pa.list_(pa.int32())).slice(1)
+    parts = [p.to_pylist() for p in lm._portions(whole)]
+    assert [r for p in parts for r in p] == rows and all(len(p) == 1 or sum(map(len, p)) <= 5 for p in parts)
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3000):
+        numbers = rng.choice(10**15, n, replace=False)
+        places, by = lm.Places.of(numbers)
+        at, hit = places.find(np.concatenate([numbers, numbers + 10**15]))
+        assert hit[:n].all() and not hit[n:].any() and (numbers[by][at[:n]] == numbers).all()
